@@ -22,14 +22,17 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder, cut its lineage and return the written rows.
-
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset, as in tests, is one made.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share; only where that is unset, as in tests, is one made."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder, cut its lineage and return the written rows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language_id, lines, quality, simhash, substring, urls
+from . import bpe, chat, decontaminate, language_id, licenses, lines, quality, simhash, substring, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -93,3 +93,16 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op7_substrings"] = substring.SQL
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.*")
+
+
+@query
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.explode("licenses").alias("x")).select("doc_id", "x.*")
