@@ -22,39 +22,51 @@ LEAF_PAIRS = 64
 FRONTIER = 200_000
 #: Beyond two bits: so many random orders of the bits, each with a first level of PREFIX bits taken whole. A pair
 #: that differs in a share p of its bits meets in some order with probability 1 - (1 - (1 - p) ** PREFIX) ** ORDERS.
-ORDERS, PREFIX = 48, 20
-#: Differing bits of 64 that stand for a similarity of 0.8 of five-word shingle sets: their cosine is 0.89, which
-#: differs in 9.7 bits on average with a standard deviation of 2.9; 12 bits keep four of five such pairs.
-SIMILAR_BITS, SIMILAR_WIDTH = 12, 5
+ORDERS, PREFIX = 56, 18
+#: A similarity of 0.8 of five-word shingle sets is a cosine of 0.89, for which a share of 0.152 of the bits differs:
+#: 9.7 of 64 bits (standard deviation 2.9) and 19.5 of 128 (4.1). Unrelated texts differ in 32 and 64 bits. The trie
+#: is searched with the first number; links also keep to the second over 64 more bits.
+SIMILAR_BITS, SIMILAR_BITS_128, SIMILAR_WIDTH = 16, 26, 5
 
 
-def fingerprint(data: bytes, width: int) -> int:
-    """Unsigned 64-bit SimHash of a text's word shingles; 0 where it has no word."""
+def fingerprint(data: bytes, width: int) -> tuple[int, int]:
+    """Two unsigned 64-bit SimHashes of a text's word shingles, both 0 where it has no word.
+
+    The first is over XXH64 of the shingles, the second over a bit mixer of those hashes.
+    """
     words = data.lower().split()
     if not words:
-        return 0
+        return 0, 0
     flat = b" ".join(words)
     if len(words) <= width:
         grams = [flat]
     else:
         starts = [0, *accumulate(len(w) + 1 for w in words)]
         grams = [flat[a : b - 1] for a, b in zip(starts, starts[width:])]
-    ones = np.zeros(64, dtype=np.int64)
+    ones = np.zeros((2, 64), dtype=np.int64)
     for lo in range(0, len(grams), 65_536):
         part = grams[lo : lo + 65_536]
         h = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in part), dtype="<u8", count=len(part))
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(grams), bitorder="little").view("<u8")[0])
+        mixed = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        for k, x in enumerate((h, mixed ^ (mixed >> np.uint64(31)))):
+            ones[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    first, second = np.packbits(2 * ones > len(grams), axis=1, bitorder="little").view("<u8").ravel().tolist()
+    return first, second
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """Rows (id, fp): each text's fingerprint as a signed long. Null text counts as empty."""
+    """Rows (id, fp, more): each text's two fingerprints as signed longs. Null text counts as empty."""
 
     def make():
-        return lambda rows: [(i, fp - (1 << 64) if (fp := fingerprint(t or b"", width)) >> 63 else fp) for i, t in rows]
+        return lambda rows: [(i, *map(_signed, fingerprint(t or b"", width))) for i, t in rows]
 
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
-    return map_rows(df.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")), make, schema, "id long, fp long", size_of=1)
+    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("more", pa.int64())])
+    return map_rows(df.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")), make, schema, "id long, fp long, more long", size_of=1)
 
 
 def trie_links(codes: np.ndarray, frontier: list[np.ndarray], width: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -101,7 +113,7 @@ def _leaf_pairs(codes: np.ndarray, a0, a1, b0, b1, own, budget: int) -> tuple[np
     return i[near], j[near]
 
 
-def _forest(batches: Iterator[pa.RecordBatch], budget: int, width: int) -> Iterator[pa.RecordBatch]:
+def _forest(batches: Iterator[pa.RecordBatch], budget: int, both: int, width: int) -> Iterator[pa.RecordBatch]:
     """Links that span what is linked within each group; the rows of a group come in one run."""
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
     held: list[pa.RecordBatch] = []
@@ -111,10 +123,10 @@ def _forest(batches: Iterator[pa.RecordBatch], budget: int, width: int) -> Itera
             table = pa.Table.from_batches(held)
             last = int(_group_starts(table)[-1])
             if last:
-                yield from to_batches(_links(table.slice(0, last), budget, width), schema)
+                yield from to_batches(_links(table.slice(0, last), budget, both, width), schema)
             held = table.slice(last).to_batches()
     if held:
-        yield from to_batches(_links(pa.Table.from_batches(held), budget, width), schema)
+        yield from to_batches(_links(pa.Table.from_batches(held), budget, both, width), schema)
 
 
 def _group_starts(table: pa.Table) -> np.ndarray:
@@ -122,8 +134,8 @@ def _group_starts(table: pa.Table) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
 
 
-def _links(table: pa.Table, budget: int, width: int) -> Iterator[tuple[int, int]]:
-    rest, fp = table["rest"].to_numpy().astype(np.uint64), table["fp"].to_numpy()
+def _links(table: pa.Table, budget: int, both: int, width: int) -> Iterator[tuple[int, int]]:
+    rest, more, fp = table["rest"].to_numpy().astype(np.uint64), table["more"].to_numpy(), table["fp"].to_numpy()
     first, second, cut = (table[c].to_numpy() for c in ("pa", "pb", "cut"))
     lo = _group_starts(table)
     hi = np.append(lo[1:], len(rest))
@@ -139,6 +151,9 @@ def _links(table: pa.Table, budget: int, width: int) -> Iterator[tuple[int, int]
         return x
 
     for i, j in trie_links(rest, [lo, a1, b0, hi, np.zeros(len(lo), dtype=np.int64)], width, budget):
+        if both < 128:
+            near = np.bitwise_count(rest[i] ^ rest[j]) + np.bitwise_count((more[i] ^ more[j]).view(np.uint64)) <= both
+            i, j = i[near], j[near]
         for x, y in zip(i.tolist(), j.tolist()):
             p, q = find(x), find(y)
             if p != q:
@@ -152,21 +167,21 @@ def _block_orders(nodes: DataFrame) -> DataFrame:
     for k, (i, j) in enumerate(BLOCKS):
         a, b = (x for x in range(4) if x not in (i, j))
         orders.append(f"struct({k} as perm, {block[i]} * 65536 + {block[j]} as key, {block[a]} * 65536 + {block[b]} as rest)")
-    return nodes.select("fp", F.explode(F.expr(f"array({', '.join(orders)})")).alias("c")).select("fp", "c.*")
+    return nodes.select("fp", "more", F.explode(F.expr(f"array({', '.join(orders)})")).alias("c")).select("fp", "more", "c.*")
 
 
 def _random_orders(nodes: DataFrame, orders: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders_of = np.random.default_rng(SEED).permuted(np.tile(np.arange(64), (orders, 1)), axis=1)
         for batch in batches:
-            fp = batch.column(0)
+            fp, more = batch.column("fp"), batch.column("more")
             bits = np.unpackbits(fp.to_numpy().view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             for k, order in enumerate(orders_of):
                 code = np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(">u8").ravel().astype(np.uint64)
                 parts = code >> np.uint64(64 - PREFIX), code & np.uint64((1 << (64 - PREFIX)) - 1)
-                yield pa.RecordBatch.from_arrays([fp, pa.array(np.full(len(code), k, dtype=np.int32)), *(pa.array(x.astype(np.int64)) for x in parts)], names=["fp", "perm", "key", "rest"])
+                yield pa.RecordBatch.from_arrays([fp, more, pa.array(np.full(len(code), k, dtype=np.int32)), *(pa.array(x.astype(np.int64)) for x in parts)], names=["fp", "more", "perm", "key", "rest"])
 
-    return nodes.mapInArrow(run, "fp long, perm int, key long, rest long")
+    return nodes.mapInArrow(run, "fp long, more long, perm int, key long, rest long")
 
 
 def trie_rows(codes: DataFrame, budget: int, width: int, node_rows: int = NODE_ROWS) -> DataFrame:
@@ -184,11 +199,11 @@ def trie_rows(codes: DataFrame, budget: int, width: int, node_rows: int = NODE_R
         return f"transform({near}, m -> struct(least({own}, {own} ^ m) as pa, greatest({own}, {own} ^ m) as pb))"
 
     split = F.expr(f"case cut when 0 then array(struct(0L as pa, 0L as pb)) when 6 then {pairs(6)} else {pairs(12)} end")
-    return codes.withColumn("p", F.explode(split)).select("perm", "key", "p.pa", "p.pb", "cut", "rest", "fp")
+    return codes.withColumn("p", F.explode(split)).select("perm", "key", "p.pa", "p.pb", "cut", "rest", "fp", "more")
 
 
-def fingerprint_links(nodes: DataFrame, budget: int = 2, orders: int = ORDERS, node_rows: int = NODE_ROWS) -> DataFrame:
-    """Rows (src, dst) of fingerprints within `budget` bits; they span every linked group.
+def fingerprint_links(nodes: DataFrame, budget: int = 2, both: int = 128, orders: int = ORDERS, node_rows: int = NODE_ROWS) -> DataFrame:
+    """Rows (src, dst) of fingerprints within `budget` bits, and `both` of 128 with `more`; they span every linked group.
 
     Every pair of trie nodes within the budget is visited. The first level takes some bits whole, in several
     orders of the bits, so that no task needs the whole trie: up to two bits in all six choices of two of four
@@ -199,26 +214,28 @@ def fingerprint_links(nodes: DataFrame, budget: int = 2, orders: int = ORDERS, n
     codes = _block_orders(nodes) if exact else _random_orders(nodes, orders)
     keys = ["perm", "key", "pa", "pb"]
     rows = trie_rows(codes, budget, width, node_rows).repartition(*keys).sortWithinPartitions(*keys, "rest")
-    return rows.mapInArrow(lambda batches: _forest(batches, budget, width), "src long, dst long")
+    return rows.mapInArrow(lambda batches: _forest(batches, budget, both, width), "src long, dst long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2, orders: int = ORDERS, node_rows: int = NODE_ROWS) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2, both: int = 128, orders: int = ORDERS, node_rows: int = NODE_ROWS) -> DataFrame:
     """Rows (id, fp, component_id): the smallest id reachable over links of `budget` bits at most.
 
+    With `both` under 128, links also keep to that many differing bits of 128.
+
     Exact copies fall together before the search, which runs over distinct fingerprints. A null text counts
     as empty and has fingerprint 0 like every text without a word; rows with a null id keep their row and
     are grouped like others (the component of rows whose ids are all null is null); an empty table gives an
     empty result; repeated ids give repeated rows.
     """
     prints = checkpoint(fingerprints(df, id_col, text_col, width))
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = connected_components(fingerprint_links(nodes.select("fp"), budget, orders, node_rows))
+    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"), F.min("more").alias("more"))
+    roots = connected_components(fingerprint_links(nodes.select("fp", "more"), budget, both, orders, node_rows))
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(placed.join(lowest, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SIMILAR_WIDTH, budget: int = SIMILAR_BITS) -> DataFrame:
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SIMILAR_WIDTH, budget: int = SIMILAR_BITS, both: int = SIMILAR_BITS_128) -> DataFrame:
     """The rows of `df` whose id is the smallest of its group of near copies; rows with a null id stay."""
-    copies = near_duplicates(df, id_col, text_col, width, budget).where("id <> component_id").select(F.col("id").alias("__copy")).distinct()
+    copies = near_duplicates(df, id_col, text_col, width, budget, both).where("id <> component_id").select(F.col("id").alias("__copy")).distinct()
     return df.join(copies, df[id_col] == copies["__copy"], "left_anti")
