@@ -54,29 +54,38 @@ def collapsed_text(rng: random.Random, generation: int = 1) -> str:
     return ". ".join(out) + "."
 
 
-def make_dataset(spark: SparkSession, n: int, contamination: float, generation: int = 1, seed: int = SEED) -> DataFrame:
-    """Rows (doc_id, text, label): round(n * contamination) collapsed texts, the others human-like; each row has its own seed."""
-    n_synthetic = round(n * contamination)
+def make_datasets(spark: SparkSession, specs: list[tuple[float, int, float, int]], seed: int = SEED) -> DataFrame:
+    """Rows (doc_id, text, label, part) for specs (part, n, contamination, generation), all made in one pass.
+
+    Of each part, round(n * contamination) texts are collapsed and the others human-like; each row has a seed of
+    its own, so the result does not depend on the partitions.
+    """
+    upto = np.cumsum([n for _, n, _, _ in specs])
 
     def make(batches):
         for b in batches:
             rows = []
             for i in b["id"]:
-                rng = random.Random(f"{seed}:{generation}:{contamination}:{i}")
-                synthetic = i < n_synthetic
-                rows.append((i, collapsed_text(rng, generation) if synthetic else human_text(rng), "synthetic" if synthetic else "human"))
-            yield pd.DataFrame(rows, columns=["doc_id", "text", "label"])
+                k = int(np.searchsorted(upto, i, side="right"))
+                part, n, contamination, generation = specs[k]
+                at = i - (upto[k] - n)
+                rng = random.Random(f"{seed}:{part}:{generation}:{at}")
+                synthetic = bool(at < round(n * contamination))
+                rows.append((i, collapsed_text(rng, generation) if synthetic else human_text(rng), "synthetic" if synthetic else "human", float(part)))
+            yield pd.DataFrame(rows, columns=["doc_id", "text", "label", "part"])
 
-    return spark.range(n).mapInPandas(make, ITEM)
+    return spark.range(int(upto[-1]) if specs else 0).mapInPandas(make, f"{ITEM}, part double")
+
+
+def make_dataset(spark: SparkSession, n: int, contamination: float, generation: int = 1, seed: int = SEED) -> DataFrame:
+    """Rows (doc_id, text, label) of one part."""
+    return make_datasets(spark, [(0.0, n, contamination, generation)], seed).drop("part")
 
 
 def simulate_generations(spark: SparkSession, generations: int = 4, n: int = 60, seed: int = SEED) -> DataFrame:
     """Rows (doc_id, text, label, generation), each generation more contaminated and more collapsed."""
-    parts = [make_dataset(spark, n, min(1.0, 0.25 * g), g, seed).withColumn("generation", F.lit(g)) for g in range(1, generations + 1)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    parts = make_datasets(spark, [(float(g), n, min(1.0, 0.25 * g), g) for g in range(1, generations + 1)], seed)
+    return parts.withColumn("generation", F.col("part").cast("int")).drop("part")
 
 
 def _judged(df: DataFrame) -> DataFrame:
@@ -85,10 +94,7 @@ def _judged(df: DataFrame) -> DataFrame:
 
 def contamination_sweep(spark: SparkSession, n: int = 40, levels: int = 11, seed: int = SEED) -> DataFrame:
     """Rows (level, tp, fp, fn, tn, rates, estimated) for contamination 0 to 1."""
-    out = None
-    for k in range(levels):
-        part = make_dataset(spark, n, k / (levels - 1), 2, seed).withColumn("level", F.lit(k / (levels - 1)))
-        out = part if out is None else out.unionByName(part)
+    out = make_datasets(spark, [(k / (levels - 1), n, k / (levels - 1), 2) for k in range(levels)], seed).withColumnRenamed("part", "level")
     d = _judged(out)
     rates = evaluation.confusion(d, F.col("is_synthetic"), F.col("actual"), "level")
     return rates.join(signals.verdict(d, "level").select("level", F.col("estimated_contamination").alias("estimated")), "level")
