@@ -185,13 +185,13 @@ def _random_orders(nodes: DataFrame, orders: int) -> DataFrame:
 
 
 def trie_rows(codes: DataFrame, budget: int, width: int, node_rows: int = NODE_ROWS) -> DataFrame:
-    """One row for each fingerprint and subtrie that it must be searched in, without lonely fingerprints.
+    """One row for each fingerprint and subtrie that it must be searched in.
 
     A subtrie (perm, key) with over `node_rows` fingerprints is cut at its next 6 bits (12 from 64 times that
     size), and each fingerprint goes to the pairs of its node with every node within the budget.
     """
-    sizes = codes.groupBy("perm", "key").agg(F.count("*").alias("n")).where("n > 1")
-    codes = codes.join(sizes, ["perm", "key"]).withColumn("cut", F.expr(f"case when n <= {node_rows} then 0 when n <= {64 * node_rows} then 6 else 12 end"))
+    large = codes.groupBy("perm", "key").agg(F.count("*").alias("n")).where(F.col("n") > node_rows)
+    codes = codes.join(large, ["perm", "key"], "left").withColumn("cut", F.expr(f"case when n is null then 0 when n <= {64 * node_rows} then 6 else 12 end"))
     own = f"shiftrightunsigned(rest, {width} - cut)"
 
     def pairs(bits: int) -> str:
