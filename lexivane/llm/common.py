@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -36,6 +38,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, as after a checkpoint.
+
+    Spark deletes them when the driver's JVM collects their handles, which by itself may take until long after.
+    The first collection frees the plans and the second what they held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
+
+
 def words_of(text: Column) -> Column:
     """Array of the runs of anything but WORD_GAPS; null text gives an empty array."""
     flat = F.translate(F.coalesce(text, F.lit("")), WORD_GAPS[1:], " " * (len(WORD_GAPS) - 1))

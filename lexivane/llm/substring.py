@@ -10,16 +10,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_rows, to_batches
+from .common import checkpoint, map_rows, release_shuffles, to_batches
 
 WINDOW = 13
 #: Words of a minimiser.
 MINIMISER = 2
 #: Distinct packed strings that a map task remembers to combine repeats before the shuffle.
 REMEMBERED = 100_000
+#: Common pairs are looked for in about so many documents, and held by more than this share of them; at most so many.
+SAMPLE_DOCS, COMMON_SHARE, MOST_COMMON = 2000, 0.005, 100_000
 #: Words that a bucket task sorts at once, beyond the bucket that fills it up.
 SORTED_WORDS = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -34,25 +36,60 @@ def word_keys(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def minimisers(keys: np.ndarray, window: int, m: int) -> np.ndarray:
-    """Least m-word value in each window. Long words come first, as rare ones do, so common pairs seldom gather windows."""
-    pair = keys[: len(keys) - m + 1] >> np.uint64(58)
-    mixed = keys[: len(keys) - m + 1].copy()
+def pair_values(keys: np.ndarray, m: int, common: np.ndarray | None = None) -> np.ndarray:
+    """Order of the m-word sequences: long words first, as they are rare, then by hash; `common` ones come last."""
+    n = len(keys) - m + 1
+    length, mixed = keys[:n] >> np.uint64(58), keys[:n].copy()
     for k in range(1, m):
-        part = keys[k : len(keys) - m + 1 + k]
-        pair = pair + (part >> np.uint64(58))
+        part = keys[k : n + k]
+        length = length + (part >> np.uint64(58))
         mixed = (mixed * _MIX) ^ part
     mixed = (mixed ^ (mixed >> np.uint64(29))) * _MIX
-    values = (np.minimum(pair, np.uint64(255)) << np.uint64(56)) | (mixed >> np.uint64(8))
-    return np.lib.stride_tricks.sliding_window_view(values, window - m + 1).min(axis=1)
+    values = (np.minimum(length, np.uint64(126)) << np.uint64(56)) | (mixed >> np.uint64(8))
+    if common is not None and len(common):
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        values = np.where(common[at] == values, values | np.uint64(127 << 56), values)
+    return values
 
 
-def super_kmers(words: list[bytes], known: dict[bytes, int], window: int = WINDOW, m: int = MINIMISER) -> Iterator[tuple[int, int, int]]:
-    """(minimiser, first word, end) of each longest run of windows with one minimiser."""
-    least = minimisers(word_keys(words, known), window, m)
+def super_kmers(words: list[bytes], known: dict[bytes, int], window: int = WINDOW, m: int = MINIMISER, common: np.ndarray | None = None) -> Iterator[tuple[int, int, int]]:
+    """(minimiser, first word, end) of each longest run of windows with one minimiser, the least m-word value in a window."""
+    values = pair_values(word_keys(words, known), m, common)
+    least = np.lib.stride_tricks.sliding_window_view(values, window - m + 1).min(axis=1)
     start = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
     end = np.append(start[1:], len(least)) + window - 1
-    yield from zip((least[start] & np.uint64((1 << 63) - 1)).tolist(), start.tolist(), end.tolist())
+    yield from zip(_bucket(least[start]).tolist(), start.tolist(), end.tolist())
+
+
+def _bucket(least: np.ndarray) -> np.ndarray:
+    """40 bits of a minimiser; two that meet in one bucket cost time only, as strings are compared by their words."""
+    return ((least * _MIX) >> np.uint64(24)).astype(np.int64)
+
+
+def common_pairs(df: DataFrame, m: int = MINIMISER) -> np.ndarray:
+    """Sorted values of the m-word sequences that over COMMON_SHARE of a sample of about SAMPLE_DOCS documents have.
+
+    They serve as minimisers only where a window has nothing rarer, so one of them does not gather the windows of
+    a large part of the corpus. The sample steers how windows are dealt out; which windows repeat does not depend
+    on it.
+    """
+    share = min(1.0, SAMPLE_DOCS / max(1, df.count()))
+    sample = df.where(F.pmod(F.xxhash64(F.lit(11), "doc"), F.lit(1 << 30)) < share * (1 << 30))
+
+    def make():
+        known: dict[bytes, int] = {}
+
+        def work(rows: list[tuple]) -> Iterable[tuple]:
+            for (text,) in rows:
+                words = (text or b"").split()
+                if len(words) >= m:
+                    yield from ((v,) for v in set(pair_values(word_keys(words, known), m).astype(np.int64).tolist()))
+
+        return work
+
+    values = map_rows(sample.select("text"), make, pa.schema([("v", pa.int64())]), "v long", size_of=0).groupBy("v").agg(F.count("*").alias("n"))
+    rows = values.where(F.col("n") > max(2, COMMON_SHARE * SAMPLE_DOCS)).orderBy(F.desc("n"), "v").limit(MOST_COMMON).collect()
+    return np.sort(np.array([r["v"] for r in rows], dtype=np.int64).astype(np.uint64))
 
 
 def repeats(packed: list[bytes], docs: np.ndarray, window: int = WINDOW) -> Iterator[tuple[int, int, int]]:
@@ -97,18 +134,24 @@ def repeats(packed: list[bytes], docs: np.ndarray, window: int = WINDOW) -> Iter
     yield from zip(r[new].tolist(), lo[new].tolist(), (lo[last] + window).tolist())
 
 
-_ROWS = pa.schema([("bucket", pa.int64()), ("packed", pa.binary()), ("doc", pa.int64()), ("tag", pa.int32()), ("at", pa.int32()), ("until", pa.int32())])
+_CUTS = "bucket long, doc long, tag int, at int, until int, known boolean"
+_ROWS = "bucket long, packed binary, doc long, tag int, at int, until int"
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
 
 
-def _cut(df: DataFrame, window: int, m: int) -> DataFrame:
-    """Packed strings by bucket, and (with a null string) ranges that are already known to go.
+def _cut(df: DataFrame, common: np.ndarray, window: int, m: int) -> DataFrame:
+    """Buckets and word ranges of all super-k-mers of the rows (doc, tag, text).
 
-    A map task sends each distinct string once: where it has seen the string in a document with a smaller id,
-    every window in it goes, and only the range is sent.
+    A map task that has seen a string in a document with a smaller id knows that every window in it goes, so a
+    string that many documents share reaches its bucket once a task.
     """
 
     def make():
-        known: dict[bytes, int] = {}
+        names: dict[bytes, int] = {}
         seen: dict[bytes, int] = {}
 
         def work(rows: list[tuple]) -> Iterable[tuple]:
@@ -118,18 +161,40 @@ def _cut(df: DataFrame, window: int, m: int) -> DataFrame:
                     continue
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                for bucket, lo, hi in super_kmers(words, known, window, m):
+                for bucket, lo, hi in super_kmers(words, names, window, m, common):
                     packed = b" ".join(words[lo:hi])
                     before = seen.get(packed)
-                    if before is not None and before < doc:
-                        yield bucket, None, doc, tag, lo, hi
-                    else:
+                    known = before is not None and before < doc
+                    if not known:
                         seen[packed] = doc
-                        yield bucket, packed, doc, tag, lo, hi
+                    yield bucket, doc, tag, lo, hi, known
 
         return work
 
-    return map_rows(df, make, _ROWS, "bucket long, packed binary, doc long, tag int, at int, until int", chunk_bytes=1 << 20, size_of=2)
+    return map_rows(df, make, _arrow(_CUTS), _CUTS, chunk_bytes=1 << 20, size_of=2)
+
+
+def _strings(df: DataFrame, common: np.ndarray, window: int, m: int) -> DataFrame:
+    """Packed strings of the ranges that documents (id, tag, packed text, spans) list; known ranges have none."""
+
+    def make():
+        unpack, names = zstandard.ZstdDecompressor(), {}
+
+        def work(rows: list[tuple]) -> Iterable[tuple]:
+            for doc, tag, packed, spans in rows:
+                words = unpack.decompress(packed).split()
+                values = pair_values(word_keys(words, names), m, common)
+                for x in spans:
+                    known, lo, hi = x & 1, x >> 32, (x & 0xFFFFFFFF) >> 1
+                    if known:
+                        yield 0, None, doc, tag, lo, hi
+                    else:  # all windows of the string have the minimiser of the first
+                        bucket = _bucket(values[lo : lo + window - m + 1].min(keepdims=True))
+                        yield int(bucket[0]), b" ".join(words[lo:hi]), doc, tag, lo, hi
+
+        return work
+
+    return map_rows(df, make, _arrow(_ROWS), _ROWS, chunk_bytes=1 << 20, size_of=2)
 
 
 def _count(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -166,18 +231,34 @@ def _count(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
 
 
 def _tag(text_col: str):
-    return F.xxhash64(text_col).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    return F.pmod(F.xxhash64(text_col), F.lit(1 << 16)).cast("int")
 
 
 def repeated_ranges(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW, m: int = MINIMISER) -> DataFrame:
-    """Rows (doc, tag, spans): per document the word ranges that repeat a smaller document; tag tells texts of one id apart."""
-    cut = _cut(df.select(F.col(id_col).cast("long"), _tag(text_col), F.col(text_col).cast("binary")), window, m)
+    """Rows (doc, tag, spans): per document the word ranges that repeat a smaller document; tag tells texts of one id apart.
+
+    First only ranges meet by minimiser: a bucket with one document holds no repeat. The strings of the other
+    buckets then travel and are counted.
+    """
+    docs = df.select(F.col(id_col).cast("long").alias("doc"), _tag(text_col).alias("tag"), F.col(text_col).cast("binary").alias("text"))
+    common = common_pairs(docs, m)
+    cut = _cut(docs, common, window, m)
+    w = Window.partitionBy("bucket")
+    shared = cut.withColumn("lo", F.min("doc").over(w)).withColumn("hi", F.max("doc").over(w)).where("known or lo < hi")
+    span = F.expr("shiftleft(cast(at as long), 32) + until * 2L + cast(known as int)")
+    spans = shared.groupBy("doc", "tag").agg(F.collect_set(span).alias("spans"))
+    both = _packed_docs(df, id_col, text_col).join(spans.withColumnRenamed("tag", "of"), F.expr("id = doc and tag = of"))
+    strings = _strings(both.select("id", "tag", "packed", "spans"), common, window, m)
     # Ranges without a string need no bucket and are spread over all tasks.
     to = F.when(F.col("packed").isNull(), F.xxhash64("doc", "at")).otherwise(F.col("bucket"))
-    found = cut.repartition(to).sortWithinPartitions("bucket").mapInArrow(lambda batches: _count(batches, window), "doc long, tag int, at int, until int")
+    found = strings.repartition(to).sortWithinPartitions("bucket").mapInArrow(lambda batches: _count(batches, window), "doc long, tag int, at int, until int")
     return found.groupBy("doc", "tag").agg(F.collect_set(F.struct("at", "until")).alias("spans"))
 
 
+def _packed_docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), _tag(text_col).alias("tag"), _packer()(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("packed"))
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, m: int = MINIMISER) -> DataFrame:
     """Rows (id, text, n_words, n_removed): texts without the words in windows that a smaller document also has.
 
@@ -186,14 +267,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     that share an id are one document, so they never remove each other's words; an empty table gives an empty
     result; extra columns are left out.
 
-    A bucket holds the windows around one pair of words, and long (rare) words come first as minimisers. A word
-    that every document of a third of the corpus has once brings 13 of that document's windows to its bucket, and
-    strings that recur are combined before the shuffle.
+    A bucket holds the windows around one pair of words. Long (rare) words come first as minimisers and pairs
+    that are common in a sample last, and strings that recur in a map task are combined before the shuffle, so
+    neither a common pair nor a common passage gathers a large part of the corpus.
     """
     ranges = checkpoint(repeated_ranges(df, id_col, text_col, window, m))
-    docs = df.select(F.col(id_col).cast("long").alias("id"), _tag(text_col).alias("tag"), _packer()(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("packed"))
-    ranges = ranges.withColumnRenamed("tag", "of")
-    both = docs.join(ranges, (docs["id"] == ranges["doc"]) & (docs["tag"] == ranges["of"]), "left").select("id", "packed", "spans")
+    release_shuffles(df.sparkSession)
+    docs = _packed_docs(df, id_col, text_col)
+    both = docs.join(ranges.withColumnRenamed("tag", "of"), F.expr("id = doc and tag = of"), "left").select("id", "packed", "spans")
 
     def make():
         unpack = zstandard.ZstdDecompressor()
