@@ -8,10 +8,10 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, map_rows, to_batches
+from .common import bounded_batches, checkpoint, connected_components, map_rows, to_batches
 
 SEED = 42
 #: The 64 bits are cut into four blocks; fingerprints at two differing bits at most agree on two whole blocks.
@@ -27,6 +27,11 @@ ORDERS, PREFIX = 56, 18
 #: 9.7 of 64 bits (standard deviation 2.9) and 19.5 of 128 (4.1). Unrelated texts differ in 32 and 64 bits. The trie
 #: is searched with the first number; links also keep to the second over 64 more bits.
 SIMILAR_BITS, SIMILAR_BITS_128, SIMILAR_WIDTH = 16, 26, 5
+#: Links beyond two bits hold this Jaccard similarity of their shingle sets, counted exactly.
+SIMILAR = 0.8
+#: Texts, and words, that are compared with each other in one place; larger groups are cut into pairs of blocks.
+BLOCK_TEXTS, BLOCK_WORDS = 1_000, 2_000_000
+SALTS = 16
 
 
 def fingerprint(data: bytes, width: int) -> tuple[int, int]:
@@ -34,24 +39,28 @@ def fingerprint(data: bytes, width: int) -> tuple[int, int]:
 
     The first is over XXH64 of the shingles, the second over a bit mixer of those hashes.
     """
+    return _simhash(shingle_hashes(data, width)) if data.split() else (0, 0)
+
+
+def shingle_hashes(data: bytes, width: int) -> np.ndarray:
+    """XXH64 of a text's word shingles in their order; fewer words, or none, are one shingle."""
     words = data.lower().split()
-    if not words:
-        return 0, 0
     flat = b" ".join(words)
     if len(words) <= width:
-        grams = [flat]
-    else:
-        starts = [0, *accumulate(len(w) + 1 for w in words)]
-        grams = [flat[a : b - 1] for a, b in zip(starts, starts[width:])]
+        return np.array([xxhash.xxh64_intdigest(flat, SEED)], dtype="<u8")
+    starts = [0, *accumulate(len(w) + 1 for w in words)]
+    return np.fromiter((xxhash.xxh64_intdigest(flat[a : b - 1], SEED) for a, b in zip(starts, starts[width:])), dtype="<u8", count=len(words) - width + 1)
+
+
+def _simhash(hashes: np.ndarray) -> tuple[int, int]:
     ones = np.zeros((2, 64), dtype=np.int64)
-    for lo in range(0, len(grams), 65_536):
-        part = grams[lo : lo + 65_536]
-        h = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in part), dtype="<u8", count=len(part))
+    for lo in range(0, len(hashes), 65_536):
+        h = hashes[lo : lo + 65_536]
         mixed = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         for k, x in enumerate((h, mixed ^ (mixed >> np.uint64(31)))):
             ones[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    first, second = np.packbits(2 * ones > len(grams), axis=1, bitorder="little").view("<u8").ravel().tolist()
+    first, second = np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<u8").ravel().tolist()
     return first, second
 
 
@@ -217,22 +226,132 @@ def fingerprint_links(nodes: DataFrame, budget: int = 2, both: int = 128, orders
     return rows.mapInArrow(lambda batches: _forest(batches, budget, both, width), "src long, dst long")
 
 
+def _sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """Rows (id, node, fp, more, words): node stands for the text's bytes."""
+
+    def make():
+        def sketch(i, node, text):
+            h = shingle_hashes(text, width)
+            return i, node, *map(_signed, _simhash(h) if text.split() else (0, 0)), len(h)
+
+        return lambda rows: [sketch(*r) for r in rows]
+
+    schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("more", pa.int64()), ("words", pa.int64())])
+    return map_rows(_texts(df.select(F.col(id_col).cast("long").alias("id"), _bytes(text_col).alias("text"))).select("id", "node", "text"), make, schema, "id long, node long, fp long, more long, words long", size_of=2)
+
+
+def _bytes(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))
+
+
+def _texts(d: DataFrame) -> DataFrame:
+    return d.withColumn("node", F.xxhash64("text"))
+
+
+def _candidates(nodes: DataFrame, budget: int, both: int, orders: int, node_rows: int) -> DataFrame:
+    """Rows (src, dst) of nodes that may be similar, by bits; they span every group of candidates.
+
+    Whatever shares a fingerprint is tied to the smallest node that has it, so a large group of
+    copies makes as many rows as it has texts.
+    """
+    prints = nodes.groupBy("fp").agg(F.min("node").alias("first"), F.min("more").alias("more"))
+    links = fingerprint_links(prints.select("fp", "more"), budget, both, orders, node_rows).distinct()
+    first = lambda c: prints.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
+    by_bits = links.join(first("src"), "src").join(first("dst"), "dst").select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
+    keys = nodes.select("node", F.col("fp").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("dst"), F.max("node").alias("last")).where("dst <> last")
+    shared = shared.select("key", "dst", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    by_key = keys.withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int")).join(shared, ["key", "salt"]).where("node <> dst")
+    return by_bits.union(by_key.select(F.col("node").alias("src"), "dst"))
+
+
+def _similar(hashes: list[np.ndarray], nodes: list[int], left: np.ndarray, right: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+    """Node pairs of Jaccard `least` or more between `left` and `right` texts; they span every linked group."""
+    order = sorted(range(len(nodes)), key=lambda k: (len(hashes[k]), nodes[k]))
+    size = np.array([len(hashes[k]) for k in order])
+    left, right = left[order], right[order]
+    group = np.arange(len(order))
+    for i in range(1, len(order)):
+        lo = int(np.searchsorted(size, least * size[i] - 1e-9))
+        rest = np.arange(lo, i)[::-1]
+        rest = rest[((left[rest] & right[i]) | (right[rest] & left[i])) & (group[rest] != group[i])]
+        own = hashes[order[i]]
+        while len(rest):
+            j, rest = rest[0], rest[1:]
+            both = len(np.intersect1d(own, hashes[order[j]], assume_unique=True))
+            if both >= least * (size[i] + size[j] - both) - 1e-9:
+                yield nodes[order[i]], nodes[order[j]]
+                group[group == group[j]] = group[i]
+                rest = rest[group[rest] != group[i]]
+
+
+def _verified(rows: DataFrame, width: int, least: float) -> DataFrame:
+    """Rows (src, dst) that span what is linked by `least`, from rows (root, pa, pb, block, node, text)."""
+    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+    keys = ["root", "pa", "pb"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links():
+            now, held = None, []
+            for batch in batches:
+                for *key, block, node, text in zip(*(c.to_pylist() for c in batch.columns)):
+                    if key != now:
+                        yield from compare(now, held)
+                        now, held = key, []
+                    held.append((block, node, np.unique(shingle_hashes(text, width))))
+            yield from compare(now, held)
+
+        def compare(key, held):
+            if len(held) > 1:
+                block = np.array([b for b, _, _ in held])
+                yield from _similar([h for *_, h in held], [n for _, n, _ in held], block == key[1], block == key[2], least)
+
+        yield from to_batches(links(), schema)
+
+    bounded_batches(rows.sparkSession)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "src long, dst long")
+
+
+def similar_links(df: DataFrame, nodes: DataFrame, text_col: str, width: int, budget: int, both: int, orders: int, node_rows: int, least: float = SIMILAR) -> DataFrame:
+    """Rows (src, dst) of nodes whose shingle sets have a Jaccard similarity of `least`; they span every linked group.
+
+    Candidates only say which texts meet: within each of their groups every pair of texts is compared exactly,
+    but for pairs that links already join. A group over BLOCK_TEXTS texts or BLOCK_WORDS words is cut into blocks
+    that meet in pairs, so that no task holds all of it.
+    """
+    groups = checkpoint(connected_components(_candidates(nodes, budget, both, orders, node_rows)).join(nodes.select("node", "words"), "node"))
+    size = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("words") / BLOCK_WORDS)).cast("int").alias("n"))
+    members = groups.select("node", "root").join(size, "root").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("n")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.least("block", k).alias("pa"), F.greatest("block", k).alias("pb")))
+    texts = _texts(df.select(_bytes(text_col).alias("text"))).join(members, "node").dropDuplicates(["node"])
+    return _verified(texts.withColumn("p", F.explode(meets)).select("root", "p.pa", "p.pb", "block", "node", "text"), width, least)
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2, both: int = 128, orders: int = ORDERS, node_rows: int = NODE_ROWS) -> DataFrame:
-    """Rows (id, fp, component_id): the smallest id reachable over links of `budget` bits at most.
+    """Rows (id, fp, component_id): the smallest id reachable over links.
 
-    With `both` under 128, links also keep to that many differing bits of 128.
+    Up to a budget of two, a link is a pair of fingerprints within `budget` bits. Beyond, it is a pair of texts
+    whose shingle sets have a Jaccard similarity of SIMILAR; `budget`, and `both` of 128 bits, then only choose
+    what is compared.
 
-    Exact copies fall together before the search, which runs over distinct fingerprints. A null text counts
+    Exact copies fall together before the search. A null text counts
     as empty and has fingerprint 0 like every text without a word; rows with a null id keep their row and
     are grouped like others (the component of rows whose ids are all null is null); an empty table gives an
     empty result; repeated ids give repeated rows.
     """
-    prints = checkpoint(fingerprints(df, id_col, text_col, width))
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"), F.min("more").alias("more"))
-    roots = connected_components(fingerprint_links(nodes.select("fp", "more"), budget, both, orders, node_rows))
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    if budget <= 2:
+        key, prints = "fp", checkpoint(fingerprints(df, id_col, text_col, width))
+        nodes = prints.groupBy("fp").agg(F.min("id").alias("least"), F.min("more").alias("more"))
+        links = fingerprint_links(nodes.select("fp", "more"), budget, both, orders, node_rows)
+    else:
+        key, prints = "node", checkpoint(_sketches(df, id_col, text_col, width))
+        nodes = prints.groupBy("node").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("fp", "more", "words")))
+        links = similar_links(df, nodes.drop("least"), text_col, width, budget, both, orders, node_rows)
+        nodes = prints.groupBy("node").agg(F.min("id").alias("least"))
+    roots = connected_components(links)
+    placed = nodes.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
     lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(placed.join(lowest, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    return prints.join(placed.join(lowest, "root").select(key, "component_id"), key).select("id", "fp", "component_id")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SIMILAR_WIDTH, budget: int = SIMILAR_BITS, both: int = SIMILAR_BITS_128) -> DataFrame:

@@ -103,3 +103,48 @@ def test_five_word_near_copies_fall_together(spark):
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(other))], "doc_id long, text string")
     assert {r["doc_id"] for r in simhash.keep_first(df).collect()} == {1, 3}
     assert simhash.near_duplicates(df).where(F.col("id") == 3).first()["component_id"] == 3
+
+
+def _jaccard(a, b, width=5):
+    a, b = ({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_similarity_stage_links_nothing_below_its_jaccard(spark):
+    """Planted pairs of similarity 0.5 to 0.95: none below 0.8 falls together."""
+    rng = np.random.default_rng(5)
+    texts, want = [], []
+    for p in range(300):
+        n = int(rng.choice([64, 304]))
+        words = [f"p{p}w{k}" for k in range(n)]
+        near, cut = list(words), int(rng.uniform(0.02, 0.33) * n)
+        near[n - cut :] = [f"p{p}x{k}" for k in range(cut)]
+        near = near if p % 2 else near[-3:] + near[:-3]
+        texts += [words, near]
+        want.append(_jaccard(words, near) >= 0.8)
+    assert 60 < sum(want) < 240
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in simhash.near_duplicates(df, width=5, budget=16, both=26).collect()}
+    found = [got[2 * p + 1] == 2 * p for p in range(300)]
+    assert sum(found) > 60 and not any(f and not w for f, w in zip(found, want))
+
+
+def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
+    words = [f"w{k}" for k in range(200)]
+    texts = [[*words[: 200 - k], *(f"x{k}y{i}" for i in range(k))] for k in range(0, 80, 2)]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    want = brute_links(texts)
+    for most in (1_000, 7):
+        monkeypatch.setattr(simhash, "BLOCK_TEXTS", most)
+        got = [r["component_id"] for r in simhash.near_duplicates(df, width=5, budget=16, both=26).orderBy("id").collect()]
+        assert got == want
+
+
+def brute_links(texts):
+    least = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if least[i] != least[j] and _jaccard(texts[i], texts[j]) >= 0.8:
+                lo, hi = sorted((least[i], least[j]))
+                least = [lo if x == hi else x for x in least]
+    return least
