@@ -29,6 +29,9 @@ ORDERS, PREFIX = 56, 18
 SIMILAR_BITS, SIMILAR_BITS_128, SIMILAR_WIDTH = 16, 26, 5
 #: Links beyond two bits hold this Jaccard similarity of their shingle sets, counted exactly.
 SIMILAR = 0.8
+#: What the bit search misses is found by MinHash: texts that agree in all BAND_ROWS minima of one of BANDS bands are
+#: compared too. A pair of similarity s meets in a band with probability 1 - (1 - s ** BAND_ROWS) ** BANDS: 0.99993 at 0.8.
+BANDS, BAND_ROWS = 24, 5
 #: Texts, and words, that are compared with each other in one place; larger groups are cut into pairs of blocks.
 BLOCK_TEXTS, BLOCK_WORDS = 1_000, 2_000_000
 SALTS = 16
@@ -227,17 +230,25 @@ def fingerprint_links(nodes: DataFrame, budget: int = 2, both: int = 128, orders
 
 
 def _sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Rows (id, node, fp, more, words): node stands for the text's bytes."""
+    """Rows (id, node, fp, more, words, bands): node stands for the text's bytes, bands are hashes of its MinHash bands."""
 
     def make():
+        rng = np.random.default_rng(SEED)
+        flip, by = (rng.integers(0, 1 << 64, size=(1, BANDS * BAND_ROWS), dtype=np.uint64) for _ in range(2))
+        by |= np.uint64(1)
+
         def sketch(i, node, text):
             h = shingle_hashes(text, width)
-            return i, node, *map(_signed, _simhash(h) if text.split() else (0, 0)), len(h)
+            least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+            for lo in range(0, len(h), 1024):
+                np.minimum(least, ((h[lo : lo + 1024, None] ^ flip) * by).min(axis=0), out=least)
+            bands = [_signed(xxhash.xxh64_intdigest(x.tobytes(), k)) for k, x in enumerate(least.reshape(BANDS, BAND_ROWS))]
+            return i, node, *map(_signed, _simhash(h) if text.split() else (0, 0)), len(h), bands
 
         return lambda rows: [sketch(*r) for r in rows]
 
-    schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("more", pa.int64()), ("words", pa.int64())])
-    return map_rows(_texts(df.select(F.col(id_col).cast("long").alias("id"), _bytes(text_col).alias("text"))).select("id", "node", "text"), make, schema, "id long, node long, fp long, more long, words long", size_of=2)
+    schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("more", pa.int64()), ("words", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    return map_rows(_texts(df.select(F.col(id_col).cast("long").alias("id"), _bytes(text_col).alias("text"))).select("id", "node", "text"), make, schema, "id long, node long, fp long, more long, words long, bands array<long>", size_of=2)
 
 
 def _bytes(text_col: str) -> Column:
@@ -249,16 +260,16 @@ def _texts(d: DataFrame) -> DataFrame:
 
 
 def _candidates(nodes: DataFrame, budget: int, both: int, orders: int, node_rows: int) -> DataFrame:
-    """Rows (src, dst) of nodes that may be similar, by bits; they span every group of candidates.
+    """Rows (src, dst) of nodes that may be similar, by bits or by a band; they span every group of candidates.
 
-    Whatever shares a fingerprint is tied to the smallest node that has it, so a large group of
+    Whatever shares a fingerprint or a band is tied to the smallest node that has it, so a large group of
     copies makes as many rows as it has texts.
     """
     prints = nodes.groupBy("fp").agg(F.min("node").alias("first"), F.min("more").alias("more"))
     links = fingerprint_links(prints.select("fp", "more"), budget, both, orders, node_rows).distinct()
     first = lambda c: prints.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
     by_bits = links.join(first("src"), "src").join(first("dst"), "dst").select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
-    keys = nodes.select("node", F.col("fp").alias("key"))
+    keys = nodes.select("node", F.explode(F.array_append("bands", F.xxhash64(F.lit("fp"), "fp"))).alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("dst"), F.max("node").alias("last")).where("dst <> last")
     shared = shared.select("key", "dst", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     by_key = keys.withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int")).join(shared, ["key", "salt"]).where("node <> dst")
@@ -332,7 +343,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Up to a budget of two, a link is a pair of fingerprints within `budget` bits. Beyond, it is a pair of texts
     whose shingle sets have a Jaccard similarity of SIMILAR; `budget`, and `both` of 128 bits, then only choose
-    what is compared.
+    what is compared, together with the MinHash bands.
 
     Exact copies fall together before the search. A null text counts
     as empty and has fingerprint 0 like every text without a word; rows with a null id keep their row and
@@ -345,7 +356,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         links = fingerprint_links(nodes.select("fp", "more"), budget, both, orders, node_rows)
     else:
         key, prints = "node", checkpoint(_sketches(df, id_col, text_col, width))
-        nodes = prints.groupBy("node").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("fp", "more", "words")))
+        nodes = prints.groupBy("node").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("fp", "more", "words", "bands")))
         links = similar_links(df, nodes.drop("least"), text_col, width, budget, both, orders, node_rows)
         nodes = prints.groupBy("node").agg(F.min("id").alias("least"))
     roots = connected_components(links)
