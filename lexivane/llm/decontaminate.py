@@ -18,7 +18,7 @@ from .common import bounded_batches, chunks
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that a passage must reach to be verified.
 RETRIEVE = 0.7
-#: Share of the five-word shingles of the question, and of the answer, that a passage must hold.
+#: Share of the five-word shingles of an item, or of its question and of its answer, that a passage must hold.
 OVERLAP = 0.8
 SHINGLE = 5
 #: Words of a passage; it grows with the longest item so that every item lies whole in some passage.
@@ -27,7 +27,7 @@ PASSAGE = 128
 BLOCK = 4
 #: Items, and bytes of items, of one broadcast index; more items are searched index by index.
 MOST_ITEMS, MOST_BYTES = 20_000, 16 << 20
-#: Without an answer column, the last third of an item's words is its answer.
+#: A share for items that are known to end in their answer; items without an answer column are verified whole.
 ANSWER_SHARE = 1 / 3
 _WORD = re.compile(r"\w+")
 
@@ -166,8 +166,12 @@ def _best(found: list[tuple]) -> list[tuple]:
     return sorted(best.values())
 
 
-def item_shards(items: DataFrame, item_col: str = "item_id", text_col: str = "text", question_col: str | None = None, answer_col: str | None = None, most: int = MOST_ITEMS) -> Iterator[ItemIndex]:
-    """Indexes of the items, each of bounded size. Items with a null id or without a word are left out."""
+def item_shards(items: DataFrame, item_col: str = "item_id", text_col: str = "text", question_col: str | None = None, answer_col: str | None = None, most: int = MOST_ITEMS, answer_share: float = 0.0) -> Iterator[ItemIndex]:
+    """Indexes of the items, each of bounded size. Items with a null id or without a word are left out.
+
+    Without question and answer columns an item is one whole, unless `answer_share` of its words, the last ones,
+    are to be held as well for themselves.
+    """
     rows = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long"), *(F.col(c) for c in ((question_col, answer_col) if question_col else (text_col,))))
     part: list[tuple] = []
     held = 0
@@ -176,7 +180,7 @@ def item_shards(items: DataFrame, item_col: str = "item_id", text_col: str = "te
             question, answer = row[1] or "", row[2] or ""
         else:
             words = (row[1] or "").split()
-            cut = len(words) - int(len(words) * ANSWER_SHARE)
+            cut = len(words) - int(len(words) * answer_share)
             question, answer = " ".join(words[:cut]), " ".join(words[cut:])
         part.append((row[0], question, answer))
         held += len(question) + len(answer)
@@ -201,7 +205,9 @@ def _matches(df: DataFrame, index: ItemIndex, retrieve: float, overlap: float) -
 
 
 def find_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", retrieve: float = RETRIEVE, overlap: float = OVERLAP, **columns) -> DataFrame:
-    """`df` with `leaks`, the array of benchmark items (id, score, overlaps) whose question and answer a passage of the text holds.
+    """`df` with `leaks`, the array of benchmark items (id, score, overlaps) that a passage of the text holds: whole, or question and answer where the items have both columns.
+
+    The overlap of an item without an answer is its `question_overlap`; the empty answer counts as held (1.0).
 
     Every passage of every whole text is a query; passages overlap by half and are at least twice as long as the
     longest item. Words are lower-cased runs of word characters. Null and empty texts, an empty table and empty

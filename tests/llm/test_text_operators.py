@@ -212,6 +212,21 @@ def test_decontamination_matches_brute_force(spark, odd, none):
     assert decontaminate.decontaminate(none, bench).count() == 0 and decontaminate.decontaminate(odd, bench.limit(0)).count() == odd.count()
 
 
+def test_items_without_answer_count_as_a_whole(spark):
+    items = [(n, " ".join(f"item{n}word{k}" for k in range(n))) for n in (30, 36, 55)]
+    texts, want = [], []
+    for n, item in items:
+        for k in range(n):
+            w = item.split()
+            w[k] = "changed"
+            have = {5: decontaminate._all_shingles(w, 5)}
+            texts.append("some prose before " + " ".join(w) + " and after it")
+            want.append(decontaminate._share(decontaminate.shingles(item.split()), have) >= 0.8)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).orderBy("doc_id").collect()
+    assert [bool(r["leaks"]) for r in found] == want and sum(want) > 90
+
+
 def test_wand_retrieves_all_above_threshold():
     rng = random.Random(2)
     vocab = [f"t{i}" for i in range(40)]
