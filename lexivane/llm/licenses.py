@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -38,17 +41,20 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("all-rights-reserved", "All rights reserved."),
 )
-#: Every template holds one of these; a text without any is not looked at further.
-ANCHOR = r"licen[sc]e|all rights reserved|all copyright|permission (?:is hereby|to use)|redistribution and use|prior written permission|free software|unencumbered"
+#: Every template holds one of these, perhaps across a line end; a text without any is not looked at further.
+ANCHOR = r"licen[sc]e|all\W+rights\W+reserved|all\W+copyright|permission\W+(?:is\W+hereby|to\W+use)|redistribution\W+and\W+use|prior\W+written\W+permission|free\W+software|unencumbered"
 #: Characters of context on each side of an anchor in a long line.
 REACH = 600
 #: Least size reduction of a candidate, and least share of a template's words that the block has in order.
 LEAST_REDUCTION = 0.3
 LEAST_WORDS = 0.9
+#: Words that a window around an anchor reaches beyond a template's own length, as a share of it.
+SLACK = 0.25
 #: Best candidates of a block that are compared word by word: every template that reduces it enough.
 REMEMBERED = 20_000
 _ANCHOR = re.compile(ANCHOR, re.IGNORECASE)
 _WORD = re.compile(r"\w+(?:[.-]\w+)*")
+_WRAP = re.compile(r"\s*\n[\s#*;%/|>!-]*")
 FOUND = "array<struct<license:string,template:int,reduction:double,missing:int,added:int>>"
 
 
@@ -85,6 +91,7 @@ class Scanner:
         """(license, template, reduction, missing, added) of the templates that the block holds, most reduction first.
 
         A line with an anchor is a block as well as its paragraph, since a notice is a small part of a long one.
+        Where the size reduction of these is too small for what surrounds a notice, windows are looked at.
         """
         lines = [x for x in block.split("\n") if _ANCHOR.search(x)]
         best: dict[str, tuple] = {}
@@ -102,8 +109,39 @@ class Scanner:
                     x = (self.names[-k], -k, reduction, len(missing), len(added))
                     if x[0] not in best or x[2] > best[x[0]][2]:
                         best[x[0]] = x
+        for x in self._windows(block):
+            if x[0] not in best or x[2] > best[x[0]][2]:
+                best[x[0]] = x
         return tuple(sorted(best.values(), key=lambda x: -x[2]))
 
+    def _windows(self, block: str) -> Iterator[tuple]:
+        """What of the templates stands around an anchor, by wording alone: neither the text around it nor line ends count.
+
+        A window reaches a template's length and SLACK to both sides of an anchor. The size reduction is that of
+        the words found, and ranks only.
+        """
+        spans = [m.span() for m in _WORD.finditer(block)]
+        words = [block[a:b].lower() for a, b in spans]
+        starts = [a for a, _ in spans]
+        anchors = [max(0, bisect_right(starts, m.start()) - 1) for m in _ANCHOR.finditer(block)]
+        held = set(words)
+        for k, template in enumerate(self.words):
+            least = LEAST_WORDS * len(template)
+            if sum(w in held for w in template) < least:
+                continue
+            reach, wanted = len(template) + int(SLACK * len(template)) + 1, Counter(template)
+            for at in dict.fromkeys(anchors):
+                lo = max(0, at - reach)
+                window = words[lo : at + reach + 1]
+                if (wanted & Counter(window)).total() < least:
+                    continue
+                missing, added, first, last = _aligned(template, window)
+                if len(missing) > (1 - LEAST_WORDS) * len(template) or len(added) > SLACK * len(template) or _telling(missing + added):
+                    continue
+                data = _WRAP.sub(" ", block[spans[lo + first][0] : spans[lo + last][1]]).lower().encode()
+                plain = len(self.plain.compress(data))
+                yield self.names[k], k, (plain - len(self.given[k].compress(data))) / plain, len(missing), len(added)
+
 
 def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
@@ -116,12 +154,19 @@ def _telling(words: list[str]) -> bool:
 
 def differences(template: list[str], block: list[str]) -> tuple[list[str], list[str]]:
     """Words of the template that the block lacks, and words that the block has between them."""
+    missing, added, _, _ = _aligned(template, block)
+    return missing, added
+
+
+def _aligned(template: list[str], block: list[str]) -> tuple[list[str], list[str], int, int]:
+    """`differences`, and the first and last word of the block that stand in the template."""
     same = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
     if not same:
-        return template, []
+        return template, [], 0, -1
     kept = {i for m in same for i in range(m.a, m.a + m.size)}
     inside = {j for m in same for j in range(m.b, m.b + m.size)}
-    return [w for i, w in enumerate(template) if i not in kept], [block[j] for j in range(min(inside), max(inside) + 1) if j not in inside]
+    first, last = min(inside), max(inside)
+    return [w for i, w in enumerate(template) if i not in kept], [block[j] for j in range(first, last + 1) if j not in inside], first, last
 
 
 _scanner: dict[tuple, Scanner] = {}

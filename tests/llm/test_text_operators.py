@@ -259,6 +259,18 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(odd).where("size(licenses) > 0").count() == 0 and licenses.scan(none).count() == 0
 
 
+def test_licenses_whatever_surrounds_them(spark):
+    around = "this quite ordinary sentence of prose goes on about other matters for a while and then says that it was"
+    texts = [(f"{around} {t} {around}.", n) for n, t in licenses.TEMPLATES]
+    for n, t in licenses.TEMPLATES:
+        w = t.split()
+        cut = len(w) // 2
+        texts.append((f"// {' '.join(w[:cut])}\n// {' '.join(w[cut:])}\n" + "\n".join(f"int value_{i} = compute(other_{i * 7919 % 100}, {i});" for i in range(20)), n))
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: {x["license"] for x in r["licenses"]} for r in licenses.scan(df).collect()}
+    assert [n for i, (_, n) in enumerate(texts) if n not in got[i]] == []
+
+
 def test_fingerprint_of_results_is_stable(spark, sf):
     """Two runs of a query give the same rows."""
     a, b = (hashlib.sha256(repr(rows(queries.op7_substrings(spark, sf))).encode()).hexdigest() for _ in range(2))
