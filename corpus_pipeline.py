@@ -12,13 +12,16 @@ from lexivane.llm.common import shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.keep_good(docs)
+    """Documents that the quality rules keep, without the lines over the host limit; n_chars follows the text."""
+    return _measured(quality.clean_good(docs), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without cross-site boilerplate lines; n_chars follows the text."""
-    cleaned = lines.clean_lines(docs)
+    return _measured(lines.clean_lines(docs), docs)
+
+
+def _measured(cleaned: DataFrame, docs: DataFrame) -> DataFrame:
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -16,7 +16,7 @@ SALTS = 16
 
 
 def document_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """Per row: id, the base counts, and `lines`, an array of (k1, k2, chars) for each line with a word.
+    """Per row: id, t (a hash of text and host), the base counts, and `lines`, an array of (k1, k2, chars) for each line with a word.
 
     k1 and k2 are two 64-bit hashes of host and line; lines are compared lower-cased and trimmed. The three-word
     windows of a text are compared by 64-bit hashes within that text only.
@@ -27,7 +27,7 @@ def document_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     d = d.withColumn("g", F.expr("if(n < 3, array(), transform(sequence(0, n - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])))"))
     d = d.withColumn("l", F.filter(F.split("text", "\n", -1), lambda x: F.translate(x, WORD_GAPS, "") != ""))
     d = d.select(
-        "id", "host", "l", F.col("n").cast("long").alias("n_words"),
+        "id", "host", F.xxhash64("text", "host").alias("t"), "l", F.col("n").cast("long").alias("n_words"),
         F.length(F.translate("text", WORD_GAPS, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
@@ -38,39 +38,61 @@ def document_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     covered = F.expr("aggregate(transform(p, (v, k) -> if(k = size(p) - 1, 3, least(3, p[least(k + 1, size(p) - 1)] - v))), 0L, (a, x) -> a + x)")
     line = F.transform("l", lambda x: F.struct(F.trim(F.lower(F.translate(x, WORD_GAPS, " " * len(WORD_GAPS)))).alias("norm"), F.length(F.translate(x, WORD_GAPS, "")).alias("chars")))
     keys = F.transform(line, lambda x: F.struct(F.xxhash64(F.col("host"), x["norm"]).alias("k1"), F.xxhash64(F.lit(1), F.col("host").isNull(), F.col("host"), x["norm"]).alias("k2"), x["chars"].alias("chars")))
-    return d.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), keys.alias("lines"))
+    return d.select("id", "t", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), keys.alias("lines"))
 
 
-def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = HOST_LIMIT, min_left: float = MIN_LEFT) -> DataFrame:
-    """Per row of `df`: id, base counts, base_failed, left_chars and kept.
-
-    A line that more than `limit` documents (rows) of its host hold is removed from all of them but the one
-    with the smallest id, so one whole copy of a text that many repeat stays. A document that keeps less than
-    `min_left` of its word characters is depleted. kept is false where the base rules fail or it is depleted.
-    Null texts count as empty (base rules fail); null hosts make one host; a row with a null id never counts
-    as the first; repeated rows are judged alike; an empty table gives an empty result.
-    """
+def _judged(df: DataFrame, id_col: str, text_col: str, host_col: str, limit: int = HOST_LIMIT, min_left: float = MIN_LEFT) -> DataFrame:
+    """The rows of `judge`, t, and `gone`: which of the lines with a word are over the limit, null where none is."""
     d = checkpoint(document_counts(df, id_col, text_col, host_col).withColumn("row", F.monotonically_increasing_id()))
     once = d.select("id", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["k1"].alias("k1"), x["k2"].alias("k2"))))).alias("k"))
     often = once.groupBy("k.k1", "k.k2").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") > limit)
     often = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    each = d.select("row", "id", F.explode("lines").alias("x")).select("row", "id", "x.*").withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
-    lost = each.join(often, ["k1", "k2", "salt"]).where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("row").agg(F.sum("chars").alias("lost"))
+    each = d.select("row", "id", F.posexplode("lines").alias("pos", "x")).select("row", "id", "pos", "x.*").withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+    lost = each.join(often, ["k1", "k2", "salt"]).where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("row").agg(F.sum("chars").alias("lost"), F.collect_list("pos").alias("gone"))
     d = d.drop("lines").join(lost, "row", "left")
     left = F.col("word_chars") - F.coalesce("lost", F.lit(0))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return d.select(
-        "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        "id", "t", "gone", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         left.cast("long").alias("left_chars"), (~failed & (left >= min_left * F.col("word_chars"))).alias("kept"),
     )
 
 
+def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = HOST_LIMIT, min_left: float = MIN_LEFT) -> DataFrame:
+    """Per row of `df`: id, base counts, base_failed, left_chars and kept.
+
+    A line that more than `limit` documents (rows) of its host hold counts as removed from all of them but the one
+    with the smallest id (`clean_good` takes it out), so one whole copy of a text that many repeat stays. A document that keeps less than
+    `min_left` of its word characters is depleted. kept is false where the base rules fail or it is depleted.
+    Null texts count as empty (base rules fail); null hosts make one host; a row with a null id never counts
+    as the first; repeated rows are judged alike; an empty table gives an empty result.
+    """
+    return _judged(df, id_col, text_col, host_col, limit, min_left).drop("t", "gone")
+
+
 def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
     """The rows of `df`, all columns as they are, that `judge` keeps. Rows with a null id go unless none of them is judged bad."""
     bad = judge(df, id_col, text_col, host_col, **limits).where("not kept").select(F.col("id").alias("__bad_id")).distinct()
     return df.join(bad, df[id_col].eqNullSafe(bad["__bad_id"]), "left_anti")
 
 
+def clean_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
+    """The rows that `keep_good` keeps, their over-limit lines taken out of the texts; other columns as they are.
+
+    The document with the smallest id keeps its lines, as do lines without a word; the others keep their order.
+    """
+    judged = checkpoint(_judged(df, id_col, text_col, host_col, **limits).where("not kept or gone is not null").select("id", "t", "gone", "kept"))
+    bad = judged.where("not kept").select(F.col("id").alias("__bad_id")).distinct()
+    gone = judged.where("kept").groupBy(F.col("id").alias("__id"), F.col("t").alias("__t")).agg(F.first("gone").alias("__gone"))
+    d = df.join(bad, df[id_col].eqNullSafe(bad["__bad_id"]), "left_anti")
+    d = d.withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(host_col).cast("string")))
+    d = d.join(gone, d[id_col].eqNullSafe(gone["__id"]) & (d["__h"] == gone["__t"]), "left").withColumn("__l", F.split(text_col, "\n", -1))
+    d = d.withColumn("__wordy", F.filter(F.sequence(F.lit(0), F.size("__l") - 1), lambda i: F.translate(F.get("__l", i), WORD_GAPS, "") != ""))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__l") - 1), F.transform("__gone", lambda k: F.get("__wordy", k)))
+    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get("__l", i)), "\n"))
+    return d.select(*(text.alias(c) if c == text_col else F.col(c) for c in df.columns))
+
+
 #: SQL over `documents` with the same result.
 SQL = rf"""
 with d as (select doc_id, source, coalesce(text, '') as text from documents),

@@ -55,6 +55,16 @@ def test_quality_depletes_copies_but_not_the_first(spark):
     assert quality.judge(df, limit=30).where("kept").count() >= 30
 
 
+def test_quality_takes_the_lines_out(spark):
+    own = lambda i: [" ".join(f"own{i}x{k}y{j}" for j in range(8)) for k in range(8)]
+    rows_ = [(i, "\n".join(["Home | News | About us", *own(i)[:4], "", "  home | news | about us", *own(i)[4:]]), "h") for i in range(1, 31)]
+    rows_ += [(31, "\n".join(["Home | News | About us", *own(31)]), "other"), (32, None, None), (None, "\n".join(["home | news | About us", *own(33)]), "h")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in quality.clean_good(df, limit=20).collect()}
+    assert got.pop(1) == rows_[0][1] and got.pop(31) == rows_[30][1] and got.pop(None) == "\n".join(own(33))
+    assert got == {i: "\n".join([*own(i)[:4], "", *own(i)[4:]]) for i in range(2, 31)}
+
+
 def test_lines_odd_rows(spark, odd, none):
     got = lines.dedup_lines(odd, min_sites=2)
     assert got.count() == odd.count() and got.where("doc_id = 3").first()["text"] is None
