@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpoint, connected_components, map_rows, to_batches
+from .common import bounded_batches, checkpoint, connected_components, map_rows, release_shuffles, to_batches
 
 SEED = 42
 #: The 64 bits are cut into four blocks; fingerprints at two differing bits at most agree on two whole blocks.
@@ -330,7 +330,9 @@ def similar_links(df: DataFrame, nodes: DataFrame, text_col: str, width: int, bu
     but for pairs that links already join. A group over BLOCK_TEXTS texts or BLOCK_WORDS words is cut into blocks
     that meet in pairs, so that no task holds all of it.
     """
-    groups = checkpoint(connected_components(_candidates(nodes, budget, both, orders, node_rows)).join(nodes.select("node", "words"), "node"))
+    found = checkpoint(_candidates(nodes, budget, both, orders, node_rows))
+    release_shuffles(df.sparkSession)  # the search's, before the texts are shuffled
+    groups = checkpoint(connected_components(found).join(nodes.select("node", "words"), "node"))
     size = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("words") / BLOCK_WORDS)).cast("int").alias("n"))
     members = groups.select("node", "root").join(size, "root").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("n")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.least("block", k).alias("pa"), F.greatest("block", k).alias("pb")))
@@ -357,7 +359,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     else:
         key, prints = "node", checkpoint(_sketches(df, id_col, text_col, width))
         nodes = prints.groupBy("node").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("fp", "more", "words", "bands")))
-        links = similar_links(df, nodes.drop("least"), text_col, width, budget, both, orders, node_rows)
+        links = checkpoint(similar_links(df, nodes.drop("least"), text_col, width, budget, both, orders, node_rows))
+        release_shuffles(df.sparkSession)
         nodes = prints.groupBy("node").agg(F.min("id").alias("least"))
     roots = connected_components(links)
     placed = nodes.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
@@ -368,4 +371,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SIMILAR_WIDTH, budget: int = SIMILAR_BITS, both: int = SIMILAR_BITS_128) -> DataFrame:
     """The rows of `df` whose id is the smallest of its group of near copies; rows with a null id stay."""
     copies = near_duplicates(df, id_col, text_col, width, budget, both).where("id <> component_id").select(F.col("id").alias("__copy")).distinct()
+    copies = checkpoint(copies)
+    release_shuffles(df.sparkSession)
     return df.join(copies, df[id_col] == copies["__copy"], "left_anti")
