@@ -100,6 +100,19 @@ def test_neural_scorer_interface(spark):
     assert {r["doc_id"]: r["v"] for r in d.where("not isnan(v)").collect()} == {1: 2.0}
 
 
+def test_importance_and_folds_take_every_group(spark, monkeypatch, tmp_path):
+    from lexivane.plans import evaluation_queries
+
+    langs = [f"l{k:02}" for k in range(23)]
+    docs = [(k, "some words. and more words", x, "s", 25) for k, x in enumerate(langs)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    seen = []
+    monkeypatch.setattr(classify, "leave_one_group_out", lambda p, n, c, groups: seen.append(groups))
+    monkeypatch.setattr(classify, "importance", lambda folds: folds)
+    evaluation_queries.feature_importance(spark, str(tmp_path))
+    assert seen == [langs]
+
+
 def test_streaming_health(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.sql("select timestamp'2024-01-01 10:00:00' as ts, 'one two. three' as text union all select timestamp'2024-01-01 11:00:00', 'one' union all select timestamp'2024-01-02 10:00:00', ''").write.parquet(src)
