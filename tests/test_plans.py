@@ -1,4 +1,9 @@
 import json
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,12 +21,16 @@ def test_entry_and_registration(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_entry_without_the_optional_subpackage(spark, monkeypatch):
-    import importlib.util
-
-    real = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda n, *a: None if n in ("lexivane.llm", "corpus_pipeline") else real(n, *a))
-    assert not [n for n in entry.queries() if n.startswith("op") or n == "pipeline"] and len(entry.queries()) > 50
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_without_the_optional_subpackage(tmp_path, pipeline):
+    """On a copy with the folders really gone, with and without the pipeline's file."""
+    root = Path(entry.__file__).parent
+    gone = shutil.ignore_patterns("llm", "__pycache__", ".git", *(() if pipeline else ("corpus_pipeline.py",)))
+    shutil.copytree(root, tmp_path / "copy", ignore=gone)
+    ask = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); print(len(q), sum(n[:2] == 'op' or n == 'pipeline' for n in q), set(s) <= set(q))"
+    got = subprocess.run([sys.executable, "-c", ask], cwd=tmp_path / "copy", env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True, check=True)
+    n, llm, known = got.stdout.split()
+    assert int(n) > 50 and llm == "0" and known == "True"
 
 
 def test_compare_levels_and_skipped_metrics(spark):
