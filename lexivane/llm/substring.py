@@ -2,261 +2,377 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_rows, release_shuffles, to_batches
+from .common import bounded_batches, checkpoint, map_rows, to_batches
 
 WINDOW = 13
-#: Words of a minimiser.
-MINIMISER = 2
-#: Distinct packed strings that a map task remembers to combine repeats before the shuffle.
-REMEMBERED = 100_000
-#: Common pairs are looked for in about so many documents, and held by more than this share of them; at most so many.
-SAMPLE_DOCS, COMMON_SHARE, MOST_COMMON = 2000, 0.005, 100_000
-#: Words that a bucket task sorts at once, beyond the bucket that fills it up.
-SORTED_WORDS = 1_000_000
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def word_keys(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """64 bits for each word: six for its length, longest least, the others a hash."""
-    if len(known) > REMEMBERED:
-        known.clear()
-    for w in set(words).difference(known):
-        known[w] = ((63 - min(63, len(w))) << 58) | (xxhash.xxh64_intdigest(w, 7) >> 6)
-    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def pair_values(keys: np.ndarray, m: int, common: np.ndarray | None = None) -> np.ndarray:
-    """Order of the m-word sequences: long words first, as they are rare, then by hash; `common` ones come last."""
-    n = len(keys) - m + 1
-    length, mixed = keys[:n] >> np.uint64(58), keys[:n].copy()
-    for k in range(1, m):
-        part = keys[k : n + k]
-        length = length + (part >> np.uint64(58))
-        mixed = (mixed * _MIX) ^ part
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * _MIX
-    values = (np.minimum(length, np.uint64(126)) << np.uint64(56)) | (mixed >> np.uint64(8))
-    if common is not None and len(common):
-        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
-        values = np.where(common[at] == values, values | np.uint64(127 << 56), values)
+#: Words of a minimiser. Sequences of five words are rare but where texts repeat, so buckets hold what repeats.
+MINIMISER = 5
+#: Bytes of whole texts that are worked on together; a longer text is a chunk of its own.
+CHUNK_BYTES = 4 << 20
+#: Bytes of text, on average, whose windows go to one bin of buckets.
+BIN_BYTES = 4 << 20
+#: Strings of one bucket beyond which its windows are dealt out one by one, by their own hash.
+HOT_STRINGS = 5_000
+#: Bytes that are hashed at once.
+_BLOCK = 1 << 19
+_GAP = np.zeros(256, dtype=bool)
+_GAP[list(b" \t\n\v\f\r")] = True
+_BYTES = np.random.default_rng(7).integers(0, 1 << 64, size=256, dtype=np.uint64)
+
+
+class _Powers:
+    """Powers of an odd number and of its inverse modulo 2 ** 64, as many as were asked for."""
+
+    def __init__(self, base: int) -> None:
+        self.bases = base, pow(base, -1, 1 << 64)
+        self.held = [np.ones(1, dtype=np.uint64)] * 2
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.held[0]) < n:
+            self.held = [np.cumprod(np.concatenate((np.ones(1, dtype=np.uint64), np.full(n, b, dtype=np.uint64))), dtype=np.uint64) for b in self.bases]
+        return self.held[0][:n], self.held[1][:n]
+
+
+_of_bytes, _of_words = _Powers(0x9E3779B97F4A7C15), _Powers(0xD6E8FEB86659FD93)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
+    return x ^ (x >> np.uint64(28))
+
+
+def _slices(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, powers: _Powers) -> np.ndarray:
+    """Hash of each slice lo:hi of the values, from running sums: equal slices are equal wherever they stand."""
+    up, down = powers(len(values) + 1)
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(values * up[:-1], dtype=np.uint64)))
+    return _mix((sums[hi] - sums[lo]) * down[lo])
+
+
+def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All words of the texts joined by one space, as bytes, and the number of words of each text."""
+    flat = np.frombuffer(b" ".join([*texts, b""]), dtype=np.uint8)
+    gap = _GAP[flat]
+    before = np.concatenate(([True], gap[:-1]))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    firsts = np.flatnonzero(~gap & before)
+    counts = np.diff(np.searchsorted(firsts, ends), prepend=0)
+    kept = ~(gap & before)
+    packed = np.where(gap, np.uint8(32), flat)[kept]
+    return packed[:-1] if len(packed) else packed, counts
+
+
+class Words:
+    """The words of texts joined by one space: where each begins and ends, and its hash."""
+
+    def __init__(self, packed: np.ndarray) -> None:
+        self.packed = packed
+        spaces = np.flatnonzero(packed == 32)
+        self.begin = np.concatenate(([0], spaces + 1)) if len(packed) else np.zeros(0, dtype=np.int64)
+        self.end = np.append(spaces, len(packed)) if len(packed) else self.begin
+        cuts = np.unique(np.append(np.searchsorted(self.begin, np.arange(0, len(packed), _BLOCK)), len(self.begin)))
+        parts = [np.zeros(0, dtype=np.uint64)]
+        for a, b in zip(cuts, cuts[1:]):  # whole words, in blocks of bounded size
+            lo = self.begin[a]
+            parts.append(_slices(_BYTES[packed[lo : self.end[b - 1]]], self.begin[a:b] - lo, self.end[a:b] - lo, _of_bytes))
+        self.hash = np.concatenate(parts)
+
+    def __len__(self) -> int:
+        return len(self.begin)
+
+    def sequences(self, n: int) -> np.ndarray:
+        """Hash of the n words from each word on."""
+        at = np.arange(max(0, len(self) - n + 1))
+        return _slices(self.hash, at, at + n, _of_words)
+
+    def bytes(self, first: int, end: int) -> bytes:
+        return self.packed[self.begin[first] : self.end[end - 1]].tobytes()
+
+
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """Least of each `width` neighbours."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        values = np.minimum(values[: len(values) - step], values[step:])
+        have += step
     return values
 
 
-def super_kmers(words: list[bytes], known: dict[bytes, int], window: int = WINDOW, m: int = MINIMISER, common: np.ndarray | None = None) -> Iterator[tuple[int, int, int]]:
-    """(minimiser, first word, end) of each longest run of windows with one minimiser, the least m-word value in a window."""
-    values = pair_values(word_keys(words, known), m, common)
-    least = np.lib.stride_tricks.sliding_window_view(values, window - m + 1).min(axis=1)
-    start = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-    end = np.append(start[1:], len(least)) + window - 1
-    yield from zip(_bucket(least[start]).tolist(), start.tolist(), end.tolist())
+def super_kmers(words: Words, owner: np.ndarray, window: int = WINDOW, m: int = MINIMISER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(minimiser, first window, end) of each longest run of windows of one owner with one minimiser.
 
-
-def _bucket(least: np.ndarray) -> np.ndarray:
-    """40 bits of a minimiser; two that meet in one bucket cost time only, as strings are compared by their words."""
-    return ((least * _MIX) >> np.uint64(24)).astype(np.int64)
-
-
-def common_pairs(df: DataFrame, m: int = MINIMISER) -> np.ndarray:
-    """Sorted values of the m-word sequences that over COMMON_SHARE of a sample of about SAMPLE_DOCS documents have.
-
-    They serve as minimisers only where a window has nothing rarer, so one of them does not gather the windows of
-    a large part of the corpus. The sample steers how windows are dealt out; which windows repeat does not depend
-    on it.
+    The minimiser is the least hash of m words in a window; `owner` is each word's text, negative for none.
     """
-    share = min(1.0, SAMPLE_DOCS / max(1, df.count()))
-    sample = df.where(F.pmod(F.xxhash64(F.lit(11), "doc"), F.lit(1 << 30)) < share * (1 << 30))
-
-    def make():
-        known: dict[bytes, int] = {}
-
-        def work(rows: list[tuple]) -> Iterable[tuple]:
-            for (text,) in rows:
-                words = (text or b"").split()
-                if len(words) >= m:
-                    yield from ((v,) for v in set(pair_values(word_keys(words, known), m).astype(np.int64).tolist()))
-
-        return work
-
-    values = map_rows(sample.select("text"), make, pa.schema([("v", pa.int64())]), "v long", size_of=0).groupBy("v").agg(F.count("*").alias("n"))
-    rows = values.where(F.col("n") > max(2, COMMON_SHARE * SAMPLE_DOCS)).orderBy(F.desc("n"), "v").limit(MOST_COMMON).collect()
-    return np.sort(np.array([r["v"] for r in rows], dtype=np.int64).astype(np.uint64))
-
-
-def repeats(packed: list[bytes], docs: np.ndarray, window: int = WINDOW) -> Iterator[tuple[int, int, int]]:
-    """(row, first word, end) of the word ranges of packed strings covered by windows that a smaller document has.
-
-    Words become numbers of their own, so windows are compared exactly: all windows are sorted by a hash of
-    their numbers and then document, and neighbours with one hash are compared number by number.
+    if len(words) < window:
+        return (np.zeros(0, dtype=np.uint64), *(np.zeros(0, dtype=np.int64),) * 2)
+    least = _least(words.sequences(m), window - m + 1)
+    own = owner[: len(least)]
+    inside = (own == owner[window - 1 :]) & (own >= 0)
+    new = np.concatenate(([True], (least[1:] != least[:-1]) | (own[1:] != own[:-1]) | (inside[1:] != inside[:-1])))
+    first = np.flatnonzero(new)
+    end = np.append(first[1:], len(least))
+    runs = inside[first]
+    return least[first[runs]], first[runs], end[runs]
+
+
+def held_before(words: Words, at: np.ndarray, docs: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """For each window (its first word in `at`, its document in `docs`), whether an equal one has a smaller document.
+
+    Windows are sorted by their hash, then document; neighbours with one hash are then compared by their words,
+    whole stretches of text at once.
     """
-    flat = b" ".join(packed).split()
-    names: dict[bytes, int] = {}
-    ids = np.fromiter((names.setdefault(w, len(names)) for w in flat), dtype=np.int64, count=len(flat))
-    size = np.fromiter((p.count(b" ") + 1 for p in packed), dtype=np.int64, count=len(packed))
-    first = np.cumsum(size) - size
-    row = np.repeat(np.arange(len(packed)), np.maximum(size - window + 1, 0))
-    at = np.arange(len(row)) - np.repeat(np.cumsum(np.maximum(size - window + 1, 0)) - np.maximum(size - window + 1, 0), np.maximum(size - window + 1, 0)) + first[row]
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * _MIX
-    mixed ^= mixed >> np.uint64(31)
-    h = np.zeros(len(at), dtype=np.uint64)
-    for k in range(window):
-        h = h * np.uint64(0xD6E8FEB86659FD93) + mixed[at + k]
-    order = np.lexsort((docs[row], h))
-    h, at, row = h[order], at[order], row[order]
-    same = np.flatnonzero(h[1:] == h[:-1]) + 1
-    if not len(same):
-        return
-    equal = np.zeros(len(h), dtype=bool)
-    equal[same] = True
-    differ = np.zeros(len(same), dtype=bool)
-    for k in range(window):
-        differ |= ids[at[same] + k] != ids[at[same - 1] + k]
-    group = np.cumsum(~equal) - 1
-    least = docs[row[np.flatnonzero(~equal)]][group]  # each group's first row has its smallest document
-    for g in np.unique(group[same[differ]]):  # two sequences with one hash: told apart by the words
-        by: dict[bytes, int] = {}
-        for i in np.flatnonzero(group == g):
-            least[i] = by.setdefault(ids[at[i] : at[i] + window].tobytes(), docs[row[i]])
-    gone = np.flatnonzero(docs[row] > least)
-    gone = gone[np.lexsort((at[gone], row[gone]))]
-    lo, r = at[gone] - first[row[gone]], row[gone]
-    new = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (lo[1:] > lo[:-1] + window))))
-    last = np.append(new[1:], len(lo)) - 1
-    yield from zip(r[new].tolist(), lo[new].tolist(), (lo[last] + window).tolist())
-
-
-_CUTS = "bucket long, doc long, tag int, at int, until int, known boolean"
-_ROWS = "bucket long, packed binary, doc long, tag int, at int, until int"
-
-
-def _arrow(ddl: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
-    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
-
-
-def _cut(df: DataFrame, common: np.ndarray, window: int, m: int) -> DataFrame:
-    """Buckets and word ranges of all super-k-mers of the rows (doc, tag, text).
-
-    A map task that has seen a string in a document with a smaller id knows that every window in it goes, so a
-    string that many documents share reaches its bucket once a task.
+    gone = np.zeros(len(at), dtype=bool)
+    h = words.sequences(window)[at]
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    twin = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    some = order[twin]
+    some = some[np.lexsort((at[some], docs[some], h[some]))]
+    if not len(some):
+        return gone
+    new = np.concatenate(([True], h[some[1:]] != h[some[:-1]]))
+    group = np.cumsum(new) - 1
+    least = docs[some[new]][group]
+    cur, prev = at[some[1:]][~new[1:]], at[some[:-1]][~new[1:]]
+    by = np.argsort(cur, kind="stable")
+    cur, prev = cur[by], prev[by]
+    cut = np.flatnonzero((cur[1:] != cur[:-1] + 1) | (prev[1:] != prev[:-1] + 1)) + 1
+    for a, b in zip(np.concatenate(([0], cut)).tolist(), np.append(cut, len(cur)).tolist()):
+        n = b - a + window - 1
+        if words.bytes(cur[a], cur[a] + n) != words.bytes(prev[a], prev[a] + n):  # some hash stands for several sequences
+            for g in np.unique(group[np.isin(at[some], cur[a:b])]):
+                first: dict[bytes, int] = {}
+                for k in np.flatnonzero(group == g):
+                    least[k] = first.setdefault(words.bytes(at[some[k]], at[some[k]] + window), docs[some[k]])
+    gone[some] = docs[some] > least
+    return gone
+
+
+def _runs(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end in the two arrays of each run of one key whose positions follow each other."""
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1)))[: len(at)]
+    first = np.flatnonzero(new)
+    return first, np.append(first[1:], len(at)) if len(at) else first
+
+
+def _ranges(at: np.ndarray, window: int) -> bytes:
+    """The words that windows from the positions cover, as pairs of first word and end."""
+    at = np.unique(at)
+    new = np.concatenate(([True], at[1:] > at[:-1] + window))
+    last = np.append(np.flatnonzero(new)[1:], len(at)) - 1
+    return np.stack((at[new], at[last] + window), axis=1).astype("<i4").tobytes()
+
+
+def _chunks(df: DataFrame) -> DataFrame:
+    """Rows (chunk, ids, counts, size, packed): the words of whole texts (doc, text), about CHUNK_BYTES together."""
+    bounded_batches(df.sparkSession)
+    fields = [("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("counts", pa.binary()), ("size", pa.int64()), ("packed", pa.binary())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, pack, made = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3), 0
+        ids: list = []
+        texts: list[bytes] = []
+        held = 0
+
+        def chunk() -> pa.RecordBatch:
+            packed, counts = joined(texts)
+            row = ((part << 32) + made, ids, counts.astype("<i4").tobytes(), len(packed), pack.compress(packed.tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([x], type=t) for x, (_, t) in zip(row, fields)], names=[n for n, _ in fields])
+
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = text.as_py() or b""
+                if texts and held + len(data) > CHUNK_BYTES:
+                    yield chunk()
+                    ids, texts, held, made = [], [], 0, made + 1
+                ids.append(i)
+                texts.append(data)
+                held += len(data)
+        if texts:
+            yield chunk()
+
+    return df.mapInArrow(run, "chunk long, ids array<long>, counts binary, size long, packed binary")
+
+
+class _Chunk:
+    """A chunk opened again: its words, and the super-k-mers of its texts in the order of their bins."""
+
+    def __init__(self, ids: list, counts: bytes, packed: bytes, bins: int, window: int, m: int) -> None:
+        n = np.frombuffer(counts, dtype="<i4")
+        self.words = Words(np.frombuffer(zstandard.decompress(packed), dtype=np.uint8))
+        known = np.array([i is not None for i in ids], dtype=bool)
+        self.docs = np.repeat(np.array([i or 0 for i in ids], dtype=np.int64), n)
+        least, self.first, self.end = super_kmers(self.words, np.repeat(np.where(known, np.arange(len(ids)), -1), n), window, m)
+        order = np.lexsort((least, least % np.uint64(bins)))
+        least, self.first, self.end = least[order], self.first[order], self.end[order]
+        #: Each distinct bucket's first super-k-mer, bucket and bin; and the bucket's number for each super-k-mer.
+        new = np.concatenate(([True], least[1:] != least[:-1]))[: len(least)]
+        self.at = np.flatnonzero(new)
+        self.bucket = least[self.at]
+        self.bin = (self.bucket % np.uint64(bins)).astype(np.int64)
+        self.number = np.cumsum(new) - 1
+
+    def of_bins(self) -> Iterator[tuple[int, int, int]]:
+        """(bin, start, end) of the runs of distinct buckets."""
+        cut = np.flatnonzero(np.diff(self.bin)) + 1
+        for a, b in zip(np.concatenate(([0], cut)).tolist(), np.append(cut, len(self.bin)).tolist()):
+            if b > a:
+                yield int(self.bin[a]), a, b
+
+
+def _buckets(chunks: DataFrame, bins: int, window: int, m: int) -> DataFrame:
+    """Rows (bin, chunk, entries): the chunk's buckets in the bin, with their number of strings in the lowest byte."""
+
+    def work(rows: list[tuple]) -> Iterable[tuple]:
+        for chunk, ids, counts, packed in rows:
+            own = _Chunk(ids, counts, packed, bins, window, m)
+            n = np.diff(np.append(own.at, len(own.first)))
+            entries = (own.bucket & ~np.uint64(255)) | np.minimum(n, 255).astype(np.uint64)
+            for b, lo, hi in own.of_bins():
+                yield b, chunk, entries[lo:hi].tobytes()
+
+    schema = pa.schema([("bin", pa.int64()), ("chunk", pa.int64()), ("entries", pa.binary())])
+    return map_rows(chunks.select("chunk", "ids", "counts", "packed"), lambda: work, schema, "bin long, chunk long, entries binary", chunk_bytes=1, size_of=3)
+
+
+def _by_bin(df: DataFrame, work: Callable[[list[tuple]], Iterable[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
+    """`work` over the rows of each bin (the first column) together, from bins that come in runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            now, held = None, []
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                    if row[0] != now and held:
+                        yield from work(held)
+                        held = []
+                    now = row[0]
+                    held.append(row)
+            if held:
+                yield from work(held)
+
+        yield from to_batches(found(), schema, 100)
+
+    return df.repartition("bin").sortWithinPartitions("bin").mapInArrow(run, ddl)
+
+
+def _shared(rows: list[tuple]) -> Iterable[tuple]:
+    """(chunk, bin, shared, hot): bits over a chunk's buckets in the bin, set where another chunk has it, and where it has many strings."""
+    entries = [np.frombuffer(e, dtype="<u8") for _, _, e in rows]
+    flat = np.concatenate(entries)
+    bucket, n = flat >> np.uint64(8), (flat & np.uint64(255)).astype(np.int64)
+    order = np.argsort(bucket)
+    first = np.flatnonzero(np.concatenate(([True], bucket[order[1:]] != bucket[order[:-1]])))
+    size = np.diff(np.append(first, len(order)))
+    shared, hot = np.zeros(len(flat), dtype=bool), np.zeros(len(flat), dtype=bool)
+    shared[order] = np.repeat(size > 1, size)
+    hot[order] = np.repeat((size > 1) & (np.add.reduceat(n[order], first) > HOT_STRINGS), size)
+    lo = 0
+    for (b, chunk, _), e in zip(rows, entries):
+        yield chunk, b, np.packbits(shared[lo : lo + len(e)]).tobytes(), np.packbits(hot[lo : lo + len(e)]).tobytes()
+        lo += len(e)
+
+
+_STRINGS = "bin long, chunk long, docs binary, at binary, size binary, packed binary"
+
+
+def _strings(chunks: DataFrame, bins: int, window: int, m: int) -> DataFrame:
+    """Rows (bin, chunk, docs, at, size, packed) of the strings of shared buckets, from chunks with what is known of their buckets.
+
+    The windows of a chunk are counted first, among themselves; what goes by that has a row with a negative bin,
+    whose `at` are ranges, and does not travel.
     """
 
-    def make():
-        names: dict[bytes, int] = {}
-        seen: dict[bytes, int] = {}
-
-        def work(rows: list[tuple]) -> Iterable[tuple]:
-            for doc, tag, text in rows:
-                words = text.split() if doc is not None and text else ()
-                if len(words) < window:
-                    continue
-                if len(seen) > REMEMBERED:
-                    seen.clear()
-                for bucket, lo, hi in super_kmers(words, names, window, m, common):
-                    packed = b" ".join(words[lo:hi])
-                    before = seen.get(packed)
-                    known = before is not None and before < doc
-                    if not known:
-                        seen[packed] = doc
-                    yield bucket, doc, tag, lo, hi, known
-
-        return work
-
-    return map_rows(df, make, _arrow(_CUTS), _CUTS, chunk_bytes=1 << 20, size_of=2)
-
-
-def _strings(df: DataFrame, common: np.ndarray, window: int, m: int) -> DataFrame:
-    """Packed strings of the ranges that documents (id, tag, packed text, spans) list; known ranges have none."""
-
-    def make():
-        unpack, names = zstandard.ZstdDecompressor(), {}
-
-        def work(rows: list[tuple]) -> Iterable[tuple]:
-            for doc, tag, packed, spans in rows:
-                words = unpack.decompress(packed).split()
-                values = pair_values(word_keys(words, names), m, common)
-                for x in spans:
-                    known, lo, hi = x & 1, x >> 32, (x & 0xFFFFFFFF) >> 1
-                    if known:
-                        yield 0, None, doc, tag, lo, hi
-                    else:  # all windows of the string have the minimiser of the first
-                        bucket = _bucket(values[lo : lo + window - m + 1].min(keepdims=True))
-                        yield int(bucket[0]), b" ".join(words[lo:hi]), doc, tag, lo, hi
-
-        return work
-
-    return map_rows(df, make, _arrow(_ROWS), _ROWS, chunk_bytes=1 << 20, size_of=2)
-
-
-def _count(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Ranges to remove, from packed strings whose buckets come in runs. Rows without a string are such ranges already."""
-    schema = pa.schema([("doc", pa.int64()), ("tag", pa.int32()), ("at", pa.int32()), ("until", pa.int32())])
-    held: list[pa.RecordBatch] = []
-
-    def found(table: pa.Table) -> Iterator[tuple]:
-        doc, tag, at = (table[c].to_numpy() for c in ("doc", "tag", "at"))
-        for r, lo, hi in repeats(table["packed"].to_pylist(), doc, window):
-            yield int(doc[r]), int(tag[r]), int(at[r]) + lo, int(at[r]) + hi
-
-    def shared(table: pa.Table) -> pa.Table:
-        """Without the buckets that have one row, whose windows no other document can have."""
-        b = table["bucket"].to_numpy()
-        twin = np.concatenate((b[1:] == b[:-1], [False])) | np.concatenate(([False], b[1:] == b[:-1]))
-        return table.filter(pa.array(twin))
-
-    for batch in batches:
-        known = pc.is_null(batch.column("packed"))
-        if known.true_count:
-            yield batch.filter(known).select(schema.names).cast(schema)
-            batch = batch.filter(pc.invert(known))
-        held.append(batch)
-        if sum(b.num_rows for b in held) * 2 * window >= SORTED_WORDS:
-            table = pa.Table.from_batches(held).combine_chunks()
-            b = table["bucket"].to_numpy()
-            last = int(np.searchsorted(b, b[-1]))
-            if last and (part := shared(table.slice(0, last))).num_rows:
-                yield from to_batches(found(part), schema)
-            held = table.slice(last).to_batches()
-    if held and (part := shared(pa.Table.from_batches(held).combine_chunks())).num_rows:
-        yield from to_batches(found(part), schema)
-
-
-def _tag(text_col: str):
-    return F.pmod(F.xxhash64(text_col), F.lit(1 << 16)).cast("int")
-
-
-def repeated_ranges(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW, m: int = MINIMISER) -> DataFrame:
-    """Rows (doc, tag, spans): per document the word ranges that repeat a smaller document; tag tells texts of one id apart.
-
-    First only ranges meet by minimiser: a bucket with one document holds no repeat. The strings of the other
-    buckets then travel and are counted.
+    def work(rows: list[tuple]) -> Iterable[tuple]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for chunk, ids, counts, packed, told in rows:
+            own = _Chunk(ids, counts, packed, bins, window, m)
+            told = {t["bin"]: t for t in told}
+            bits = {"shared": np.zeros(len(own.bin), dtype=bool), "hot": np.zeros(len(own.bin), dtype=bool)}
+            for b, lo, hi in own.of_bins():
+                for k, v in bits.items():
+                    v[lo:hi] = np.unpackbits(np.frombuffer(told[b][k], dtype=np.uint8), count=hi - lo)
+            n = np.diff(np.append(own.at, len(own.first)))
+            shared, near = bits["shared"][own.number], (bits["shared"] | (n > 1))[own.number]
+            which = np.repeat(np.arange(len(own.first))[near], (own.end - own.first)[near])
+            at = _counted(own.first[near], own.end[near])
+            gone = held_before(own.words, at, own.docs[at], window) if len(at) else np.zeros(0, dtype=bool)
+            if gone.any():
+                yield -1 - chunk, chunk, None, _ranges(at[gone], window), None, None
+            left = ~gone & shared[which]
+            which, at = which[left], at[left]
+            hot = bits["hot"][own.number[which]]
+            first, end = _runs(which[~hot], at[~hot])
+            lo, n_windows = at[~hot][first], end - first
+            to = own.bin[own.number[which[~hot][first]]]
+            if hot.any():  # each window by itself
+                lo, n_windows = np.append(lo, at[hot]), np.append(n_windows, np.ones(hot.sum(), dtype=np.int64))
+                to = np.append(to, (own.words.sequences(window)[at[hot]] % np.uint64(bins)).astype(np.int64))
+                order = np.argsort(to, kind="stable")
+                lo, n_windows, to = lo[order], n_windows[order], to[order]
+            size = n_windows + window - 1
+            cut = np.flatnonzero(np.diff(to)) + 1
+            begin, stop, data = own.words.begin[lo].tolist(), own.words.end[lo + size - 1].tolist(), own.words.packed.tobytes()
+            for a, b in zip(np.concatenate(([0], cut)).tolist(), np.append(cut, len(to)).tolist()):
+                if b > a:
+                    flat = b" ".join([data[x:y] for x, y in zip(begin[a:b], stop[a:b])])
+                    yield int(to[a]), chunk, own.docs[lo[a:b]].tobytes(), lo[a:b].astype("<i4").tobytes(), size[a:b].astype("<i4").tobytes(), pack.compress(flat)
+
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in _STRINGS.split(", "))])
+    return map_rows(chunks.select("chunk", "ids", "counts", "packed", "told"), lambda: work, schema, _STRINGS, chunk_bytes=1, size_of=3)
+
+
+def _counted(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers from each first to its end, one after the other."""
+    n = end - first
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
+def _count(window: int) -> Callable[[list[tuple]], Iterable[tuple]]:
+    """(chunk, ranges) of the words to remove, from a bin's strings. Rows that are ranges already go through."""
+
+    def work(rows: list[tuple]) -> Iterable[tuple]:
+        if rows[0][0] < 0:
+            yield from ((chunk, at) for _, chunk, _, at, _, _ in rows)
+            return
+        words = Words(np.frombuffer(b" ".join([zstandard.decompress(p) for *_, p in rows]), dtype=np.uint8))
+        docs, at, size = (np.concatenate([np.frombuffer(r[k], dtype=t) for r in rows]) for k, t in ((2, "<i8"), (3, "<i4"), (4, "<i4")))
+        row = np.repeat(np.arange(len(rows)), [len(r[4]) // 4 for r in rows])
+        first = np.cumsum(size, dtype=np.int64) - size
+        windows = size - window + 1
+        here, string = _counted(first, first + windows), np.repeat(np.arange(len(size)), windows)
+        gone = held_before(words, here, docs[string], window)
+        here, string = here[gone], string[gone]
+        there = at[string] + here - first[string]
+        for r in np.unique(row[string]):
+            yield rows[r][1], _ranges(there[row[string] == r], window)
+
+    return work
+
+
+def repeated_ranges(chunks: DataFrame, window: int = WINDOW, m: int = MINIMISER) -> DataFrame:
+    """Rows (chunk, ranges): word ranges of each chunk that repeat a smaller document, as arrays of first word and end.
+
+    First only buckets meet, without strings: a bucket that one chunk alone has is counted there. The strings of
+    the others then travel to their bucket's bin and are counted.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), _tag(text_col).alias("tag"), F.col(text_col).cast("binary").alias("text"))
-    common = common_pairs(docs, m)
-    cut = _cut(docs, common, window, m)
-    w = Window.partitionBy("bucket")
-    shared = cut.withColumn("lo", F.min("doc").over(w)).withColumn("hi", F.max("doc").over(w)).where("known or lo < hi")
-    span = F.expr("shiftleft(cast(at as long), 32) + until * 2L + cast(known as int)")
-    spans = shared.groupBy("doc", "tag").agg(F.collect_set(span).alias("spans"))
-    both = _packed_docs(df, id_col, text_col).join(spans.withColumnRenamed("tag", "of"), F.expr("id = doc and tag = of"))
-    strings = _strings(both.select("id", "tag", "packed", "spans"), common, window, m)
-    # Ranges without a string need no bucket and are spread over all tasks.
-    to = F.when(F.col("packed").isNull(), F.xxhash64("doc", "at")).otherwise(F.col("bucket"))
-    found = strings.repartition(to).sortWithinPartitions("bucket").mapInArrow(lambda batches: _count(batches, window), "doc long, tag int, at int, until int")
-    return found.groupBy("doc", "tag").agg(F.collect_set(F.struct("at", "until")).alias("spans"))
-
-
-def _packed_docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("id"), _tag(text_col).alias("tag"), _packer()(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("packed"))
+    total = chunks.agg(F.sum("size")).first()[0] or 0
+    bins = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BIN_BYTES))
+    told = _by_bin(_buckets(chunks, bins, window, m), _shared, pa.schema([("chunk", pa.int64()), ("bin", pa.int64()), ("shared", pa.binary()), ("hot", pa.binary())]), "chunk long, bin long, shared binary, hot binary")
+    told = told.groupBy("chunk").agg(F.collect_list(F.struct("bin", "shared", "hot")).alias("told"))
+    strings = _strings(chunks.join(told, "chunk"), bins, window, m)
+    found = _by_bin(strings, _count(window), pa.schema([("chunk", pa.int64()), ("ranges", pa.binary())]), "chunk long, ranges binary")
+    return found.groupBy("chunk").agg(F.collect_list("ranges").alias("ranges"))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, m: int = MINIMISER) -> DataFrame:
@@ -265,42 +381,43 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Windows are judged on the input. Kept words are joined by one space. Null texts count as empty; texts shorter
     than a window lose nothing; rows with a null id keep their words and don't count as smaller than others; rows
     that share an id are one document, so they never remove each other's words; an empty table gives an empty
-    result; extra columns are left out.
+    result; columns other than the two named are left out, whatever their names. A text is worked on whole, in
+    memory of about 20 times its size.
 
-    A bucket holds the windows around one pair of words. Long (rare) words come first as minimisers and pairs
-    that are common in a sample last, and strings that recur in a map task are combined before the shuffle, so
-    neither a common pair nor a common passage gathers a large part of the corpus.
+    A bucket holds the windows around one sequence of `m` words. Windows that recur in a chunk of texts are
+    counted there and travel once, and a bucket of more than HOT_STRINGS strings is dealt out window by window, so
+    neither a common sequence nor a passage of many documents gathers in one place more than a row of each chunk.
     """
-    ranges = checkpoint(repeated_ranges(df, id_col, text_col, window, m))
-    release_shuffles(df.sparkSession)
-    docs = _packed_docs(df, id_col, text_col)
-    both = docs.join(ranges.withColumnRenamed("tag", "of"), F.expr("id = doc and tag = of"), "left").select("id", "packed", "spans")
-
-    def make():
-        unpack = zstandard.ZstdDecompressor()
-
-        def work(rows: list[tuple]) -> Iterable[tuple]:
-            for i, packed, spans in rows:
-                words = unpack.decompress(packed).split()
-                gone = bytearray(len(words))
-                for span in spans or ():
-                    gone[span["at"] : span["until"]] = b"\1" * (span["until"] - span["at"])
-                yield i, b" ".join(w for w, x in zip(words, gone) if not x).decode(), len(words), sum(gone)
-
-        return work
+    if not 0 < m <= window:
+        raise ValueError("a minimiser is a part of a window")
+    chunks = checkpoint(_chunks(df.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"))))
+    both = chunks.join(repeated_ranges(chunks, window, m), "chunk", "left").select("ids", "counts", "packed", "ranges")
+
+    def work(rows: list[tuple]) -> Iterable[tuple]:
+        for ids, counts, packed, ranges in rows:
+            n, words = np.frombuffer(counts, dtype="<i4"), zstandard.decompress(packed)
+            spaces = np.flatnonzero(np.frombuffer(words, dtype=np.uint8) == 32)
+            begin, end = np.concatenate(([0], spaces + 1)), np.append(spaces, len(words))
+            edge = np.zeros(n.sum() + 1, dtype=np.int32)
+            for r in ranges or ():
+                lo, hi = np.frombuffer(r, dtype="<i4").reshape(-1, 2).T
+                np.add.at(edge, lo, 1)
+                np.add.at(edge, hi, -1)
+            gone = np.cumsum(edge[:-1]) > 0
+            at = 0
+            for i, size in zip(ids, n.tolist()):
+                mask = gone[at : at + size]
+                lost = int(np.count_nonzero(mask))
+                if not lost:
+                    text = words[begin[at] : end[at + size - 1]] if size else b""
+                else:
+                    turn = np.flatnonzero(np.diff(np.concatenate(([True], mask, [True])))).reshape(-1, 2)
+                    text = b" ".join([words[begin[at + a] : end[at + b - 1]] for a, b in turn.tolist()])
+                yield i, text.decode(), size, lost
+                at += size
 
     schema = pa.schema([("id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
-    return map_rows(both, make, schema, "id long, text string, n_words long, n_removed long", chunk_bytes=1 << 20, size_of=1)
-
-
-def _packer():
-    """Texts compressed for the shuffle that brings them together with their ranges."""
-
-    def pack(texts: pd.Series) -> pd.Series:
-        packer = zstandard.ZstdCompressor(level=3)
-        return texts.map(packer.compress)
-
-    return F.pandas_udf(pack, "binary")
+    return map_rows(both, lambda: work, schema, "id long, text string, n_words long, n_removed long", chunk_bytes=1, size_of=2)
 
 
 #: SQL over `documents` with the same result as the query.
