@@ -17,9 +17,9 @@ WINDOW = 13
 #: Words of a minimiser. Sequences of five words are rare but where texts repeat, so buckets hold what repeats.
 MINIMISER = 5
 #: Bytes of whole texts that are worked on together; a longer text is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Bytes of text, on average, whose windows go to one bin of buckets.
-BIN_BYTES = 4 << 20
+BIN_BYTES = 2 << 20
 #: Strings of one bucket beyond which its windows are dealt out one by one, by their own hash.
 HOT_STRINGS = 5_000
 #: Bytes that are hashed at once.
