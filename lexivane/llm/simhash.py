@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -11,25 +12,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpoint, connected_components, map_rows, release_shuffles, to_batches
+from .common import bounded_batches, checkpoint, connected_components, fresh, map_rows, to_batches
 
 SEED = 42
-#: The 64 bits are cut into four blocks; fingerprints at two differing bits at most agree on two whole blocks.
-BLOCKS = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))
-#: A subtrie with more fingerprints than this is cut into pairs of nodes that become tasks of their own.
-NODE_ROWS = 20_000
-LEAF_PAIRS = 64
+#: A node of the upper trie with more fingerprints than NODE_ROWS is cut, and with more than a MIN_NODES-th of all,
+#: so that small inputs keep the executors busy too; never one with less than a MOST_NODES-th, which bounds the nodes.
+NODE_ROWS, MIN_NODES, MOST_NODES = 250_000, 16, 8_192
+#: Levels of the upper trie that one aggregate counts.
+LEVELS = 6
+#: Node pairs that a step of the traversal works on.
 FRONTIER = 200_000
-#: Beyond two bits: so many random orders of the bits, each with a first level of PREFIX bits taken whole. A pair
-#: that differs in a share p of its bits meets in some order with probability 1 - (1 - (1 - p) ** PREFIX) ** ORDERS.
-ORDERS, PREFIX = 56, 18
-#: A similarity of 0.8 of five-word shingle sets is a cosine of 0.89, for which a share of 0.152 of the bits differs:
-#: 9.7 of 64 bits (standard deviation 2.9) and 19.5 of 128 (4.1). Unrelated texts differ in 32 and 64 bits. The trie
-#: is searched with the first number; links also keep to the second over 64 more bits.
-SIMILAR_BITS, SIMILAR_BITS_128, SIMILAR_WIDTH = 16, 26, 5
-#: Links beyond two bits hold this Jaccard similarity of their shingle sets, counted exactly.
-SIMILAR = 0.8
-#: What the bit search misses is found by MinHash: texts that agree in all BAND_ROWS minima of one of BANDS bands are
+#: Links of texts ask for this Jaccard similarity of their sets of SIMILAR_WIDTH-word shingles, counted exactly.
+SIMILAR, SIMILAR_WIDTH = 0.8, 5
+#: Bits that the trie allows where texts are compared afterwards. A similarity of 0.8 is a cosine of 0.89, for which
+#: 9.7 of 64 bits differ (standard deviation 2.9): out of reach of any trie, as a budget b visits about C(log2 n, b)
+#: node pairs a fingerprint.
+SIMILAR_BITS = 3
+#: What is further apart is found by MinHash: texts that agree in all BAND_ROWS minima of one of BANDS bands are
 #: compared too. A pair of similarity s meets in a band with probability 1 - (1 - s ** BAND_ROWS) ** BANDS: 0.99993 at 0.8.
 BANDS, BAND_ROWS = 24, 5
 #: Texts, and words, that are compared with each other in one place; larger groups are cut into pairs of blocks.
@@ -37,12 +36,9 @@ BLOCK_TEXTS, BLOCK_WORDS = 1_000, 2_000_000
 SALTS = 16
 
 
-def fingerprint(data: bytes, width: int) -> tuple[int, int]:
-    """Two unsigned 64-bit SimHashes of a text's word shingles, both 0 where it has no word.
-
-    The first is over XXH64 of the shingles, the second over a bit mixer of those hashes.
-    """
-    return _simhash(shingle_hashes(data, width)) if data.split() else (0, 0)
+def fingerprint(data: bytes, width: int) -> int:
+    """Unsigned 64-bit SimHash of a text's word shingles, 0 where it has no word."""
+    return _simhash(shingle_hashes(data, width)) if data.split() else 0
 
 
 def shingle_hashes(data: bytes, width: int) -> np.ndarray:
@@ -55,16 +51,11 @@ def shingle_hashes(data: bytes, width: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(flat[a : b - 1], SEED) for a, b in zip(starts, starts[width:])), dtype="<u8", count=len(words) - width + 1)
 
 
-def _simhash(hashes: np.ndarray) -> tuple[int, int]:
-    ones = np.zeros((2, 64), dtype=np.int64)
+def _simhash(hashes: np.ndarray) -> int:
+    ones = np.zeros(64, dtype=np.int64)
     for lo in range(0, len(hashes), 65_536):
-        h = hashes[lo : lo + 65_536]
-        mixed = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        for k, x in enumerate((h, mixed ^ (mixed >> np.uint64(31)))):
-            ones[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    first, second = np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<u8").ravel().tolist()
-    return first, second
+        ones += np.unpackbits(hashes[lo : lo + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def _signed(x: int) -> int:
@@ -72,22 +63,23 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """Rows (id, fp, more): each text's two fingerprints as signed longs. Null text counts as empty."""
+    """Rows (id, fp): each text's fingerprint as a signed long. Null text counts as empty."""
 
     def make():
-        return lambda rows: [(i, *map(_signed, fingerprint(t or b"", width))) for i, t in rows]
+        return lambda rows: [(i, _signed(fingerprint(t or b"", width))) for i, t in rows]
 
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("more", pa.int64())])
-    return map_rows(df.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")), make, schema, "id long, fp long, more long", size_of=1)
+    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
+    return map_rows(df.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")), make, schema, "id long, fp long", size_of=1)
 
 
-def trie_links(codes: np.ndarray, frontier: list[np.ndarray], width: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of codes at `budget` differing bits at most, from pairs of trie nodes.
+def trie_links(codes: np.ndarray, frontier: list[np.ndarray], width: int, budget: int, visits: Counter | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of distinct codes at `budget` differing bits at most, from pairs of trie nodes.
 
     A node is a range of the sorted `codes` that shares its upper bits. The traversal goes down both nodes of
     a pair together, adds a bit to its count of differences where it takes different children, and drops the
-    pair once that exceeds the budget. frontier: arrays a0, a1, b0, b1 (ranges) and diff of the first pairs; a
-    pair of a node with itself has equal ranges. The stack is worked depth first in slices of bounded length.
+    pair once that exceeds the budget. Nodes of one code have one path left, whose bits are compared at once.
+    frontier: arrays a0, a1, b0, b1 (ranges) and diff of the first pairs; a pair of a node with itself has equal
+    ranges. The stack is worked depth first in slices of bounded length. `visits` counts node pairs by bit.
     """
     ones: dict[int, np.ndarray] = {}
     stack = [(width - 1, *frontier)]
@@ -96,19 +88,23 @@ def trie_links(codes: np.ndarray, frontier: list[np.ndarray], width: int, budget
         if len(a0) > FRONTIER:
             stack += [(bit, *(x[k : k + FRONTIER] for x in (a0, a1, b0, b1, diff))) for k in range(0, len(a0), FRONTIER)]
             continue
-        own = (a0 == b0) & (a1 == b1)
+        own = a0 == b0
         live = (a1 > a0) & (b1 > b0) & (diff <= budget) & ~(own & (a1 - a0 < 2))
         a0, a1, b0, b1, diff, own = (x[live] for x in (a0, a1, b0, b1, diff, own))
         if not len(a0):
             continue
-        leaf = ((a1 - a0) * (b1 - b0) <= LEAF_PAIRS) | (bit < 0)
-        if leaf.any():
-            yield _leaf_pairs(codes, *(x[leaf] for x in (a0, a1, b0, b1, own)), budget)
-            a0, a1, b0, b1, diff, own = (x[~leaf] for x in (a0, a1, b0, b1, diff, own))
+        if visits is not None:
+            visits[bit] += len(a0)
+        single = (a1 - a0 == 1) & (b1 - b0 == 1)
+        if single.any():
+            i, j = a0[single], b0[single]
+            near = np.bitwise_count(codes[i] ^ codes[j]) <= budget
+            yield i[near], j[near]
+            a0, a1, b0, b1, diff, own = (x[~single] for x in (a0, a1, b0, b1, diff, own))
             if not len(a0):
                 continue
         if bit not in ones:
-            ones[bit] = np.concatenate(([0], np.cumsum((codes >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)))
+            ones[bit] = np.concatenate(([0], np.cumsum((codes >> np.uint64(bit)) & np.uint64(1), dtype=np.int32)), dtype=np.int32)
         c = ones[bit]
         am, bm = a1 - (c[a1] - c[a0]), b1 - (c[b1] - c[b0])
         cross = ~own
@@ -116,121 +112,143 @@ def trie_links(codes: np.ndarray, frontier: list[np.ndarray], width: int, budget
         stack.append((bit - 1, *(np.concatenate(x) for x in zip(*parts))))
 
 
-def _leaf_pairs(codes: np.ndarray, a0, a1, b0, b1, own, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    n = (a1 - a0) * (b1 - b0)
-    which = np.repeat(np.arange(len(n)), n)
-    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    i, j = a0[which] + k // (b1 - b0)[which], b0[which] + k % (b1 - b0)[which]
-    near = (np.bitwise_count(codes[i] ^ codes[j]) <= budget) & (~own[which] | (i < j))
-    return i[near], j[near]
-
-
-def _forest(batches: Iterator[pa.RecordBatch], budget: int, both: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Links that span what is linked within each group; the rows of a group come in one run."""
-    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= 50_000:
-            table = pa.Table.from_batches(held)
-            last = int(_group_starts(table)[-1])
-            if last:
-                yield from to_batches(_links(table.slice(0, last), budget, both, width), schema)
-            held = table.slice(last).to_batches()
-    if held:
-        yield from to_batches(_links(pa.Table.from_batches(held), budget, both, width), schema)
-
-
-def _group_starts(table: pa.Table) -> np.ndarray:
-    keys = [table[c].to_numpy() for c in ("perm", "key", "pa", "pb")]
-    return np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
-
-
-def _links(table: pa.Table, budget: int, both: int, width: int) -> Iterator[tuple[int, int]]:
-    rest, more, fp = table["rest"].to_numpy().astype(np.uint64), table["more"].to_numpy(), table["fp"].to_numpy()
-    first, second, cut = (table[c].to_numpy() for c in ("pa", "pb", "cut"))
-    lo = _group_starts(table)
-    hi = np.append(lo[1:], len(rest))
-    a1, b0 = hi.copy(), lo.copy()
-    for g in np.flatnonzero(first[lo] != second[lo]):  # two different nodes of a subtrie that was cut
-        prefix = rest[lo[g] : hi[g]] >> np.uint64(width - cut[lo[g]])
-        a1[g] = b0[g] = lo[g] + np.searchsorted(prefix, np.uint64(second[lo[g]]))
-    root = list(range(len(rest)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    for i, j in trie_links(rest, [lo, a1, b0, hi, np.zeros(len(lo), dtype=np.int64)], width, budget):
-        if both < 128:
-            near = np.bitwise_count(rest[i] ^ rest[j]) + np.bitwise_count((more[i] ^ more[j]).view(np.uint64)) <= both
-            i, j = i[near], j[near]
-        for x, y in zip(i.tolist(), j.tolist()):
-            p, q = find(x), find(y)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                yield int(fp[x]), int(fp[y])
-
-
-def _block_orders(nodes: DataFrame) -> DataFrame:
-    block = [f"(shiftrightunsigned(fp, {48 - 16 * i}) & 65535)" for i in range(4)]
-    orders = []
-    for k, (i, j) in enumerate(BLOCKS):
-        a, b = (x for x in range(4) if x not in (i, j))
-        orders.append(f"struct({k} as perm, {block[i]} * 65536 + {block[j]} as key, {block[a]} * 65536 + {block[b]} as rest)")
-    return nodes.select("fp", "more", F.explode(F.expr(f"array({', '.join(orders)})")).alias("c")).select("fp", "more", "c.*")
-
-
-def _random_orders(nodes: DataFrame, orders: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders_of = np.random.default_rng(SEED).permuted(np.tile(np.arange(64), (orders, 1)), axis=1)
-        for batch in batches:
-            fp, more = batch.column("fp"), batch.column("more")
-            bits = np.unpackbits(fp.to_numpy().view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            for k, order in enumerate(orders_of):
-                code = np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(">u8").ravel().astype(np.uint64)
-                parts = code >> np.uint64(64 - PREFIX), code & np.uint64((1 << (64 - PREFIX)) - 1)
-                yield pa.RecordBatch.from_arrays([fp, more, pa.array(np.full(len(code), k, dtype=np.int32)), *(pa.array(x.astype(np.int64)) for x in parts)], names=["fp", "more", "perm", "key", "rest"])
-
-    return nodes.mapInArrow(run, "fp long, more long, perm int, key long, rest long")
-
+def upper_trie(prints: DataFrame, node_rows: int = NODE_ROWS) -> list[tuple[int, int]]:
+    """(prefix, depth) of the nodes that the trie of all `fp` is cut into, in their order; each has a bounded share.
 
-def trie_rows(codes: DataFrame, budget: int, width: int, node_rows: int = NODE_ROWS) -> DataFrame:
-    """One row for each fingerprint and subtrie that it must be searched in.
-
-    A subtrie (perm, key) with over `node_rows` fingerprints is cut at its next 6 bits (12 from 64 times that
-    size), and each fingerprint goes to the pairs of its node with every node within the budget.
+    Only counts of nodes reach the driver: those below the heavy nodes, of which there are MOST_NODES at most.
     """
-    large = codes.groupBy("perm", "key").agg(F.count("*").alias("n")).where(F.col("n") > node_rows)
-    codes = codes.join(large, ["perm", "key"], "left").withColumn("cut", F.expr(f"case when n is null then 0 when n <= {64 * node_rows} then 6 else 12 end"))
-    own = f"shiftrightunsigned(rest, {width} - cut)"
-
-    def pairs(bits: int) -> str:
-        near = f"filter(sequence(0L, {(1 << bits) - 1}L), m -> bit_count(m) <= {budget})"
-        return f"transform({near}, m -> struct(least({own}, {own} ^ m) as pa, greatest({own}, {own} ^ m) as pb))"
-
-    split = F.expr(f"case cut when 0 then array(struct(0L as pa, 0L as pb)) when 6 then {pairs(6)} else {pairs(12)} end")
-    return codes.withColumn("p", F.explode(split)).select("perm", "key", "p.pa", "p.pb", "cut", "rest", "fp", "more")
+    total = prints.count()
+    limit = max(min(node_rows, total // MIN_NODES), total // MOST_NODES, 1)
+    nodes: list[tuple[int, int]] = []
+
+    def cut(prefix: int, depth: int, counts: list[tuple[int, int]], below: int) -> Iterator[int]:
+        """Split a node by the counts (prefix, n) of its descendants at depth `below`; yields those still too heavy."""
+        n = sum(c for _, c in counts)
+        if n and (n <= limit or depth == 64):
+            nodes.append((prefix, depth))
+        elif n and depth == below:
+            yield prefix
+        elif n:
+            for child in (2 * prefix, 2 * prefix + 1):
+                yield from cut(child, depth + 1, [x for x in counts if x[0] >> (below - depth - 1) == child], below)
+
+    heavy, depth = [0], 0
+    while heavy:
+        below = min(64, depth + LEVELS)
+        rows = prints.select(F.expr(f"shiftrightunsigned(fp, {64 - below})").alias("p"))
+        if depth:
+            of = prints.sparkSession.createDataFrame([(h,) for h in heavy], "h long")
+            rows = rows.join(F.broadcast(of), F.expr(f"shiftrightunsigned(p, {below - depth}) = h"))  # MOST_NODES rows at most
+        found: dict[int, list[tuple[int, int]]] = {h: [] for h in heavy}
+        for r in rows.groupBy("p").count().collect():
+            p = r["p"] % (1 << 64)
+            found[p >> (below - depth)].append((p, r["count"]))
+        heavy = [x for h in heavy for x in cut(h, depth, found[h], below)]
+        depth = below
+    return sorted(nodes, key=lambda x: x[0] << (64 - x[1]))
+
+
+def node_pairs(nodes: list[tuple[int, int]], budget: int) -> list[tuple[int, int, int]]:
+    """(node, node, differing bits) of the pairs that the traversal of the upper trie ends in, the smaller node first."""
+    tree: dict[tuple[int, int], int] = {(p, d): k for k, (p, d) in enumerate(nodes)}
+    inner = {(p >> k, d - k) for p, d in nodes for k in range(1, d + 1)}
+    out = []
+    stack = [((0, 0), (0, 0), 0)]
+    while stack:
+        a, b, diff = stack.pop()
+        if diff > budget or not all(x in tree or x in inner for x in (a, b)):
+            continue
+        ends = a in tree, b in tree
+        if all(ends):
+            out.append((tree[a], tree[b], diff))
+            continue
+        below = [[x] if end else [(2 * x[0], x[1] + 1), (2 * x[0] + 1, x[1] + 1)] for x, end in zip((a, b), ends)]
+        # Below an end the other's bits are not told apart here; a pair of a node with itself has one mixed pair.
+        known = not any(ends)
+        stack += [(x, y, diff + (known and i != j)) for i, x in enumerate(below[0]) for j, y in enumerate(below[1]) if a != b or i <= j]
+    return sorted(out)
 
 
-def fingerprint_links(nodes: DataFrame, budget: int = 2, both: int = 128, orders: int = ORDERS, node_rows: int = NODE_ROWS) -> DataFrame:
-    """Rows (src, dst) of fingerprints within `budget` bits, and `both` of 128 with `more`; they span every linked group.
+def fingerprint_links(nodes: DataFrame, budget: int = 2, node_rows: int = NODE_ROWS) -> DataFrame:
+    """Rows (src, dst) of distinct fingerprints `fp` within `budget` bits; they span every linked group.
 
-    Every pair of trie nodes within the budget is visited. The first level takes some bits whole, in several
-    orders of the bits, so that no task needs the whole trie: up to two bits in all six choices of two of four
-    blocks, which loses no link; beyond, in `orders` random orders, which finds a link with a known probability.
+    The upper trie is traversed on the driver. The node pairs it ends in are the tasks, and each goes on down
+    from there, bit by bit; together they visit every pair of nodes within the budget, so no link is lost.
     """
-    exact = budget <= 2
-    width = 32 if exact else 64 - PREFIX
-    codes = _block_orders(nodes) if exact else _random_orders(nodes, orders)
-    keys = ["perm", "key", "pa", "pb"]
-    rows = trie_rows(codes, budget, width, node_rows).repartition(*keys).sortWithinPartitions(*keys, "rest")
-    return rows.mapInArrow(lambda batches: _forest(batches, budget, both, width), "src long, dst long")
+    ends = upper_trie(nodes, node_rows)
+    pairs = node_pairs(ends, budget)
+    spark = nodes.sparkSession
+    if not pairs:
+        return spark.createDataFrame([], "src long, dst long")
+    tasks = np.array(pairs, dtype=np.int64)
+    by_node = _by_node(tasks, len(ends))
+    plan = spark.sparkContext.broadcast({  # MOST_NODES bounds the nodes, and the budget the pairs of each
+        "starts": np.array([p << (64 - d) for p, d in ends], dtype=np.uint64), "depths": np.array([d for _, d in ends]),
+        "tasks": tasks, "flat": np.concatenate(by_node).astype(np.int32), "size": np.array([len(x) for x in by_node]),
+    })
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = plan.value
+        first = np.cumsum(own["size"]) - own["size"]
+        for batch in batches:
+            fp = batch.column(0).to_numpy()
+            node = np.searchsorted(own["starts"], fp.view(np.uint64), side="right") - 1
+            n = own["size"][node]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[node], n)
+            yield pa.RecordBatch.from_arrays([pa.array(own["flat"][at]), pa.array(np.repeat(fp, n))], names=["task", "fp"])
+
+    def links(task: int, codes: np.ndarray) -> Iterator[tuple[int, int]]:
+        own = plan.value
+        a, b, diff = own["tasks"][task].tolist()
+        codes = np.sort(codes.view(np.uint64))
+        cut = len(codes) if a == b else int(np.searchsorted(codes, own["starts"][b]))
+        ranges = (0, cut, 0, cut) if a == b else (0, cut, cut, len(codes))
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        depth = int(min(own["depths"][a], own["depths"][b]))
+        for i, j in trie_links(codes, [np.array([x]) for x in (*ranges, diff)], 64 - depth, budget):
+            for x, y in zip(i.tolist(), j.tolist()):
+                p, q = find(x), find(y)
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    yield _signed(int(codes[x])), _signed(int(codes[y]))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+        now, held = None, []
+        for batch in batches:
+            task, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cut = [0, *(np.flatnonzero(np.diff(task)) + 1).tolist(), len(task)]
+            for lo, hi in zip(cut, cut[1:]):
+                if hi > lo:
+                    if held and task[lo] != now:
+                        yield from to_batches(links(now, np.concatenate(held)), schema)
+                        held = []
+                    now = int(task[lo])
+                    held.append(fp[lo:hi])
+        if held:
+            yield from to_batches(links(now, np.concatenate(held)), schema)
+
+    dealt = nodes.select("fp").mapInArrow(deal, "task int, fp long")
+    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(join, "src long, dst long")
+
+
+def _by_node(tasks: np.ndarray, n: int) -> list[np.ndarray]:
+    """Numbers of the tasks that each node is part of."""
+    number = np.arange(len(tasks))
+    mixed = tasks[:, 0] != tasks[:, 1]
+    node, task = np.concatenate((tasks[:, 0], tasks[mixed, 1])), np.concatenate((number, number[mixed]))
+    order = np.argsort(node, kind="stable")
+    return np.split(task[order], np.searchsorted(node[order], np.arange(1, n)))
 
 
 def _sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Rows (id, node, fp, more, words, bands): node stands for the text's bytes, bands are hashes of its MinHash bands."""
+    """Rows (id, node, fp, words, bands): node stands for the text's bytes, bands are hashes of its MinHash bands."""
 
     def make():
         rng = np.random.default_rng(SEED)
@@ -243,12 +261,12 @@ def _sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
             for lo in range(0, len(h), 1024):
                 np.minimum(least, ((h[lo : lo + 1024, None] ^ flip) * by).min(axis=0), out=least)
             bands = [_signed(xxhash.xxh64_intdigest(x.tobytes(), k)) for k, x in enumerate(least.reshape(BANDS, BAND_ROWS))]
-            return i, node, *map(_signed, _simhash(h) if text.split() else (0, 0)), len(h), bands
+            return i, node, _signed(_simhash(h)) if text.split() else 0, len(h), bands
 
         return lambda rows: [sketch(*r) for r in rows]
 
-    schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("more", pa.int64()), ("words", pa.int64()), ("bands", pa.list_(pa.int64()))])
-    return map_rows(_texts(df.select(F.col(id_col).cast("long").alias("id"), _bytes(text_col).alias("text"))).select("id", "node", "text"), make, schema, "id long, node long, fp long, more long, words long, bands array<long>", size_of=2)
+    schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("words", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    return map_rows(_texts(df.select(F.col(id_col).cast("long").alias("id"), _bytes(text_col).alias("text"))).select("id", "node", "text"), make, schema, "id long, node long, fp long, words long, bands array<long>", size_of=2)
 
 
 def _bytes(text_col: str) -> Column:
@@ -259,14 +277,14 @@ def _texts(d: DataFrame) -> DataFrame:
     return d.withColumn("node", F.xxhash64("text"))
 
 
-def _candidates(nodes: DataFrame, budget: int, both: int, orders: int, node_rows: int) -> DataFrame:
+def _candidates(nodes: DataFrame, budget: int, node_rows: int) -> DataFrame:
     """Rows (src, dst) of nodes that may be similar, by bits or by a band; they span every group of candidates.
 
     Whatever shares a fingerprint or a band is tied to the smallest node that has it, so a large group of
     copies makes as many rows as it has texts.
     """
-    prints = nodes.groupBy("fp").agg(F.min("node").alias("first"), F.min("more").alias("more"))
-    links = fingerprint_links(prints.select("fp", "more"), budget, both, orders, node_rows).distinct()
+    prints = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    links = fingerprint_links(prints.select("fp"), budget, node_rows)
     first = lambda c: prints.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
     by_bits = links.join(first("src"), "src").join(first("dst"), "dst").select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
     keys = nodes.select("node", F.explode(F.array_append("bands", F.xxhash64(F.lit("fp"), "fp"))).alias("key"))
@@ -323,15 +341,14 @@ def _verified(rows: DataFrame, width: int, least: float) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "src long, dst long")
 
 
-def similar_links(df: DataFrame, nodes: DataFrame, text_col: str, width: int, budget: int, both: int, orders: int, node_rows: int, least: float = SIMILAR) -> DataFrame:
+def similar_links(df: DataFrame, nodes: DataFrame, text_col: str, width: int, budget: int, node_rows: int, least: float = SIMILAR) -> DataFrame:
     """Rows (src, dst) of nodes whose shingle sets have a Jaccard similarity of `least`; they span every linked group.
 
     Candidates only say which texts meet: within each of their groups every pair of texts is compared exactly,
     but for pairs that links already join. A group over BLOCK_TEXTS texts or BLOCK_WORDS words is cut into blocks
     that meet in pairs, so that no task holds all of it.
     """
-    found = checkpoint(_candidates(nodes, budget, both, orders, node_rows))
-    release_shuffles(df.sparkSession)  # the search's, before the texts are shuffled
+    found = checkpoint(_candidates(nodes, budget, node_rows))
     groups = checkpoint(connected_components(found).join(nodes.select("node", "words"), "node"))
     size = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("words") / BLOCK_WORDS)).cast("int").alias("n"))
     members = groups.select("node", "root").join(size, "root").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("n")).cast("int"))
@@ -340,37 +357,43 @@ def similar_links(df: DataFrame, nodes: DataFrame, text_col: str, width: int, bu
     return _verified(texts.withColumn("p", F.explode(meets)).select("root", "p.pa", "p.pb", "block", "node", "text"), width, least)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2, both: int = 128, orders: int = ORDERS, node_rows: int = NODE_ROWS) -> DataFrame:
-    """Rows (id, fp, component_id): the smallest id reachable over links.
+def _grouped(rows: DataFrame, key: str, links: DataFrame) -> DataFrame:
+    """Rows (id, key, component_id) of the rows (id, key, ...): the smallest id that links of keys reach."""
+    nodes = rows.groupBy(key).agg(F.min("id").alias("least"))
+    placed = nodes.join(connected_components(links).withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
+    lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select("id", key).join(placed.join(lowest, "root").select(key, "component_id"), key)
+
 
-    Up to a budget of two, a link is a pair of fingerprints within `budget` bits. Beyond, it is a pair of texts
-    whose shingle sets have a Jaccard similarity of SIMILAR; `budget`, and `both` of 128 bits, then only choose
-    what is compared, together with the MinHash bands.
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2, node_rows: int = NODE_ROWS) -> DataFrame:
+    """Rows (id, fp, component_id): the fingerprint of each whole text, and the smallest id reachable over links.
 
-    Exact copies fall together before the search. A null text counts
-    as empty and has fingerprint 0 like every text without a word; rows with a null id keep their row and
-    are grouped like others (the component of rows whose ids are all null is null); an empty table gives an
-    empty result; repeated ids give repeated rows.
+    A link is a pair of fingerprints within `budget` bits; equal fingerprints fall together before the search. A
+    null text counts as empty and has fingerprint 0 like every text without a word; rows with a null id keep
+    their row and are grouped like others (the component of rows whose ids are all null is null); repeated rows
+    and ids keep their rows; ties have no say, as the smallest id is one value; an empty table gives an empty
+    result. Other columns of `df` are left out, whatever their names. A text is hashed whole, in memory of some
+    20 times its size.
     """
-    if budget <= 2:
-        key, prints = "fp", checkpoint(fingerprints(df, id_col, text_col, width))
-        nodes = prints.groupBy("fp").agg(F.min("id").alias("least"), F.min("more").alias("more"))
-        links = fingerprint_links(nodes.select("fp", "more"), budget, both, orders, node_rows)
-    else:
-        key, prints = "node", checkpoint(_sketches(df, id_col, text_col, width))
-        nodes = prints.groupBy("node").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("fp", "more", "words", "bands")))
-        links = checkpoint(similar_links(df, nodes.drop("least"), text_col, width, budget, both, orders, node_rows))
-        release_shuffles(df.sparkSession)
-        nodes = prints.groupBy("node").agg(F.min("id").alias("least"))
-    roots = connected_components(links)
-    placed = nodes.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
-    lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(placed.join(lowest, "root").select(key, "component_id"), key).select("id", "fp", "component_id")
+    prints = checkpoint(fingerprints(df, id_col, text_col, width))
+    return _grouped(prints, "fp", fingerprint_links(prints.select("fp").distinct(), budget, node_rows)).select("id", "fp", "component_id")
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SIMILAR_WIDTH, budget: int = SIMILAR_BITS, node_rows: int = NODE_ROWS, least: float = SIMILAR) -> DataFrame:
+    """Rows (id, component_id): the smallest id reachable over pairs of texts of Jaccard similarity `least`.
+
+    The similarity is that of the sets of `width`-word shingles, counted exactly; `budget` bits and the MinHash
+    bands only choose what is compared. Rows that `near_duplicates` treats specially are treated alike here;
+    texts without a word are equal.
+    """
+    rows = checkpoint(_sketches(df, id_col, text_col, width))
+    nodes = rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "words", "bands")))
+    links = checkpoint(similar_links(df, nodes, text_col, width, budget, node_rows, least))
+    return _grouped(rows, "node", links).select("id", "component_id")
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SIMILAR_WIDTH, budget: int = SIMILAR_BITS, both: int = SIMILAR_BITS_128) -> DataFrame:
-    """The rows of `df` whose id is the smallest of its group of near copies; rows with a null id stay."""
-    copies = near_duplicates(df, id_col, text_col, width, budget, both).where("id <> component_id").select(F.col("id").alias("__copy")).distinct()
-    copies = checkpoint(copies)
-    release_shuffles(df.sparkSession)
-    return df.join(copies, df[id_col] == copies["__copy"], "left_anti")
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `df` whose id is the smallest of its group in `similar_groups`; rows with a null id stay, as do all columns."""
+    gone = fresh(df, "gone")
+    copies = similar_groups(df, id_col, text_col, **options).where("id <> component_id").select(F.col("id").alias(gone)).distinct()
+    return df.join(checkpoint(copies), F.col(id_col).cast("long") == F.col(gone), "left_anti")

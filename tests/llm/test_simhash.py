@@ -1,6 +1,8 @@
 import re
+from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -64,12 +66,8 @@ def _cloud(n, seed=1):
     return sorted({center ^ sum(1 << int(b) for b in rng.choice(64, size=int(rng.integers(0, 5)), replace=False)) for _ in range(n)})
 
 
-def test_cut_subtries_lose_no_link(spark):
-    """A dense cloud whose groups are far over the limit gives the same components as brute force."""
-    fps = _cloud(600)
-    nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, 0) for f in fps], "fp long, more long")
-    links = [(r[0] % (1 << 64), r[1] % (1 << 64)) for r in simhash.fingerprint_links(nodes, node_rows=5).collect()]
-    assert all((a ^ b).bit_count() <= 2 for a, b in links)
+def _joined(links, fps):
+    """Sets of fingerprints that links hold together."""
     root = {f: f for f in fps}
 
     def find(x):
@@ -79,13 +77,42 @@ def test_cut_subtries_lose_no_link(spark):
 
     for a, b in links:
         root[find(a)] = find(b)
-    want = brute_components([(k, f) for k, f in enumerate(fps)])
-    groups = {}
+    return {f: find(f) for f in fps}
+
+
+@pytest.mark.parametrize(("node_rows", "budget"), [(5, 2), (5, 3), (40, 2), (10_000, 3)])
+def test_cut_tries_lose_no_link(spark, node_rows, budget):
+    """A dense cloud, cut into many nodes of the upper trie, gives the same components as brute force."""
+    fps = _cloud(600)
+    nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    links = [(r[0] % (1 << 64), r[1] % (1 << 64)) for r in simhash.fingerprint_links(nodes, budget, node_rows=node_rows).collect()]
+    assert all((a ^ b).bit_count() <= budget for a, b in links)
+    of, want, groups = _joined(links, fps), brute_components([(k, f) for k, f in enumerate(fps)], budget), {}
     for k, f in enumerate(fps):
-        groups.setdefault(find(f), set()).add(want[k])
+        groups.setdefault(of[f], set()).add(want[k])
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want))
 
 
+def test_upper_trie_holds_every_fingerprint_once(spark):
+    fps = _cloud(600)
+    nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    ends = simhash.upper_trie(nodes, 5)
+    sizes = [sum(f >> (64 - d) == p for f in fps) for p, d in ends]
+    assert sum(sizes) == len(fps) and max(sizes) <= 5 and min(sizes) > 0
+    near = {(a, b) for k, a in enumerate(fps) for b in fps[:k] if (a ^ b).bit_count() <= 2}
+    end = {f: next(k for k, (p, d) in enumerate(ends) if f >> (64 - d) == p) for f in fps}
+    assert {tuple(sorted((end[a], end[b]))) for a, b in near} <= {(a, b) for a, b, _ in simhash.node_pairs(ends, 2)}
+
+
+def test_traversal_goes_down_bit_by_bit():
+    """Node pairs are visited far below the root, and far fewer than all pairs of codes."""
+    rng = np.random.default_rng(3)
+    codes = np.unique(rng.integers(0, 1 << 64, size=20_000, dtype=np.uint64))
+    n, visits = len(codes), Counter()
+    list(simhash.trie_links(codes, [np.array([x]) for x in (0, n, 0, n, 0)], 64, 2, visits))
+    assert visits[63] == 1 and visits[52] > 10_000 and sum(visits.values()) < n * n / 50
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.integers(0, (1 << 12) - 1), min_size=2, max_size=60, unique=True), st.integers(0, 3))
 def test_trie_finds_exactly_the_close_pairs(values, budget):
@@ -102,7 +129,7 @@ def test_five_word_near_copies_fall_together(spark):
     other = [f"other{i}" for i in range(400)]
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(other))], "doc_id long, text string")
     assert {r["doc_id"] for r in simhash.keep_first(df).collect()} == {1, 3}
-    assert simhash.near_duplicates(df).where(F.col("id") == 3).first()["component_id"] == 3
+    assert simhash.similar_groups(df).where(F.col("id") == 3).first()["component_id"] == 3
 
 
 def _jaccard(a, b, width=5):
@@ -124,7 +151,7 @@ def test_similarity_stage_equals_brute_force_jaccard(spark):
         want.append(_jaccard(words, near) >= 0.8)
     assert 60 < sum(want) < 240
     df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
-    got = {r["id"]: r["component_id"] for r in simhash.near_duplicates(df, width=5, budget=16, both=26).collect()}
+    got = {r["id"]: r["component_id"] for r in simhash.similar_groups(df).collect()}
     assert [got[2 * p + 1] == 2 * p for p in range(300)] == want
 
 
@@ -135,7 +162,7 @@ def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     want = brute_links(texts)
     for most in (1_000, 7):
         monkeypatch.setattr(simhash, "BLOCK_TEXTS", most)
-        got = [r["component_id"] for r in simhash.near_duplicates(df, width=5, budget=16, both=26).orderBy("id").collect()]
+        got = [r["component_id"] for r in simhash.similar_groups(df).orderBy("id").collect()]
         assert got == want
 
 
