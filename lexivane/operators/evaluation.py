@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.signals import SIGNALS, combine
-from .prefix import cells, running_totals
+from .prefix import running_totals
 
 ROC_POINTS = 60
 
@@ -19,23 +19,14 @@ def score_counts(df: DataFrame, score: str, label: str, *by: str) -> DataFrame:
 def average_ranks(df: DataFrame, score: str) -> DataFrame:
     """`df` plus `avg_rank`: 1-based ranks by score, ties share their mean."""
     n = df.groupBy(F.col(score).alias("__s")).agg(F.count("*").alias("__n"))
-    upto = running_totals(n, [F.col("__s")], cells(n, "__s"), {"__upto": F.col("__n")})
+    upto = running_totals(n, [F.col("__s")], {"__upto": F.col("__n")})
     ranks = upto.select("__s", (F.col("__upto") - (F.col("__n") - 1) / 2.0).alias("avg_rank"))
     return df.join(ranks, df[score].eqNullSafe(ranks["__s"])).drop("__s")
 
 
 def roc_auc(df: DataFrame, score: str, label: str, *by: str) -> DataFrame:
-    """Rows (by, n_pos, n_neg, auc): rank AUC with average ranks for ties, 0.5 where one class is missing.
-
-    Without groups, running totals over distinct scores are split in cells; with groups, each group's distinct
-    scores are one window.
-    """
-    c = score_counts(df, score, label, *by)
-    if by:
-        w = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-        c = c.withColumn("below", F.sum("neg").over(w))
-    else:
-        c = running_totals(c, [F.col("score")], cells(c, "score"), {"below": F.col("neg")})
+    """Rows (by, n_pos, n_neg, auc): rank AUC with average ranks for ties, 0.5 where one class is missing."""
+    c = running_totals(score_counts(df, score, label, *by), [F.col("score")], {"below": F.col("neg")}, *by)
     # Pairs in which the positive wins, ties counting half.
     wins = F.sum(F.col("pos") * (F.col("below") - F.col("neg") / 2.0))
     d = c.groupBy(*by).agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n_neg"), wins.alias("__w"))
@@ -49,13 +40,13 @@ def directed_auc(df: DataFrame, score: str, label: str, *by: str) -> DataFrame:
 def roc_points(df: DataFrame, score: str, label: str, order: str, most: int = ROC_POINTS) -> DataFrame:
     """Rows (point, fpr, tpr), one for each row from the highest score down (ties in `order`), thinned to `most` and the last."""
     d = df.select(F.col(score).cast("double").alias("s"), (F.col(label) == 1).cast("int").alias("y"), F.col(order).alias("o"))
-    d = running_totals(d.withColumn("m", -F.col("s")), [F.col("m"), F.col("o")], cells(d.withColumn("m", -F.col("s")), "m"), {"k": F.lit(1), "tp": F.col("y"), "fp": 1 - F.col("y")})
+    d = running_totals(d, [-F.col("s"), F.col("o")], {"k": F.lit(1), "tp": F.col("y"), "fp": 1 - F.col("y")})
     ends = d.agg(F.max("k").alias("n"), F.max("tp").alias("p"), F.max("fp").alias("q"))
     spark = df.sparkSession
     start = spark.sql("select 0L as k, 0L as tp, 0L as fp")
-    pts = start.union(d.select("k", "tp", "fp")).join(ends)  # one row of totals
+    pts = start.union(d.select("k", "tp", "fp")).join(F.broadcast(ends))  # one row of totals
     size = F.col("n") + 1
-    wanted = spark.range(most).select(F.col("id").alias("i")).join(ends).where(size > most)
+    wanted = spark.range(most).select(F.col("id").alias("i")).join(F.broadcast(ends)).where(size > most)
     wanted = wanted.select("i", F.floor(F.col("i") * (size / most)).alias("k")).union(ends.where(size > most).select(F.lit(most).cast("long"), "n"))
     thin = pts.join(wanted, "k").select("i", "fp", "tp", "p", "q")
     whole = pts.where(size <= most).select(F.col("k").alias("i"), "fp", "tp", "p", "q")
@@ -69,15 +60,16 @@ def rates(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]:
     return {"accuracy": zero(tp + tn, tp + fp + fn + tn), "precision": precision, "recall": recall, "f1": zero(2 * precision * recall, precision + recall)}
 
 
-def best_f1(df: DataFrame, score: str, label: str) -> DataFrame:
-    """One row: the lowest threshold with the largest F1, and the rates there. One sweep over distinct scores."""
-    c = score_counts(df, score, label).withColumn("m", -F.col("score"))
-    d = running_totals(c, [F.col("m")], cells(c, "m"), {"tp": F.col("pos"), "fp": F.col("neg")})
-    ends = d.agg(F.max("tp").alias("p"), F.max("fp").alias("q"))
-    d = d.join(ends).withColumn("fn", F.col("p") - F.col("tp")).withColumn("tn", F.col("q") - F.col("fp"))
-    d = d.select("score", *(v.alias(k) for k, v in rates(*(F.col(x) for x in ("tp", "fp", "fn", "tn"))).items()))
-    best = d.agg(F.max_by(F.struct(*d.columns), F.struct("f1", (-F.col("score")).alias("m"))).alias("x"))
-    return best.select(F.col("x.score").alias("threshold"), "x.accuracy", "x.precision", "x.recall", "x.f1")
+def best_f1(df: DataFrame, score: str, label: str, *by: str) -> DataFrame:
+    """Rows (by, threshold, rates): the lowest threshold with the largest F1, and the rates there. One sweep over distinct scores."""
+    c = running_totals(score_counts(df, score, label, *by), [-F.col("score")], {"tp": F.col("pos"), "fp": F.col("neg")}, *by)
+    ends = c.groupBy(*by).agg(F.max("tp").alias("p"), F.max("fp").alias("q"))
+    d = c.join(ends, list(by)) if by else c.join(F.broadcast(ends))  # one row
+    d = d.withColumn("fn", F.col("p") - F.col("tp")).withColumn("tn", F.col("q") - F.col("fp"))
+    d = d.select(*by, "score", *(v.alias(k) for k, v in rates(*(F.col(x) for x in ("tp", "fp", "fn", "tn"))).items()))
+    rows = F.struct(*(c for c in d.columns if c not in by))
+    best = d.groupBy(*by).agg(F.max_by(rows, F.struct("f1", (-F.col("score")).alias("m"))).alias("x"))
+    return best.select(*by, F.col("x.score").alias("threshold"), "x.accuracy", "x.precision", "x.recall", "x.f1")
 
 
 def confusion(df: DataFrame, predicted: Column, actual: Column, *by: str) -> DataFrame:
@@ -100,7 +92,7 @@ def evaluate_method(train: DataFrame | None, test: DataFrame, score: str, label:
     """One row (name, auc, sign_flipped, threshold, rates). With `train`, the sign turns if the train AUC is under 0.5."""
     flipped = train is not None and roc_auc(train, score, label).first()["auc"] < 0.5
     d = test.withColumn(score, -F.col(score)) if flipped else test
-    return roc_auc(d, score, label).join(best_f1(d, score, label)).select(F.lit(name).alias("name"), "auc", F.lit(flipped).alias("sign_flipped"), "threshold", "accuracy", "precision", "recall", "f1")
+    return roc_auc(d, score, label).join(F.broadcast(best_f1(d, score, label))).select(F.lit(name).alias("name"), "auc", F.lit(flipped).alias("sign_flipped"), "threshold", "accuracy", "precision", "recall", "f1")
 
 
 def separation(df: DataFrame, score: str, is_synthetic: Column) -> DataFrame:

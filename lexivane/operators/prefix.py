@@ -5,35 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ids or cells of one bucket; a task orders one bucket, and one window orders the buckets' totals.
-BUCKET_IDS = 1 << 16
-CELLS = 4096
+from ..functions.shared import checkpoint, fresh
 
 
-def running_totals(df: DataFrame, order: list[Column], bucket: Column, totals: dict[str, Column]) -> DataFrame:
-    """`df` plus an inclusive running sum for each of `totals`, in `order`.
+def running_totals(df: DataFrame, order: list[Column], totals: dict[str, Column], *by: str) -> DataFrame:
+    """`df` plus an inclusive running sum for each of `totals`, in `order`, within each group of `by`.
 
-    `bucket` must not decrease along the order. Rows are summed inside their bucket, and only one row per
-    bucket meets in a single task.
+    Rows are dealt to ranges of the order, whose limits Spark samples from the rows, so neither sparse ids nor
+    skewed values fill one range; only rows equal in `by` and `order` have to share one. The dealt rows are
+    checkpointed, since their ranges must not change between the two reads: one sums the ranges, of which there
+    are as many as shuffle partitions, and one sums inside them.
     """
-    d = df.withColumns({"__b": bucket, **{f"__v_{k}": v for k, v in totals.items()}})
-    sums = d.groupBy("__b").agg(*(F.sum(f"__v_{k}").alias(f"__t_{k}") for k in totals))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("__b").alias("__c"), *(F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0)).alias(f"__o_{k}") for k in totals))
-    inside = Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.join(sums, d["__b"].eqNullSafe(sums["__c"]))
-    return d.select(*df.columns, *((F.col(f"__o_{k}") + F.sum(f"__v_{k}").over(inside)).alias(k) for k in totals))
+    bucket, *held = fresh(df, "bucket_", *(f"value_{k}" for k in totals))
+    keys = fresh(df, *(f"order_{k}" for k in range(len(order))))
+    sums_of = fresh(df, *(f"sum_{k}" for k in totals))
+    d = df.withColumns(dict(zip(keys, order)) | dict(zip(held, totals.values())))
+    d = checkpoint(d.repartitionByRange(*by, *keys).withColumn(bucket, F.spark_partition_id()))
+    sums = d.groupBy(bucket, *by).agg(*(F.sum(v).alias(s) for v, s in zip(held, sums_of)))
+    before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col(bucket).alias("_b"), *(F.col(c).alias(f"_by_{c}") for c in by), *(F.coalesce(F.sum(s).over(before), F.lit(0)).alias(s) for s in sums_of))
+    same = d[bucket] == sums["_b"]
+    for c in by:
+        same = same & d[c].eqNullSafe(sums[f"_by_{c}"])
+    inside = Window.partitionBy(bucket, *by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    return d.join(sums, same).select(*df.columns, *((F.col(s) + F.sum(v).over(inside)).alias(k) for k, v, s in zip(totals, held, sums_of)))
 
 
 def dense_index(df: DataFrame, order_col: str) -> DataFrame:
-    """`df` plus `pos`: 0, 1, 2, ... in the order of a numeric id."""
-    d = running_totals(df, [F.col(order_col)], F.floor(F.col(order_col) / BUCKET_IDS), {"pos": F.lit(1)})
+    """`df` plus `pos`: 0, 1, 2, ... in the order of a column."""
+    d = running_totals(df, [F.col(order_col)], {"pos": F.lit(1)})
     return d.withColumn("pos", F.col("pos") - 1)
-
-
-def cells(df: DataFrame, column: str) -> Column:
-    """Bucket of a numeric column for running totals: equal cells between its least and largest value."""
-    lo, hi = df.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
-    if lo is None or hi is None or not hi > lo:
-        return F.lit(0)
-    return F.least(F.lit(CELLS - 1), F.floor((F.col(column) - lo) / ((hi - lo) / CELLS))).cast("int")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import fresh
+from .prefix import running_totals
+
 SEED = 1234
 
 
@@ -13,16 +16,23 @@ def seeded(key: Column, seed: int = SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+def ranked(df: DataFrame, rank: str, key: Column, seed: int = SEED, *by: str) -> DataFrame:
+    """`df` plus the rank (from 1) of each row in the seeded order of its group."""
+    return running_totals(df, [seeded(key, seed), key], {rank: F.lit(1)}, *by)
+
+
 def split(df: DataFrame, label: str, key: Column, frac: float = 0.7, seed: int = SEED) -> DataFrame:
     """`df` plus `is_train`: exactly floor(n * frac) rows of each label, in seeded order."""
-    w = Window.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(seeded(key, seed), key))
-    return df.withColumn("is_train", rank <= F.floor(F.count("*").over(w) * frac))
+    rank, n, of = fresh(df, "rank", "n", "of")
+    sizes = df.groupBy(F.col(label).alias(of)).agg(F.count("*").alias(n))
+    d = ranked(df, rank, key, seed, label)
+    d = d.join(F.broadcast(sizes), d[label].eqNullSafe(sizes[of]))  # a row for each label
+    return d.select(*df.columns, (F.col(rank) <= F.floor(F.col(n) * frac)).alias("is_train"))
 
 
 def balanced(df: DataFrame, label: str, key: Column, seed: int = SEED, most: int | None = None) -> DataFrame:
     """As many rows of each label as the smallest has (`most` at most), in seeded order."""
-    n = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias("__least"))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(seeded(key, seed), key))
-    limit = F.least(F.col("__least"), F.lit(most)) if most else F.col("__least")
-    return df.withColumn("__r", rank).join(F.broadcast(n), F.col("__r") <= limit).drop("__r", "__least")
+    rank, least = fresh(df, "rank", "least")
+    n = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias(least))
+    limit = F.least(F.col(least), F.lit(most)) if most else F.col(least)
+    return ranked(df, rank, key, seed, label).join(F.broadcast(n), F.col(rank) <= limit).select(*df.columns)  # one row
