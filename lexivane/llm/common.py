@@ -2,49 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import checkpoint, delete_folder, fresh, shared_folder  # noqa: F401
+
 #: Code points that separate words: space, and tab to carriage return.
 WORD_GAPS = " \t\n\v\f\r"
-#: Rows handed to Python at once; long texts make large rows, so batches stay short.
-BATCH_ROWS = 1000
+#: Rows, and bytes, handed to Python at once; long texts make large rows, so batches stay short.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches short, unless the session already asks for shorter ones."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors share; where that is unset, one is made for a local master only."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt"))
-    return sc.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder, cut its lineage and return the written rows."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that `df` does not have, in any letter case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+    """Keep Arrow batches short and small, unless the session already asks for smaller ones."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key)
+        if not 0 < int(now.rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def words_of(text: Column) -> Column:

@@ -394,6 +394,6 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `df` whose id is the smallest of its group in `similar_groups`; rows with a null id stay, as do all columns."""
-    gone = fresh(df, "gone")
+    (gone,) = fresh(df, "gone")
     copies = similar_groups(df, id_col, text_col, **options).where("id <> component_id").select(F.col("id").alias(gone)).distinct()
     return df.join(checkpoint(copies), F.col(id_col).cast("long") == F.col(gone), "left_anti")
