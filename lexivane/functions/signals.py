@@ -23,36 +23,51 @@ SYNTHETIC_THRESHOLD = 50.0
 SIGNALS = tuple(WEIGHTS)
 
 
+#: Helper columns of `with_features`; a caller's columns of these names are refused rather than overwritten.
+TOKENS, LENGTHS, TRIGRAMS = "_tokens", "_lengths", "_trigrams"
+
+
 def with_features(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """`df` plus the arrays that several signals share, each computed once: tokens, sorted trigrams, sentence lengths."""
-    df = df.withColumn("toks", T.word_tokens(text_col)).withColumn("lens", T.sentence_lengths(text_col))
-    return df.withColumn("tris", F.sort_array(T.ngrams("toks", 3)))
+    """`df` plus what several signals share, each computed once a row: tokens, sentence lengths, and hashes of trigrams.
+
+    The trigrams of a text are told apart by 64-bit hashes, and sorted only where some are equal; otherwise the
+    array is null, and there are two less trigrams than tokens.
+    """
+    if taken := {TOKENS, LENGTHS, TRIGRAMS} & set(df.columns):
+        raise ValueError(f"columns with reserved names: {sorted(taken)}")
+    df = df.withColumn("_marked", T.marked_tokens(text_col)).withColumn(LENGTHS, T.run_lengths("_marked"))
+    df = df.withColumn(TOKENS, F.array_remove(F.array_remove(F.array_remove("_marked", "."), "!"), "?")).drop("_marked")
+    hashed = F.expr(f"if(size({TOKENS}) < 3, array(), transform(sequence(0, size({TOKENS}) - 3), i -> xxhash64({TOKENS}[i], {TOKENS}[i + 1], {TOKENS}[i + 2])))")
+    df = df.withColumn(TRIGRAMS, hashed)
+    return df.withColumn(TRIGRAMS, F.when(F.size(F.array_distinct(TRIGRAMS)) < F.size(TRIGRAMS), F.sort_array(TRIGRAMS)))
 
 
-def variation(lens: str = "lens") -> Column:
+def variation(lens: str = LENGTHS) -> Column:
     """Population deviation over mean of the sentence lengths; null under two sentences."""
     n, s = F.size(lens).cast("long"), F.aggregate(lens, F.lit(0).cast("long"), lambda a, x: a + x)
     squares = F.aggregate(lens, F.lit(0).cast("long"), lambda a, x: a + x * x)
     return F.when(n >= 2, F.sqrt((n * squares - s * s).cast("double")) / s)
 
 
-def with_signals(df: DataFrame, text_col: str = "text", references: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+def with_signals(df: DataFrame, text_col: str = "text", references: DataFrame | None = None, id_col: str = "doc_id", keep: bool = False) -> DataFrame:
     """`df` plus the six signals (doubles in 0 to 1). Without `references`, duplicate_similarity is 0.
 
-    Trigrams are sorted once per row: neighbours tell how many differ and how many occur only once.
+    Sorted trigrams have equal ones side by side, which tells how many differ and how many occur only once. With
+    `keep`, the tokens and sentence lengths stay as columns.
     """
-    columns = df.columns
+    columns = [*df.columns, *((TOKENS, LENGTHS) if keep else ())]
     d = with_features(df, text_col)
-    n = F.size("tris")
-    new = F.expr("size(filter(tris, (x, i) -> i = 0 or tris[greatest(i - 1, 0)] <> x))")
-    single = F.expr("size(filter(tris, (x, i) -> (i = 0 or tris[greatest(i - 1, 0)] <> x) and (i = size(tris) - 1 or tris[least(i + 1, size(tris) - 1)] <> x)))")
-    tokens = F.size("toks")
+    tokens, t = F.size(TOKENS), TRIGRAMS
+    n = F.greatest(tokens - 2, F.lit(0))
+    new = F.expr(f"size(filter({t}, (x, i) -> i = 0 or {t}[greatest(i - 1, 0)] <> x))")
+    single = F.expr(f"size(filter({t}, (x, i) -> (i = 0 or {t}[greatest(i - 1, 0)] <> x) and (i = size({t}) - 1 or {t}[least(i + 1, size({t}) - 1)] <> x)))")
+    all_differ = F.col(t).isNull()
     d = d.select(
         *columns,
-        F.when(n > 0, (n - single) / n).otherwise(0.0).alias("repetition"),
+        F.when(n <= 0, 0.0).when(all_differ, 0.0).otherwise((n - single) / n).alias("repetition"),
         F.when(tokens > 0, T.clamp(T.filler_hits(text_col) / F.greatest(F.lit(1.0), tokens / 50.0))).otherwise(0.0).alias("filler_density"),
-        F.when(tokens > 0, F.size(F.array_distinct("toks")) / tokens).otherwise(0.0).alias("lexical_diversity"),
-        F.when(n > 0, new / n).otherwise(0.0).alias("ngram_diversity"),
+        F.when(tokens > 0, F.size(F.array_distinct(TOKENS)) / tokens).otherwise(0.0).alias("lexical_diversity"),
+        F.when(n <= 0, 0.0).when(all_differ, 1.0).otherwise(new / n).alias("ngram_diversity"),
         T.clamp(F.coalesce(variation(), F.lit(0.0))).alias("burstiness"),
         F.lit(0.0).alias("duplicate_similarity"),
     )
@@ -75,7 +90,7 @@ def combine(drop: Iterable[str] = ()) -> Column:
 
 
 def explanation() -> Column:
-    """Reasons in fixed order, from unrounded signals."""
+    """Reasons in fixed order, from unrounded signals. The wordings are fixed values."""
     reasons = F.concat_ws(
         "; ",
         F.when(F.col("duplicate_similarity") > 0.4, "high overlap with known synthetic outputs (recycling)"),
@@ -87,9 +102,9 @@ def explanation() -> Column:
     return F.coalesce(F.nullif(reasons, F.lit("")), F.lit("varied vocabulary and sentence structure"))
 
 
-def score(df: DataFrame, text_col: str = "text", references: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+def score(df: DataFrame, text_col: str = "text", references: DataFrame | None = None, id_col: str = "doc_id", keep: bool = False) -> DataFrame:
     """`df` plus signals, `synthetic_likelihood`, `is_synthetic` and `explanation`."""
-    d = with_signals(df, text_col, references, id_col).withColumn("synthetic_likelihood", combine())
+    d = with_signals(df, text_col, references, id_col, keep).withColumn("synthetic_likelihood", combine())
     return d.withColumn("is_synthetic", F.col("synthetic_likelihood") >= SYNTHETIC_THRESHOLD).withColumn("explanation", explanation())
 
 

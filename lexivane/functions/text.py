@@ -71,6 +71,17 @@ def sentence_lengths(text: Column | str) -> Column:
     return F.filter(F.transform(F.split(_text(text), SENTENCE_END, -1), lambda s: F.size(word_tokens(s))), lambda n: n > 0)
 
 
+def run_lengths(marked: Column | str) -> Column:
+    """Word tokens of each sentence that has any, from `marked_tokens`: the distances between marks."""
+
+    def lengths(m: Column) -> Column:
+        at = F.filter(F.transform(m, lambda w, i: F.when(w.isin(".", "!", "?"), i)), lambda i: i.isNotNull())
+        ends = F.concat(F.array(F.lit(-1)), at, F.array(F.size(m)))
+        return once(ends, lambda e: F.filter(F.zip_with(F.slice(e, F.lit(2), F.size(e) - 1), F.slice(e, F.lit(1), F.size(e) - 1), lambda b, a: b - a - 1), lambda n: n > 0))
+
+    return once(marked, lengths)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 

@@ -6,51 +6,84 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import signals, text as T
-from .prefix import BUCKET_IDS, running_totals
+from ..functions.shared import checkpoint
+from .prefix import running_totals
 from .similarity import near_duplicate_rate
 
 VERSION = "0.1.0"
 BINS = 10
 
 
+def tokenised(df: DataFrame, order_col: str = "doc_id", text_col: str = "text", tokens=T.word_tokens) -> DataFrame:
+    """Rows (o, row, toks), checkpointed: all metrics of a corpus read its tokens, which are taken from the texts once."""
+    d = df.select(F.col(order_col).alias("o"), F.monotonically_increasing_id().alias("row"), tokens(text_col).alias("toks"))
+    return checkpoint(d)
+
+
 def counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """One row: n_docs, n_tokens, mean_doc_tokens, vocab, vocab_per_10k_tokens, type_token_ratio; ratios are 0 over nothing."""
-    d = df.select(T.word_tokens(text_col).alias("toks"))
-    sizes = d.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.size("toks")), F.lit(0)).cast("long").alias("n_tokens"))
-    vocab = d.select(F.explode("toks").alias("w")).agg(F.countDistinct("w").alias("vocab"))
+    return token_counts(df.select(T.word_tokens(text_col).alias("toks")))
+
+
+def token_counts(d: DataFrame) -> DataFrame:
+    """`counts` of rows (toks), in one pass: tokens are counted by word, and documents beside them as the null word."""
+    words = d.select(F.explode(F.concat(F.array(F.lit(None).cast("string")), "toks")).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+    n = words.agg(*(F.coalesce(x, F.lit(0)).cast("long").alias(k) for k, x in (("n_docs", F.sum(F.when(F.col("w").isNull(), F.col("c")))), ("n_tokens", F.sum(F.when(F.col("w").isNotNull(), F.col("c")))), ("vocab", F.count("w")))))
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    return sizes.join(vocab).select(
+    return n.select(
         "n_docs", "n_tokens", ratio(F.col("n_tokens"), F.col("n_docs")).alias("mean_doc_tokens"), "vocab",
         ratio(10000 * F.col("vocab"), F.col("n_tokens")).alias("vocab_per_10k_tokens"), ratio(F.col("vocab"), F.col("n_tokens")).alias("type_token_ratio"),
     )
 
 
-def corpus_ngrams(df: DataFrame, n: int, order_col: str = "doc_id", text_col: str = "text", tokens=T.word_tokens) -> DataFrame:
-    """Rows (pos, g): the n-grams of all documents' tokens written one after another, in the order of a numeric id.
+def sequence_ngrams(toks: DataFrame, *ns: int) -> DataFrame:
+    """Rows (n, pos, g): the n-grams of all `tokenised` documents written one after another, in their order, for each n.
 
-    N-grams inside a document come from its own array. Those that cross borders are put together from the
-    first and last n-1 tokens of documents only, so the token sequence is never sorted as a whole.
+    Only sizes are put in order. N-grams inside a document come from its own array; those that cross borders are put
+    together from the first and last tokens of documents, so the token sequence is never sorted as a whole.
     """
-    d = df.select(F.col(order_col).alias("o"), tokens(text_col).alias("toks"))
-    d = running_totals(d, [F.col("o")], F.floor(F.col("o") / BUCKET_IDS), {"upto": F.size("toks")})
-    d = d.withColumn("at", F.col("upto") - F.size("toks")).where("size(toks) > 0")
-    inside = d.select("at", F.posexplode(T.ngrams("toks", n)).alias("i", "g")).select((F.col("at") + F.col("i")).alias("pos"), "g")
-    if n == 1:
-        return inside
+    at = running_totals(toks.select("o", "row", F.size("toks").alias("n")), [F.col("o"), F.col("row")], {"upto": F.col("n")})
+    d = toks.where("size(toks) > 0").join(at.select("row", (F.col("upto") - F.col("n")).alias("at")), "row").select("at", "toks")
+    grams = F.concat(*(_numbered(T.ngrams("toks", n), n) for n in ns))
+    inside = d.select("at", F.explode(grams).alias("x")).select("x.n", (F.col("at") + F.col("x.i")).alias("pos"), "x.g")
+    most, out = max(ns), inside
+    if most == 1:
+        return out
     size = F.size("toks")
-    edge = d.select("at", size.alias("n"), F.posexplode("toks").alias("i", "w")).where((F.col("i") < n - 1) | (F.col("i") > F.col("n") - n))
-    placed = edge.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"), "at", "i", "n", "w")
-    starts = placed.select((F.col("at") + F.col("i") - F.col("k")).alias("pos"), "k", "w", ((F.col("k") == 0) & (F.col("i") > F.col("n") - n)).alias("tail"))
-    cross = starts.groupBy("pos").agg(F.sort_array(F.collect_list(F.struct("k", "w"))).alias("t"), F.bool_or("tail").alias("tail"))
-    cross = cross.where(F.col("tail") & (F.size("t") == n)).select("pos", F.array_join(F.transform("t", lambda x: x["w"]), " ").alias("g"))
-    return inside.union(cross)
+    ends = F.filter(F.transform("toks", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: (x["i"] < most - 1) | (x["i"] > F.size("toks") - most))
+    edge = checkpoint(d.select("at", size.alias("size"), F.explode(ends).alias("x")).select("at", "size", "x.i", "x.w"))
+    for n in ns:
+        if n == 1:
+            continue
+        near = edge.where((F.col("i") < n - 1) | (F.col("i") > F.col("size") - n))
+        placed = near.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"), "at", "i", "size", "w")
+        starts = placed.select((F.col("at") + F.col("i") - F.col("k")).alias("pos"), "k", "w", ((F.col("k") == 0) & (F.col("i") > F.col("size") - n)).alias("tail"))
+        cross = starts.groupBy("pos").agg(F.sort_array(F.collect_list(F.struct("k", "w"))).alias("t"), F.bool_or("tail").alias("tail"))
+        cross = cross.where(F.col("tail") & (F.size("t") == n)).select(F.lit(n).alias("n"), "pos", F.array_join(F.transform("t", lambda x: x["w"]), " ").alias("g"))
+        out = out.union(cross)
+    return out
+
+
+def _numbered(grams, n: int):
+    return F.transform(grams, lambda g, i: F.struct(F.lit(n).alias("n"), i.alias("i"), g.alias("g")))
+
+
+def corpus_ngrams(df: DataFrame, n: int, order_col: str = "doc_id", text_col: str = "text", tokens=T.word_tokens) -> DataFrame:
+    """Rows (pos, g): the n-grams of all documents' tokens written one after another, in the order of an id."""
+    return sequence_ngrams(tokenised(df, order_col, text_col, tokens), n).select("pos", "g")
+
+
+def diversities(toks: DataFrame, *ns: int) -> DataFrame:
+    """Rows (n, total, distinct_ngrams, diversity) of `tokenised` documents, all n in one pass; 0 without any n-gram."""
+    d = sequence_ngrams(toks, *ns).groupBy("n", "g").agg(F.count("*").alias("c")).groupBy("n").agg(F.sum("c").alias("total"), F.count("*").alias("distinct_ngrams"))
+    every = toks.sparkSession.createDataFrame([(n,) for n in ns], "n int")
+    d = every.join(d, "n", "left").fillna(0, ["total", "distinct_ngrams"])
+    return d.withColumn("diversity", F.coalesce(F.try_divide(F.col("distinct_ngrams"), F.col("total")), F.lit(0.0)))
 
 
 def ngram_diversity(df: DataFrame, n: int, order_col: str = "doc_id", text_col: str = "text", tokens=T.word_tokens) -> DataFrame:
     """One row: total, distinct and diversity of the corpus's n-grams; 0 without any."""
-    d = corpus_ngrams(df, n, order_col, text_col, tokens).groupBy("g").agg(F.count("*").alias("c"))
-    d = d.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count("*").alias("distinct_ngrams"))
-    return d.withColumn("diversity", F.coalesce(F.try_divide(F.col("distinct_ngrams"), F.col("total")), F.lit(0.0)))
+    return diversities(tokenised(df, order_col, text_col, tokens), n).drop("n")
 
 
 def repeated_ngrams(df: DataFrame, n: int = 5, top: int = 8, order_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -58,12 +91,16 @@ def repeated_ngrams(df: DataFrame, n: int = 5, top: int = 8, order_col: str = "d
 
     Enough is three times, or once per 20,000 tokens if that is more.
     """
-    grams = corpus_ngrams(df, n, order_col, text_col)
+    return most_repeated(tokenised(df, order_col, text_col), n, top)
+
+
+def most_repeated(toks: DataFrame, n: int = 5, top: int = 8) -> DataFrame:
+    grams = sequence_ngrams(toks, n)
     best = grams.groupBy("g").agg(F.count("*").alias("c"), F.min("pos").alias("first")).orderBy(F.desc("c"), "first").limit(top)
-    tokens = df.agg(F.sum(F.size(T.word_tokens(text_col))).alias("n_tokens"))
+    total = toks.agg(F.sum(F.size("toks")).alias("n_tokens"))
     ranked = best.agg(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("m"), "first", "g", "c"))).alias("t")).select(F.posexplode("t").alias("i", "x"))
     ranked = ranked.select((F.col("i") + 1).cast("long").alias("rank"), "x.g", "x.c")
-    return ranked.join(tokens, F.col("c") >= F.greatest(F.lit(3), F.floor(F.col("n_tokens") / 20000))).select("rank", "g", "c")
+    return ranked.join(F.broadcast(total), F.col("c") >= F.greatest(F.lit(3), F.floor(F.col("n_tokens") / 20000))).select("rank", "g", "c")  # one row
 
 
 def histogram(scored: DataFrame, column: str = "synthetic_likelihood") -> DataFrame:
@@ -75,16 +112,23 @@ def histogram(scored: DataFrame, column: str = "synthetic_likelihood") -> DataFr
 
 def mean_burstiness(df: DataFrame, text_col: str = "text") -> DataFrame:
     """One row: mean of the unclamped burstiness of documents with two sentences or more; 0 without any."""
-    d = df.select(T.sentence_lengths(text_col).alias("lens")).select(signals.variation().alias("v"))
+    d = df.select(T.run_lengths(T.marked_tokens(text_col)).alias("lens")).select(signals.variation("lens").alias("v"))
     return d.agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias("mean_burstiness"), F.count("v").alias("n_docs"))
 
 
 def snapshot(df: DataFrame, label: str = "corpus", order_col: str = "doc_id", text_col: str = "text") -> dict:
-    """All metrics of a corpus as a dict, rounded as the report shows them. Only single rows reach the driver."""
-    scored = signals.score(df.select(order_col, text_col), text_col, id_col=order_col)
-    bins = {r["bin"]: r["n"] for r in scored.groupBy(F.least(F.lit(BINS - 1), F.floor(F.col("synthetic_likelihood") / 10)).alias("bin")).agg(F.count("*").alias("n")).collect()}
-    means = scored.agg(F.avg("synthetic_likelihood").alias("score"), F.count_if("is_synthetic").alias("flagged")).first()
-    c = counts(df, text_col).first()
+    """All metrics of a corpus as a dict, rounded as the report shows them. Only single rows reach the driver.
+
+    Texts are read twice: once for their tokens and the scores, which are checkpointed, and once for the few that the
+    near-duplicate rate compares.
+    """
+    scored = signals.score(df.select(order_col, text_col), text_col, id_col=order_col, keep=True)
+    scored = checkpoint(scored.select(F.col(order_col).alias("o"), F.monotonically_increasing_id().alias("row"), signals.TOKENS, signals.variation().alias("variation"), "synthetic_likelihood", "is_synthetic"))
+    toks = scored.select("o", "row", F.col(signals.TOKENS).alias("toks"))
+    means = scored.agg(F.avg("synthetic_likelihood").alias("score"), F.count_if("is_synthetic").alias("flagged"), F.coalesce(F.avg("variation"), F.lit(0.0)).alias("burstiness")).first()
+    bins = {r["bin"]: r["n"] for r in histogram(scored).collect()}
+    c = token_counts(toks).first()
+    diversity = {r["n"]: r["diversity"] for r in diversities(toks, 2, 3).collect()}
     return {
         "version": VERSION,
         "label": label,
@@ -94,12 +138,12 @@ def snapshot(df: DataFrame, label: str = "corpus", order_col: str = "doc_id", te
         "vocab": c["vocab"],
         "vocab_per_10k_tokens": round(c["vocab_per_10k_tokens"], 1),
         "type_token_ratio": round(c["type_token_ratio"], 4),
-        "bigram_diversity": round(ngram_diversity(df, 2, order_col, text_col).first()["diversity"], 4),
-        "trigram_diversity": round(ngram_diversity(df, 3, order_col, text_col).first()["diversity"], 4),
-        "mean_burstiness": round(mean_burstiness(df, text_col).first()[0], 3),
+        "bigram_diversity": round(diversity[2], 4),
+        "trigram_diversity": round(diversity[3], 4),
+        "mean_burstiness": round(means["burstiness"], 3),
         "near_duplicate_rate": round(near_duplicate_rate(df, order_col, text_col).first()[0], 4),
         "mean_synthetic_score": round(means["score"] or 0, 1),
         "flagged_synthetic_pct": round(100 * means["flagged"] / c["n_docs"], 1) if c["n_docs"] else 0,
         "score_histogram": [bins.get(k, 0) for k in range(BINS)],
-        "top_repeated_5grams": [r["g"] for r in repeated_ngrams(df, 5, 8, order_col, text_col).orderBy("rank").collect()],
+        "top_repeated_5grams": [r["g"] for r in most_repeated(toks, 5, 8).orderBy("rank").collect()],
     }

@@ -11,6 +11,8 @@ from ..functions import text as T
 
 OPEN, CLOSE = "<s>", "</s>"
 K = 0.5
+#: Parts of a frequent first word, as of the opening mark that every text has.
+SALTS = 16
 
 
 def padded(text_col: str = "text"):
@@ -48,8 +50,9 @@ class BigramModel:
         """Rows (id, bits): mean bits of a transition; pairs and words that were not seen count 0."""
         pairs = transitions(df, id_col, text_col=text_col).groupBy(id_col, "a", "b").agg(F.count("*").alias("n"))
         size = self.unigrams.agg(F.greatest(F.count("*"), F.lit(1)).alias("v"))
-        d = pairs.join(self.bigrams.withColumnRenamed("c", "cab"), ["a", "b"], "left")
-        d = d.join(self.unigrams.select(F.col("w").alias("a"), F.col("c").alias("ca")), "a", "left").join(F.broadcast(size))  # one row
+        words = self.unigrams.select(F.col("w").alias("a"), F.col("c").alias("ca"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        d = pairs.join(self.bigrams.withColumnRenamed("c", "cab"), ["a", "b"], "left").withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
+        d = d.join(words, ["a", "salt"], "left").join(F.broadcast(size))  # one row
         bits = -F.log2((F.coalesce("cab", F.lit(0)) + self.k) / (F.coalesce("ca", F.lit(0)) + self.k * F.col("v")))
         return d.groupBy(id_col).agg((F.sum(bits * F.col("n")) / F.sum("n")).alias("bits"))
 

@@ -65,9 +65,10 @@ def roc_points(spark, sf_dir):
     return E.roc_points(_scored(spark, sf_dir), "synthetic_likelihood", "quality", "doc_id")
 
 
-def best_f1_sql(rows: str, score: str, label: str) -> str:
-    return f"""select threshold, round(accuracy, 6) as accuracy, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1 from (select {score} as threshold, tp, fp, p, q, (tp + q - fp) / (p + q) as accuracy, tp / (tp + fp) as precision, case when p > 0 then tp / p else 0.0 end as recall, case when tp > 0 then 2 * (tp / (tp + fp)) * (tp / p) / (tp / (tp + fp) + tp / p) else 0.0 end as f1
- from (select {score}, sum(pos) over (order by {score} desc) as tp, sum(neg) over (order by {score} desc) as fp, sum(pos) over () as p, sum(neg) over () as q from (select {score}, count(*) filter (where {label} = 1) as pos, count(*) filter (where {label} <> 1) as neg from {rows} group by {score}))) order by f1 desc, threshold limit 1"""
+def best_f1_sql(rows: str, score: str, label: str, by: str = "") -> str:
+    part, keys = (f"partition by {by} ", f"{by}, ") if by else ("", "")
+    return f"""select {keys}threshold, round(accuracy, 6) as accuracy, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1 from (select {keys}threshold, (tp + nn - fp) / (np + nn) as accuracy, tp / (tp + fp) as precision, case when np > 0 then tp / np else 0.0 end as recall, case when tp > 0 then 2 * (tp / (tp + fp)) * (tp / np) / (tp / (tp + fp) + tp / np) else 0.0 end as f1
+ from (select {keys}threshold, sum(pos) over ({part}order by threshold desc) as tp, sum(neg) over ({part}order by threshold desc) as fp, sum(pos) over ({part}) as np, sum(neg) over ({part}) as nn from (select {keys}{score} as threshold, count(*) filter (where {label} = 1) as pos, count(*) filter (where {label} <> 1) as neg from {rows} group by {keys}{score}))) qualify row_number() over ({part}order by f1 desc, threshold) = 1"""
 
 
 @query(f"with {JUDGED} {best_f1_sql('j', 'synthetic_likelihood', 'quality')}")
@@ -146,36 +147,106 @@ def standardised_signals(spark, sf_dir):
     return classify.standardise(d.select("doc_id", *S.SIGNALS), *S.SIGNALS).select("doc_id", *(F.round(s, 5).alias(s) for s in S.SIGNALS))
 
 
-@query()
+def descent_sql(rows: str, keys: str, label: str, train: str, features: tuple[str, ...]) -> str:
+    """CTEs st, z and w: standardised rows, and the weights of each of `keys` after every step of the descent."""
+    on, each = f"using ({keys})", range(1, len(features) + 1)
+    z = "b + " + " + ".join(f"w{j} * z{j}" for j in each)
+    sigmoid = "case when {0} < -35 then 0.0 when {0} > 35 then 1.0 else 1 / (1 + exp(-({0}))) end"
+    moments = ", ".join(f"avg({f}) as m{j}, stddev_pop({f}) as s{j}" for j, f in zip(each, features))
+    scaled = ", ".join(f"({f} - m{j}) / case when s{j} > 1e-9 then s{j} else 1 end as z{j}" for j, f in zip(each, features))
+    steps = ", ".join(f"any_value(w{j}) - 0.5 * (avg(err * z{j}) + 0.001 * any_value(w{j}))" for j in each)
+    return f"""st as (select {keys}, {moments} from {rows} where {train} group by {keys}),
+z as materialized (select r.*, {scaled} from {rows} r join st {on}),
+w as (select {keys}, 0 as e, 0.0::double as b, {", ".join(f"0.0::double as w{j}" for j in each)} from st
+ union all select {keys}, e + 1, any_value(b) - 0.5 * avg(err), {steps} from (select w.*, {", ".join(f"z{j}" for j in each)}, {sigmoid.format(f"({z})")} - {label} as err from w join z {on} where {train} and e < 300) group by {keys}, e),
+p as (select z.*, round({sigmoid.format(f"({z})")}, 9) as p from z join w {on} where e = 300)"""
+
+
+_ALL = f"x as (select 1 as fold, true as is_train, quality as y, {', '.join(S.SIGNALS)} from sig join labels using (doc_id))"
+
+
+@query(f"with recursive {SIGNALS}, {_ALL}, {descent_sql('x', 'fold', 'y', 'is_train', S.SIGNALS)} " + " union all ".join(f"select '{f}' as feature, round({c}, 6) + 0.0 as weight from w where e = 300" for f, c in zip((*S.SIGNALS, "bias"), (*(f"w{j}" for j in range(1, 7)), "b"))))
 def logistic_regression(spark, sf_dir):
     d = _scored(spark, sf_dir).select("quality", *S.SIGNALS)
     model = classify.LogisticRegression().fit(d, "quality", *S.SIGNALS)
-    return spark.createDataFrame([(s, float(w)) for s, w in zip((*S.SIGNALS, "bias"), (*model.weights, model.bias))], "feature string, weight double")
+    return spark.createDataFrame([(s, round(float(w), 6) + 0.0) for s, w in zip((*S.SIGNALS, "bias"), (*model.weights, model.bias))], "feature string, weight double")
+
+
+def _junk(spark, sf_dir):
+    """Labelled documents with their signals; those of low quality are the positives, grouped by language."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 0).cast("int").alias("junk"))
+    return S.with_signals(table(spark, sf_dir, "documents").select("doc_id", "text", "lang").join(labels, "doc_id"))
+
+
+PERPLEXED = """fb as (select {keys}, a, b, sum(n) as c from m join tr using (doc_id) where is_train group by all), fu as (select {keys}, a, sum(c) as c from fb group by all), fv as (select {keys}, count(*) + 1 as v from fu group by all),
+px as (select {keys}, doc_id, round(sum(n * -log2((coalesce(fb.c, 0) + 0.5) / (coalesce(fu.c, 0) + 0.5 * v))) / sum(n), 9) as perplexity from m join tr using (doc_id) left join fb using ({keys}, a, b) left join fu using ({keys}, a) join fv using ({keys}) group by {keys}, doc_id)"""
+LABELLED = f"""lab as materialized (select doc_id, lang, case when quality = 0 then 1 else 0 end as y, toks, {", ".join(S.SIGNALS)} from sig join labels using (doc_id)),
+tr as materialized (select doc_id, a, b, count(*) as n from (select doc_id, p[i] as a, p[i + 1] as b from (select doc_id, p, unnest(range(1, len(p))) as i from (select doc_id, list_concat(['<s>'], toks, ['</s>']) as p from lab))) group by all)"""
+
+
+def folds_sql(seeds: tuple[int, ...]) -> str:
+    """CTEs ending in `folds`, a row for each seed and held-out language with its AUCs, F1 and weights, and `w`."""
+    turned = lambda kind: auc_sql(f"(select seed, held, y, perplexity from p where is_train = {kind})", "perplexity", "y", "seed, held")
+    return f"""{SIGNALS}, {LABELLED},
+seeds as (select unnest([{", ".join(map(str, seeds))}]) as seed),
+neg as (select seed, doc_id, row_number() over (partition by seed order by md5(seed || ':' || doc_id), doc_id) <= floor(count(*) over (partition by seed) * {5 / 6!r}::double) as is_train from lab, seeds where y = 0),
+held as (select distinct lang as held from lab where y = 1 and lang is not null),
+m as materialized (select s.seed, held, l.doc_id, y, case when y = 1 then lang <> held else is_train end as is_train from lab l cross join seeds s cross join held left join neg n on n.doc_id = l.doc_id and n.seed = s.seed where y = 0 or lang is not null),
+{PERPLEXED.format(keys="seed, held")},
+x as materialized (select m.seed, m.held, m.doc_id, m.y, m.is_train, {", ".join(S.SIGNALS)}, perplexity from m join px using (seed, held, doc_id) join lab using (doc_id)),
+{descent_sql("x", "seed, held", "y", "is_train", (*S.SIGNALS, "perplexity"))},
+te as (select *, {score_sql()} as probe from p where not is_train),
+folds as (select c.seed, c.held, c.n_pos + c.n_neg as n_test, c.auc as classifier_auc, f.f1 as classifier_f1, h.auc as probe_auc, case when tx.auc < 0.5 then 1 - px_.auc else px_.auc end as perplexity_auc
+ from ({auc_sql("te", "p", "y", "seed, held")}) c join ({best_f1_sql("te", "p", "y", "seed, held")}) f using (seed, held) join ({auc_sql("te", "probe", "y", "seed, held")}) h using (seed, held) join ({turned("false")}) px_ using (seed, held) join ({turned("true")}) tx using (seed, held))"""
 
 
-def _groups(spark, sf_dir):
-    """Stand-ins: documents of the first sources against those of the others, grouped by language."""
-    d = S.with_signals(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    machine = F.pmod(F.col("doc_id"), F.lit(2)) == 0
-    langs = [r[0] for r in table(spark, sf_dir, "documents").select("lang").distinct().orderBy("lang").collect()]
-    return d.where(machine), d.where(~machine), langs
+ONE_SEED = folds_sql((sampling.SEED,))
+_AUCS = ("classifier_auc", "probe_auc", "perplexity_auc")
 
 
-@query()
+@query(f"with recursive {ONE_SEED} select held as held_out, n_test::bigint as n_test, round(classifier_f1, 5) as classifier_f1, {', '.join(f'round({c}, 5) as {c}' for c in _AUCS)} from folds")
 def leave_one_group_out(spark, sf_dir):
-    return classify.leave_one_group_out(*_groups(spark, sf_dir)[:2], "lang", _groups(spark, sf_dir)[2]).drop(*(f"coef_{f}" for f in classify.FEATURES))
+    d = classify.leave_one_group_out(_junk(spark, sf_dir), "junk", "lang")
+    return d.select("held_out", "n_test", *(F.round(F.round(c, 6), 5).alias(c) for c in ("classifier_f1", *_AUCS)))
 
 
-@query()
+@query(f"with recursive {ONE_SEED} " + " union all ".join(f"select '{c}' as metric, round(avg({c}), 4) as mean, round(min({c}), 4) as least, round(max({c}), 4) as most from folds" for c in _AUCS))
+def fold_summary(spark, sf_dir):
+    d = classify.summary(classify.leave_one_group_out(_junk(spark, sf_dir), "junk", "lang"), *_AUCS)
+    return d.select("metric", *(F.round(c, 4).alias(c) for c in ("mean", "least", "most")))
+
+
+@query(f"with recursive {ONE_SEED} " + " union all ".join(f"select '{f}' as feature, round(avg(abs(w{j})), 5) as mean_abs_coef from w where e = 300" for j, f in enumerate(classify.FEATURES, 1)))
 def feature_importance(spark, sf_dir):
-    pos, neg, langs = _groups(spark, sf_dir)
-    return classify.importance(classify.leave_one_group_out(pos, neg, "lang", langs))
+    d = classify.importance(classify.leave_one_group_out(_junk(spark, sf_dir), "junk", "lang"))
+    return d.select("feature", F.round("mean_abs_coef", 5).alias("mean_abs_coef"))
+
+
+MANY_SEEDS = folds_sql(classify.SEEDS) + ", sm as (select seed, avg(classifier_auc) as classifier_auc, avg(perplexity_auc) as perplexity_auc, avg(probe_auc) as probe_auc from folds group by seed)"
+
 
+@query(f"with recursive {MANY_SEEDS} " + " union all ".join(f"select '{c}' as metric, count(*)::bigint as n, round(avg({c}), 4) as mean, round(stddev_samp({c}), 4) as std, round(avg({c}) - 2.262 * stddev_samp({c}) / sqrt(10), 4) as ci_low, round(avg({c}) + 2.262 * stddev_samp({c}) / sqrt(10), 4) as ci_high from sm" for c in _AUCS))
+def seeded_folds(spark, sf_dir):
+    d = classify.seed_summary(classify.seed_means(_junk(spark, sf_dir), "junk", "lang"))
+    return d.select("metric", "n", *(F.round(c, 4).alias(c) for c in ("mean", "std", "ci_low", "ci_high")))
 
-@query()
+
+@query(f"""with recursive {MANY_SEEDS}, q as (select seed, classifier_auc - perplexity_auc as d from sm), o as (select d, row_number() over (order by seed) - 1 as k from q), f as (select i, abs(sum(case when (i >> k) & 1 = 1 then d else -d end) / 10) as mean from o, range(1024) r(i) group by i)
+select count(*)::bigint as n, round(avg(d), 4) as mean_diff, round(stddev_samp(d), 4) as std_diff, count(*) filter (where d > 0)::bigint as wins, (select round(avg(case when f.mean >= abs((select avg(d) from q)) - 1e-9 then 1.0 else 0.0 end), 6) from f) as p from q""")
+def seeded_comparison(spark, sf_dir):
+    d = classify.seed_comparison(classify.seed_means(_junk(spark, sf_dir), "junk", "lang"))
+    return d.select("n", F.round("mean_diff", 4).alias("mean_diff"), F.round("std_diff", 4).alias("std_diff"), "wins", F.round("p", 6).alias("p"))
+
+
+@query(f"""with {SIGNALS}, {LABELLED}, held as (select distinct lang as fold from lab where y = 1 union all select 'POOLED'),
+r as (select fold, doc_id, y, row_number() over (partition by fold, y order by md5('1234:' || doc_id), doc_id) as r, count(*) filter (where y = 1) over (partition by fold) as n1, count(*) filter (where y = 0) over (partition by fold) as n0 from lab, held where y = 0 or fold = 'POOLED' or lang = fold),
+m as materialized (select fold, doc_id, y, r <= floor(least(n0, n1) * 0.6::double) as is_train from r where r <= least(n0, n1)),
+{PERPLEXED.format(keys="fold")}, x as (select fold, y, is_train, perplexity, {score_sql()} as probe from m join px using (fold, doc_id) join (select doc_id, {", ".join(S.SIGNALS)} from lab) using (doc_id)), te as (select * from x where not is_train), tx as (select * from x where is_train)
+select fold as model, n_machine::bigint as n_machine, n_test::bigint as n_test, round(h.auc, 5) as probe_auc, round(f.f1, 5) as probe_f1, round(case when k.auc < 0.5 then 1 - g.auc else g.auc end, 5) as perplexity_auc from (select fold, count(*) filter (where y = 1) as n_machine, count(*) filter (where not is_train) as n_test from x group by fold)
+ join ({auc_sql("te", "probe", "y", "fold")}) h using (fold) join ({best_f1_sql("te", "probe", "y", "fold")}) f using (fold) join ({auc_sql("te", "perplexity", "y", "fold")}) g using (fold) join ({auc_sql("tx", "perplexity", "y", "fold")}) k using (fold)""")
 def cross_group(spark, sf_dir):
-    pos, neg, langs = _groups(spark, sf_dir)
-    return classify.cross_group(pos, neg, "lang", langs)
+    d = classify.cross_group(_junk(spark, sf_dir), "junk", "lang")
+    return d.select("model", "n_machine", "n_test", *(F.round(F.round(c, 6), 5).alias(c) for c in ("probe_auc", "probe_f1", "perplexity_auc")))
 
 
 # Statistics over seeds
@@ -190,13 +261,11 @@ def mean_interval(spark, sf_dir):
     return stats.mean_interval(d, "x").select("n", *(F.round(c, 4).alias(c) for c in ("mean", "std", "ci_low", "ci_high")))
 
 
-_DIFFS = "q as (select source, avg(quality) - avg(1 - toxic) as d from documents join labels using (doc_id) group by source order by source limit 10), o as (select *, row_number() over (order by source) - 1 as k from q)"
+_DIFFS = "q as (select source, avg(quality) - avg(1 - toxic) as d from documents join labels using (doc_id) group by source), n as (select count(*) as n from q), o as (select *, row_number() over (order by source) - 1 as k from q)"
 
 
-@query(f"with {_DIFFS}, f as (select i, abs(sum(case when (i >> k) & 1 = 1 then d else -d end) / 10) as m from o, range(1024) r(i) group by i) select 10::bigint as n, round(avg(d), 6) as mean_diff, count(*) filter (where d > 0)::bigint as wins, (select round(avg(case when m >= abs((select sum(d) / 10 from q)) - 1e-9 then 1.0 else 0.0 end), 6) from f) as p from q")
+@query(f"with {_DIFFS}, f as (select i, abs(sum(case when (i >> k) & 1 = 1 then d else -d end) / any_value(n)) as m from o, n, range((1 << (select n from n))::bigint) r(i) group by i) select (select n from n)::bigint as n, round(avg(d), 6) as mean_diff, count(*) filter (where d > 0)::bigint as wins, (select round(avg(case when m >= abs((select avg(d) from q)) - 1e-9 then 1.0 else 0.0 end), 6) from f) as p from q")
 def sign_flip_test(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").groupBy("source")
-    d = d.agg((F.avg("quality") - F.avg(1 - F.col("toxic"))).alias("d")).orderBy("source").limit(10)
+    d = d.agg((F.avg("quality") - F.avg(1 - F.col("toxic"))).alias("d"))
     return stats.sign_flip_test(d, "d", "source").select("n", F.round("mean_diff", 6).alias("mean_diff"), "wins", F.round("p", 6).alias("p"))
-
-

@@ -79,7 +79,7 @@ def sentence_count(spark, sf_dir):
 @query(f"with {SIGNALS} select doc_id, b.n::bigint as n_sentences, b.s as n_tokens, sig.variation from b join sig using (doc_id)")
 def sentence_lengths(spark, sf_dir):
     d = _docs(spark, sf_dir).select("doc_id", T.sentence_lengths("text").alias("lens")).where("size(lens) > 0")
-    return d.select("doc_id", F.size("lens").cast("long").alias("n_sentences"), F.aggregate("lens", F.lit(0), lambda a, x: a + x).cast("long").alias("n_tokens"), S.variation().alias("variation"))
+    return d.select("doc_id", F.size("lens").cast("long").alias("n_sentences"), F.aggregate("lens", F.lit(0), lambda a, x: a + x).cast("long").alias("n_tokens"), S.variation("lens").alias("variation"))
 
 
 @query(f"with {TOKS} select doc_id, len(b)::bigint as n_bigrams, len(list_distinct(b))::bigint as bigram_kinds, len(g)::bigint as n_trigrams, len(list_distinct(g))::bigint as trigram_kinds from (select doc_id, {grams_sql('toks', 2)} as b, {grams_sql('toks', 3)} as g from t)")

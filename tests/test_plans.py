@@ -1,14 +1,20 @@
+import hashlib
 import json
+import math
 import os
+import re
 import shutil
 import subprocess
 import sys
+from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lexivane.functions import signals
 from lexivane.operators import classify, neural
 from lexivane.plans import monitor, simulate
 from lexivane.sources import readers, sinks
@@ -109,17 +115,80 @@ def test_neural_scorer_interface(spark):
     assert {r["doc_id"]: r["v"] for r in d.where("not isnan(v)").collect()} == {1: 2.0}
 
 
-def test_importance_and_folds_take_every_group(spark, monkeypatch, tmp_path):
-    from lexivane.plans import evaluation_queries
-
-    langs = [f"l{k:02}" for k in range(23)]
-    docs = [(k, "some words. and more words", x, "s", 25) for k, x in enumerate(langs)]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    seen = []
-    monkeypatch.setattr(classify, "leave_one_group_out", lambda p, n, c, groups: seen.append(groups))
-    monkeypatch.setattr(classify, "importance", lambda folds: folds)
-    evaluation_queries.feature_importance(spark, str(tmp_path))
-    assert seen == [langs]
+def _texts(spark, groups, n=14, seed=3):
+    """Labelled texts with signals: positives (1) repeat themselves, in `groups`; negatives don't."""
+    rng = np.random.default_rng(seed)
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)]
+    rows = [(k, " ".join(rng.choice(words, 30)) + ". " + " ".join(rng.choice(words, 9)) + ".", 0, None) for k in range(60)]
+    for j, g in enumerate(groups):
+        for k in range(n):
+            few = rng.choice(words, 4 + j)
+            rows.append((100 + 100 * j + k, " ".join(rng.choice(few, 30)) + ". " + " ".join(rng.choice(few, 9)) + ".", 1, g))
+    d = spark.createDataFrame(rows, "doc_id long, text string, y int, g string")
+    return signals.with_signals(d)
+
+
+def test_folds_take_every_group_and_find_planted_separation(spark):
+    d = _texts(spark, [f"g{k:02}" for k in range(22)], n=3)
+    folds = classify.leave_one_group_out(d, "y", "g").collect()
+    assert sorted(r["held_out"] for r in folds) == [f"g{k:02}" for k in range(22)]
+    assert all(r["n_test"] == 10 + 3 and r["classifier_auc"] == 1.0 and r["probe_auc"] > 0.9 for r in folds)
+
+
+def test_one_fold_by_hand(spark):
+    """Language model, descent and AUC of one fold against plain Python and numpy."""
+    d = _texts(spark, ["a", "b"])
+    rows = d.collect()
+    neg = sorted((r for r in rows if not r["y"]), key=lambda r: hashlib.md5(f"1234:{r['doc_id']}".encode()).hexdigest())
+    train = [r for r in rows if r["g"] == "b"] + neg[:50]
+    test = [r for r in rows if r["g"] == "a"] + neg[50:]
+    pad = lambda t: ["<s>", *re.findall("[a-z']+", t.lower()), "</s>"]
+    pairs, first, vocabulary = Counter(), Counter(), set()
+    for r in train:
+        w = pad(r["text"])
+        pairs.update(zip(w, w[1:]))
+        first.update(w)
+        vocabulary.update(w)
+
+    def row(r):
+        w = pad(r["text"])
+        bits = [-math.log2((pairs[p] + 0.5) / (first[p[0]] + 0.5 * len(vocabulary))) for p in zip(w, w[1:])]
+        return [*(r[s] for s in signals.SIGNALS), round(sum(bits) / len(bits), 9)]
+
+    x, y = np.array([row(r) for r in train]), np.array([r["y"] for r in train])
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale <= 1e-9] = 1
+    z, w, b = (x - mean) / scale, np.zeros(7), 0.0
+    for _ in range(300):
+        e = 1 / (1 + np.exp(-(z @ w + b))) - y
+        w, b = w - 0.5 * (z.T @ e / len(z) + 1e-3 * w), b - 0.5 * e.mean()
+    p = 1 / (1 + np.exp(-((np.array([row(r) for r in test]) - mean) / scale @ w + b)))
+    wins = [(i > j) + (i == j) / 2 for i, r in zip(p.round(9), test) if r["y"] for j, s in zip(p.round(9), test) if not s["y"]]
+    got = classify.leave_one_group_out(d, "y", "g").where("held_out = 'a'").first()
+    assert got["classifier_auc"] == pytest.approx(np.mean(wins)) and got["n_test"] == len(test)
+    assert [got[f"coef_{f}"] for f in classify.FEATURES] == pytest.approx(np.abs(w), abs=1e-8)
+
+
+def test_seeds_resume_from_what_is_kept(spark, tmp_path, monkeypatch):
+    d, state = _texts(spark, ["a", "b"]), str(tmp_path / "state")
+    both = classify.seed_means(d, "y", "g", (1234, 7), state=state).collect()
+    monkeypatch.setattr(classify, "leave_one_group_out", lambda *a, **k: pytest.fail("made anew"))
+    again = classify.seed_means(d, "y", "g", (1234, 7), state=state)
+    assert [tuple(r) for r in again.collect()] == [tuple(r) for r in both]
+    assert classify.seed_comparison(again).first()["n"] == 2
+
+
+def test_pooled_row_is_an_evaluation_of_its_own(spark):
+    rows = {r["model"]: r for r in classify.cross_group(_texts(spark, ["a", "b", "c"]), "y", "g").collect()}
+    assert set(rows) == {"a", "b", "c", "POOLED"} and rows["POOLED"]["n_machine"] == 42 and rows["a"]["n_machine"] == 14
+    assert rows["a"]["n_test"] == 2 * (14 - 8) and all(r["probe_auc"] > 0.9 for r in rows.values())
+
+
+def test_features_refuse_to_overwrite(spark):
+    with pytest.raises(ValueError, match="_tokens"):
+        signals.with_signals(spark.sql("select 1 as doc_id, 'a' as text, 'mine' as _tokens"))
+    kept = signals.with_signals(spark.sql("select 1 as doc_id, 'a b' as text, 'mine' as toks, 'x' as lens")).first()
+    assert (kept["toks"], kept["lens"]) == ("mine", "x")
 
 
 def test_streaming_health(spark, tmp_path):

@@ -24,7 +24,7 @@ def test_tokens_and_sentences(spark):
     assert one(spark, T.word_tokens("text"), "Don't STOP 42!") == ["don't", "stop"]
     assert one(spark, T.alpha_tokens("text"), "Don't STOP 42!") == ["stop"]
     assert one(spark, T.sentence_lengths("text"), "a b. c d e f.") == [2, 4]
-    d = docs(spark, "a b. c d e f.", "one sentence").select("doc_id", T.sentence_lengths("text").alias("lens")).select(S.variation().alias("v"))
+    d = docs(spark, "a b. c d e f.", "one sentence").select("doc_id", T.sentence_lengths("text").alias("lens")).select(S.variation("lens").alias("v"))
     assert [r["v"] for r in d.collect()] == [pytest.approx(1 / 3), None]
     assert one(spark, T.shingles(T.word_tokens("text")), "") == [""] and one(spark, T.shingles(T.word_tokens("text"), empty=False), "") == []
     assert one(spark, T.mean_word_length(T.word_tokens("text")), "ab abcd") == 3.0
@@ -50,6 +50,17 @@ def test_corpus_ngrams_cross_documents(spark, n):
     assert sorted(tuple(r) for r in corpus.corpus_ngrams(docs(spark, *texts), n).collect()) == want
 
 
+def test_running_totals_of_sparse_and_skewed_orders(spark):
+    """Hashed 64-bit ids, and values with one outlier, spread over the ranges; totals are those of a plain loop."""
+    d = spark.range(4000).select(F.xxhash64("id").alias("doc_id"), F.when(F.col("id") == 7, 1e12).otherwise(F.col("id") % 997).alias("x"), (F.col("id") % 3).alias("g"))
+    got = prefix.running_totals(d, [F.col("x"), F.col("doc_id")], {"upto": F.lit(1)}, "g").collect()
+    for g in range(3):
+        assert [r["upto"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: (r["x"], r["doc_id"]))] == list(range(1, sum(r["g"] == g for r in got) + 1))
+    sizes = [r["count"] for r in d.repartitionByRange(F.col("doc_id")).groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 2 * 4000 / 4
+    assert [r["pos"] for r in prefix.dense_index(d, "doc_id").orderBy("doc_id").collect()] == list(range(4000))
+
+
 def test_running_totals_across_buckets(spark):
     d = spark.createDataFrame([(i * 40_000,) for i in range(30)], "doc_id long")
     assert [r["pos"] for r in prefix.dense_index(d, "doc_id").orderBy("doc_id").collect()] == list(range(30))
