@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import re
 from collections.abc import Iterable
@@ -10,7 +11,6 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +18,14 @@ from .common import map_rows
 
 #: White space as the pattern's engine has it (Unicode's White_Space).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Fixed value: the pattern for which a text may be cut at white space first.
+CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces longer than this are merged one by one with a heap, as rounds over a matrix would cost the square.
 LONG = 256
-#: Distinct chunks that a task remembers before it starts afresh.
-REMEMBERED = 500_000
+#: Characters of distinct chunks that a task remembers before it starts afresh.
+REMEMBERED = 16 << 20
+#: Most bytes of a rank file, which is broadcast.
+MOST_FILE = 64 << 20
 NONE = np.iinfo(np.int32).max
 
 
@@ -73,11 +77,17 @@ class Vocabulary:
             raise ValueError("the vocabulary lacks single bytes")
         pairs = [(a, b, rank) for token, rank in self.ranks.items() for k in range(1, len(token)) if (a := self.ranks.get(token[:k])) is not None and (b := self.ranks.get(token[k:])) is not None]
         self.pairs = PairTable(*(np.array(x, dtype=np.int32) for x in zip(*pairs))) if pairs else PairTable(*[np.empty(0, dtype=np.int32)] * 3)
-        # Matches of the pattern never run from a character other than white space into white space, so a text
-        # can be cut there first; what a chunk splits into does not depend on its neighbours.
-        self.coarse = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
         self.fine = regex.compile(pattern)
+        # Matches of CUT_PATTERN never run from a character other than white space into white space, so a text can be
+        # cut there first; what a chunk splits into does not depend on its neighbours. Of no other pattern is that known.
+        cut = pattern == CUT_PATTERN
+        self.chunks = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall if cut else self._matches
+        self.pieces = self._matches if cut else lambda chunk: [chunk]
         self.known: dict[str, tuple[int, ...]] = {}
+        self.held = 0
+
+    def _matches(self, text: str) -> list[str]:
+        return [m[0] for m in self.fine.finditer(text) if m[0]]
 
     def encode_pieces(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of each piece; pieces of like length share a matrix."""
@@ -158,17 +168,20 @@ class Vocabulary:
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of every whole text; None gives none."""
-        cut = [self.coarse.findall(t) if t else [] for t in texts]
+        cut = [self.chunks(t) if t else [] for t in texts]
         known = self.known
         new = {c for chunk in cut for c in chunk if c not in known}
-        if len(known) + len(new) > REMEMBERED:
+        size = sum(map(len, new))
+        if self.held + size > REMEMBERED and known:
             known.clear()
             new = {c for chunk in cut for c in chunk}
+            self.held, size = 0, sum(map(len, new))
+        self.held += size
         self._learn(list(new))
         return [[i for c in chunk for i in known[c]] for chunk in cut]
 
     def _learn(self, chunks: list[str]) -> None:
-        split = [self.fine.findall(c) for c in chunks]
+        split = [self.pieces(c) for c in chunks]
         place: dict[str, int] = {}
         for s in split:
             for p in s:
@@ -185,25 +198,25 @@ class Vocabulary:
 _loaded: dict[tuple[str, str], Vocabulary] = {}
 
 
-def _vocabulary(name: str, pattern: str) -> Vocabulary:
-    """The vocabulary that this worker has, read from the file that Spark sent along."""
-    if (name, pattern) not in _loaded:
-        with open(SparkFiles.get(name), "rb") as f:
-            _loaded[name, pattern] = Vocabulary(f, pattern)
-    return _loaded[name, pattern]
-
-
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, pattern: str = CUT_PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, ids, decoded): the ids of every whole text, and the bytes that these ids decode to.
 
-    `ranks_path` is a rank file on the driver; Spark sends it to the executors. Null and empty texts have no
-    ids. Rows with a null id and repeated rows keep their rows; an empty table gives an empty result.
+    `ranks_path` is a rank file on the driver, of MOST_FILE bytes at most; its contents are broadcast. `pattern` may be
+    any; the one usual pattern is worked on faster. Null and empty texts have no ids. Rows with a null id, repeated
+    rows and ties keep their rows; an empty table gives an empty result; columns other than the two named are left
+    out, whatever their names. A text is encoded whole, in memory of some 60 times its size; a piece of over LONG bytes
+    is merged in its own heap, in time of n log n instead of the square.
     """
-    df.sparkSession.sparkContext.addFile(ranks_path)
-    name = ranks_path.rpartition("/")[2]
+    with open(ranks_path, "rb") as f:
+        data = f.read(MOST_FILE + 1)
+    if len(data) > MOST_FILE:
+        raise ValueError(f"{ranks_path} has more than {MOST_FILE} bytes")
+    key, shared = (hashlib.sha256(data).hexdigest(), pattern), df.sparkSession.sparkContext.broadcast(data)
 
     def make():
-        own = _vocabulary(name, pattern)
+        if key not in _loaded:  # once a worker
+            _loaded[key] = Vocabulary(shared.value.splitlines(), pattern)
+        own = _loaded[key]
 
         def work(rows: list[tuple]) -> Iterable[tuple]:
             ids = own.encode([t for _, t in rows])

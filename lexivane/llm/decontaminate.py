@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks
+from .common import bounded_batches, checkpoint, chunks, fresh
 
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that a passage must reach to be verified.
@@ -70,13 +70,22 @@ class ItemIndex:
                 self.postings[self.terms[t]].append((n, x / own))
         self.at = [[n for n, _ in p] for p in self.postings]
         self.most = np.array([max(x for _, x in p) for p in self.postings] + [0.0], dtype=np.float32)
-        #: Largest impact of each term in each block of items; the last row stands for words of no item.
-        self.bounds = np.zeros((len(self.terms) + 1, -(-len(split) // block)), dtype=np.float32)
+        #: Largest impact of each term in each block that its posting list has; as large as the lists, whatever the items.
+        self.bounds: list[dict[int, float]] = [{} for _ in self.terms]
         for t, p in enumerate(self.postings):
             for n, x in p:
-                self.bounds[t, n // block] = max(self.bounds[t, n // block], x)
+                self.bounds[t][n // block] = max(self.bounds[t].get(n // block, 0.0), x)
+        self.blocks = [np.array(list(b), dtype=np.int64) for b in self.bounds]
+        self.maxima = [np.array(list(b.values()), dtype=np.float64) for b in self.bounds]
         self.longest = max((sum(c.values()) for c in held), default=0)
 
+    def _block_bound(self, terms: np.ndarray) -> float:
+        """Largest sum over a block of the terms' maxima there."""
+        if not len(terms):
+            return 0.0
+        at = np.concatenate([self.blocks[t] for t in terms])
+        return float(np.bincount(at, np.concatenate([self.maxima[t] for t in terms])).max())
+
     def search(self, terms: list[int], least: float) -> Iterator[tuple[int, float]]:
         """All (item, score) with at least `least`, by block-max WAND over the distinct terms of a passage."""
         lists = [[0, t] for t in terms if self.at[t]]  # (position, term) cursors
@@ -94,7 +103,7 @@ class ItemIndex:
             while last + 1 < len(lists) and self.at[lists[last + 1][1]][lists[last + 1][0]] == pivot:
                 last += 1
             block = pivot // self.block
-            if sum(float(self.bounds[t, block]) for _, t in lists[: last + 1]) < least - 1e-6:
+            if sum(self.bounds[t].get(block, 0.0) for _, t in lists[: last + 1]) < least - 1e-6:
                 # No item of this block up to the next cursor can reach the threshold: all cursors skip it.
                 target = (block + 1) * self.block
                 if last + 1 < len(lists):
@@ -136,7 +145,7 @@ class ItemIndex:
             distinct = np.unique(ids[lo[k] : hi[k]])
             if distinct[-1] == none:
                 distinct = distinct[:-1]
-            if self.most[distinct].sum() < retrieve - 1e-6 or self.bounds[distinct].sum(axis=0).max(initial=0) < retrieve - 1e-6:
+            if self.most[distinct].sum() < retrieve - 1e-6 or self._block_bound(distinct) < retrieve - 1e-6:
                 continue
             base = lo[k] - offset[k]
             words = split[doc[k]][base : base + hi[k] - lo[k]]
@@ -204,20 +213,39 @@ def _matches(df: DataFrame, index: ItemIndex, retrieve: float, overlap: float) -
     return F.pandas_udf(find, MATCHES)
 
 
-def find_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", retrieve: float = RETRIEVE, overlap: float = OVERLAP, **columns) -> DataFrame:
-    """`df` with `leaks`, the array of benchmark items (id, score, overlaps) that a passage of the text holds: whole, or question and answer where the items have both columns.
+def find_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", retrieve: float = RETRIEVE, overlap: float = OVERLAP, leaks_col: str = "leaks", **columns) -> DataFrame:
+    """`df` with `leaks_col`, the array of benchmark items (id, score, overlaps) that a passage of the text holds: whole, or question and answer where the items have both columns.
 
     The overlap of an item without an answer is its `question_overlap`; the empty answer counts as held (1.0).
 
     Every passage of every whole text is a query; passages overlap by half and are at least twice as long as the
     longest item. Words are lower-cased runs of word characters. Null and empty texts, an empty table and empty
-    items give no leaks; equal items each match; a column named `leaks` is replaced, others pass through.
+    items give no leaks; equal items each match; repeated rows are treated alike; a column named like `leaks_col` is
+    replaced, others pass through. A text is searched whole, in memory of some 50 times its size. Items beyond one
+    index are searched index after index, each in a pass of its own whose few matches are checkpointed, so that one
+    index at a time is broadcast.
     """
     bounded_batches(df.sparkSession)
-    found = [_matches(df, index, retrieve, overlap)(F.col(text_col).cast("string")) for index in item_shards(items, **columns)]
-    return df.withColumn("leaks", F.concat(*found) if found else F.array().cast(MATCHES))
+    shards = item_shards(items, **columns)
+    first, second = next(shards, None), next(shards, None)
+    kept = [c for c in df.columns if c.lower() != leaks_col.lower()]
+    if first is None:
+        return df.select(*kept, F.array().cast(MATCHES).alias(leaks_col))
+    if second is None:
+        return df.select(*kept, _matches(df, first, retrieve, overlap)(F.col(text_col).cast("string")).alias(leaks_col))
+    row, of, some = fresh(df, "row", "of", "some")
+    d = checkpoint(df.withColumn(row, F.monotonically_increasing_id()))
+    found = None
+    for index in (first, second, *shards):
+        part = d.select(F.col(row).alias(of), _matches(df, index, retrieve, overlap)(F.col(text_col).cast("string")).alias(some)).where(F.size(some) > 0)
+        part = checkpoint(part)
+        found = part if found is None else found.unionByName(part)
+    found = found.groupBy(of).agg(F.array_sort(F.flatten(F.collect_list(some))).alias(some))
+    d = d.join(found, d[row] == found[of], "left")
+    return d.select(*kept, F.coalesce(some, F.array().cast(MATCHES)).alias(leaks_col))
 
 
 def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of `df` without leaks, columns as they are."""
-    return find_leaks(df, items, text_col, **options).where(F.size("leaks") == 0).select(*df.columns)
+    """The rows of `df` without leaks, all columns as they are, also one named `leaks`."""
+    (leaks,) = fresh(df, "leaks")
+    return find_leaks(df, items, text_col, leaks_col=leaks, **options).where(F.size(leaks) == 0).select(*df.columns)

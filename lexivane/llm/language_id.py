@@ -13,12 +13,12 @@ from .common import map_rows
 
 #: Longest context in bytes.
 ORDER = 3
-#: About so many labelled documents of each language are learned from, whole, chosen by a hash of their id.
-SAMPLE_DOCS = 1000
-#: Most nodes of all context trees together; beyond it the rarest go, which bounds what is broadcast (32 bytes a node).
-MOST_NODES = 2_000_000
+#: About so many labelled documents of each language, and bytes of them, are learned from: whole texts, chosen by a hash
+#: of their id. All that they hold is counted; it bounds what is broadcast, to 24 bytes for each different gram.
+SAMPLE_DOCS, SAMPLE_BYTES = 1000, 8 << 20
+#: Grams that are looked up at once.
+SLICE = 1 << 20
 UNKNOWN = "und"
-_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -42,100 +42,89 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, np.cumsum(size + ORDER) - size - ORDER, size
 
 
-class Index:
-    """Open-addressing hash from 64-bit keys to their positions."""
-
-    def __init__(self, keys: np.ndarray) -> None:
-        bits = max(4, int(len(keys) * 3).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), np.uint64((1 << bits) - 1)
-        self.at, self.keys = np.full(1 << bits, -1, dtype=np.int32), keys.astype(np.uint64)
-        slot, todo = (self.keys * _GOLDEN) >> self.shift, np.arange(len(keys), dtype=np.int32)
-        while len(todo):
-            free = self.at[slot[todo]] < 0
-            self.at[slot[todo][free]] = todo[free]
-            todo = todo[self.at[slot[todo]] != todo]
-            slot[todo] = (slot[todo] + np.uint64(1)) & self.mask
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Position of each key, -1 where it is missing."""
-        slot = (keys * _GOLDEN) >> self.shift
-        out = self.at[slot]
-        if not len(self.keys):
-            return out
-        open_ = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
-        while len(open_):
-            slot[open_] = (slot[open_] + np.uint64(1)) & self.mask
-            out[open_] = got = self.at[slot[open_]]
-            open_ = open_[(got >= 0) & (self.keys[got] != keys[open_])]
-        return out
-
-
-class ContextTrees:
-    """Code lengths in bits of a byte after its context, for all languages at once.
+class ContextTree:
+    """Code lengths in bits of a byte after its context, in one language.
 
     Escapes follow method C: a context seen T times with q different bytes gives a byte seen n times n / (T + q)
     and the escape to the next shorter context q / (T + q); below order 0 all 256 bytes are alike.
     """
 
-    def __init__(self, languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """counts: for gram lengths 1 to ORDER + 1, the sorted keys and a matrix of counts by language."""
-        self.languages, self.levels = languages, []
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """counts: for gram lengths 1 to ORDER + 1, the sorted keys and how often each was seen."""
+        self.levels: list[tuple[np.ndarray, ...]] = []
         for length, (keys, n) in enumerate(counts, 1):
-            n = n.astype(np.float64)
-            contexts, first = np.unique(keys >> np.uint64(8), return_index=True)
-            total = np.add.reduceat(n, first, axis=0) if len(first) else n
-            kinds = np.add.reduceat((n > 0).astype(np.float64), first, axis=0) if len(first) else n
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(total > 0, np.log2((total + kinds) / kinds), 0.0)
-                of = np.searchsorted(contexts, keys >> np.uint64(8))
-                seen = np.log2((total[of] + kinds[of]) / n)
-            shorter = self._bits(keys & np.uint64((1 << (8 * (length - 1))) - 1), length - 1)
-            bits = np.where(n > 0, seen, escape[of] + shorter)
-            self.levels.append((Index(keys), bits.astype(np.float32), Index(contexts), escape.astype(np.float32)))
-
-    def _bits(self, keys: np.ndarray, length: int) -> np.ndarray:
-        """Code lengths of grams of one length: a row each, a column for each language."""
+            contexts, first, of = np.unique(keys >> np.uint64(8), return_index=True, return_inverse=True)
+            total = np.add.reduceat(n, first).astype(np.float64) if len(first) else np.zeros(0)
+            kinds = np.diff(np.append(first, len(keys))).astype(np.float64)
+            self.levels.append((keys, np.log2((total + kinds)[of] / n), contexts, np.log2((total + kinds) / kinds)))
+
+    def bits(self, keys: np.ndarray, length: int = ORDER + 1) -> np.ndarray:
+        """Code length of the last byte of each gram."""
         if not length:
-            return np.full((len(keys), len(self.languages)), 8.0, dtype=np.float32)
-        index, bits, contexts, escape = self.levels[length - 1]
-        at = index.find(keys)
-        out = bits[at] if len(bits) else np.zeros((len(keys), len(self.languages)), dtype=np.float32)
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            rest = keys[missing]
-            c = contexts.find(rest >> np.uint64(8))
-            cost = np.where((c >= 0)[:, None], escape[c], np.float32(0)) if len(escape) else np.float32(0)
-            out[missing] = cost + self._bits(rest & np.uint64((1 << (8 * (length - 1))) - 1), length - 1)
+            return np.full(len(keys), 8.0)
+        seen, bits, contexts, escape = self.levels[length - 1]
+        at, hit = _find(seen, keys)
+        out = np.zeros(len(keys))
+        out[hit] = bits[at[hit]]
+        if not hit.all():
+            rest = keys[~hit]
+            c, known = _find(contexts, rest >> np.uint64(8))
+            cost = np.zeros(len(rest))
+            cost[known] = escape[c[known]]
+            out[~hit] = cost + self.bits(rest & np.uint64((1 << (8 * (length - 1))) - 1), length - 1)
         return out
 
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted key among the sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+class ContextTrees:
+    """A context tree for each language."""
+
+    def __init__(self, trees: dict[str, ContextTree]) -> None:
+        self.languages = sorted(trees)
+        self.trees = [trees[k] for k in self.languages]
+
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of every whole text (a row) under each language (a column)."""
+        """Bits of every whole text (a row) under each language (a column). Different grams are looked up once a slice."""
         data, start, size = joined(texts)
-        if not len(texts):
-            return np.zeros((0, len(self.languages)))
-        bits = self._bits(grams(data, ORDER + 1), ORDER + 1)
-        bits = np.concatenate([bits, np.zeros((1, bits.shape[1]), dtype=np.float32)])
-        # The grams of a text's padding lie between the end of one text and the start of the next.
-        edges = np.stack([start, start + size], axis=1).ravel()
-        out = np.add.reduceat(bits, edges, axis=0, dtype=np.float64)[::2]
-        out[size == 0] = 0
+        out = np.zeros((len(texts), len(self.trees)))
+        for lo in range(0, max(0, len(data) - ORDER), SLICE):
+            keys, which = np.unique(grams(data[lo : lo + SLICE + ORDER], ORDER + 1), return_inverse=True)
+            at = np.arange(lo, lo + len(which))
+            text = np.searchsorted(start, at, side="right") - 1
+            inside = at < start[text] + size[text]  # not of the padding before the next text
+            for j, tree in enumerate(self.trees):
+                out[:, j] += np.bincount(text[inside], tree.bits(keys)[which[inside]], minlength=len(texts))
         return out
 
 
-def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, most_nodes: int = MOST_NODES) -> ContextTrees:
-    """Context trees of the labelled documents that are not held out, from a sample of about `sample_docs` each."""
+def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> ContextTrees:
+    """Context trees of the labelled documents that are not held out, from a sample of whole texts.
+
+    Of each language about `sample_docs` are read, and fewer where they would be over `sample_bytes`; their counts are
+    kept whole. Rows without a language or text teach nothing; repeated rows and a null id count like others; a table
+    with nothing to learn from gives no languages.
+    """
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
     rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: (r["n"], r["bytes"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()}
     languages = sorted(sizes)
     if not languages:
-        return ContextTrees([], [(np.empty(0, dtype=np.uint64), np.empty((0, 0)))] * (ORDER + 1))
-    share = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, sample_docs / sizes[k]))))
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit(7), F.coalesce("id", F.lit(""))), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+        return ContextTrees({})
+    share = {k: min(1.0, sample_docs / n, sample_bytes / max(1, size)) for k, (n, size) in sizes.items()}
+    of = F.create_map(*(F.lit(x) for k in languages for x in (k, share[k])))
+    chosen = rows.where(F.pmod(F.xxhash64(F.lit(7), F.coalesce("id", F.lit(""))), F.lit(1 << 30)) < of[F.col("lang")] * (1 << 30))
+    number = F.create_map(*(F.lit(x) for j, k in enumerate(languages) for x in (k, j)))
 
     def make():
         def work(part: list[tuple]) -> Iterable[tuple]:
-            by: dict[str, list[bytes]] = {}
+            by: dict[int, list[bytes]] = {}
             for text, lang in part:
                 by.setdefault(lang, []).append(text)
             for lang, texts in by.items():
@@ -149,18 +138,19 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
         return work
 
-    schema = pa.schema([("lang", pa.string()), ("length", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
-    found = map_rows(chosen.select("text", "lang"), make, schema, "lang string, length int, gram long, n long", size_of=0)
-    found = found.groupBy("lang", "length", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "length", "lang", "gram").limit(most_nodes)
-    t = found.toPandas()
-    counts = []
-    for length in range(1, ORDER + 2):
-        part = t[t["length"] == length]
-        keys, row = np.unique(part["gram"].to_numpy(dtype=np.uint64), return_inverse=True)
-        n = np.zeros((len(keys), len(languages)))
-        n[row, np.searchsorted(languages, part["lang"].to_numpy(dtype=str))] = part["n"]
-        counts.append((keys, n))
-    return ContextTrees(languages, counts)
+    schema = pa.schema([("lang", pa.int32()), ("length", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
+    found = map_rows(chosen.select("text", number[F.col("lang")].alias("lang")), make, schema, "lang int, length int, gram long, n long", size_of=0)
+    t = found.groupBy("lang", "length", "gram").agg(F.sum("n").alias("n")).toArrow()
+    lang, length, gram, n = (t[c].to_numpy() for c in ("lang", "length", "gram", "n"))
+    trees = {}
+    for j, name in enumerate(languages):
+        counts = []
+        for k in range(1, ORDER + 2):
+            part = np.flatnonzero((lang == j) & (length == k))
+            part = part[np.argsort(gram[part])]
+            counts.append((gram[part].astype(np.uint64), n[part]))
+        trees[name] = ContextTree(counts)
+    return ContextTrees(trees)
 
 
 def identify(df: DataFrame, trees: ContextTrees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,7 +158,10 @@ def identify(df: DataFrame, trees: ContextTrees, id_col: str = "doc_id", text_co
 
     Only the text decides. score is the winner's probability where all languages are alike beforehand. A null
     text, one without a letter, and every text where nothing was learned are `und` with score 0; of languages
-    with equal lengths the alphabetically first wins. Null ids and repeated rows keep their rows.
+    with equal lengths (a tie) the alphabetically first wins. Null ids and repeated rows keep their rows; an empty
+    table gives an empty result; columns other than the two named are left out, whatever their names. A whole text
+    is coded, however long: its grams are looked up in slices, so that a text takes some 30 times its size in memory
+    whatever the number of languages.
     """
     shared = df.sparkSession.sparkContext.broadcast(trees)
 
@@ -179,7 +172,7 @@ def identify(df: DataFrame, trees: ContextTrees, id_col: str = "doc_id", text_co
             texts = [t or "" for _, t in rows]
             raw = [t.encode() for t in texts]
             bits = own.code_lengths(raw) if own.languages else np.zeros((len(rows), 1))
-            best = bits.argmin(axis=1)
+            best = bits.argmin(axis=1) if own.languages else None
             score = 1 / np.exp2(np.maximum(bits.min(axis=1)[:, None] - bits, -1000)).sum(axis=1)
             for k, (i, _) in enumerate(rows):
                 if own.languages and any(map(str.isalpha, texts[k])):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAPS, checkpoint, words_of
+from .common import WORD_GAPS, checkpoint, fresh, words_of
 
 #: A line is boilerplate from so many distinct sites on.
 MIN_SITES = 10
@@ -43,21 +43,25 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     A line (compared lower-cased and trimmed, three words or more) that at least `min_sites` distinct sites hold
     stays only in the document with the smallest id; other lines keep their order. Null sites don't count as a
-    site. A null text stays null with no lines; rows with a null id never count as the first; equal rows get equal
-    texts; an empty table gives an empty result. Extra columns pass through.
+    site. A null text stays null with no lines; rows with a null id never count as the first; rows of one id are one
+    document, and equal rows get equal texts; an empty table gives an empty result. Extra columns pass through, but for
+    `n_lines` and `n_removed_lines`, which are replaced. A very long text is split in one row, in memory of a few times
+    its size; its lines then travel on their own.
     """
     lines = checkpoint(_lines(df, id_col, text_col, site_col))
     found = spread(lines, min_sites).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("id", "t"), F.lit(SALTS)).cast("int"))
     gone = salted.join(found, ["k1", "k2", "salt"]).where(~F.col("id").eqNullSafe(F.col("first")))
-    gone = gone.groupBy(F.col("id").alias("__id"), F.col("t").alias("__t")).agg(F.collect_set("pos").alias("__gone"))
-    own = [c for c in df.columns if c not in ("n_lines", "n_removed_lines")]
-    d = df.select(*own, F.xxhash64(text_col).alias("__h"))
-    d = d.join(gone, d[id_col].eqNullSafe(gone["__id"]) & (d["__h"] == gone["__t"]), "left")
-    d = d.withColumn("__l", F.split(text_col, "\n", -1)).withColumn("__left", F.array_except(F.sequence(F.lit(0), F.size("__l") - 1), F.coalesce("__gone", F.array().cast("array<int>"))))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.expr("transform(__left, i -> __l[i])"), "\n"))
-    counts = F.coalesce(F.size("__l"), F.lit(0)), F.coalesce(F.size("__gone"), F.lit(0))
-    return d.select(*(text.alias(c) if c == text_col else F.col(c) for c in own), F.greatest(counts[0], F.lit(0)).cast("long").alias("n_lines"), F.greatest(counts[1], F.lit(0)).cast("long").alias("n_removed_lines"))
+    gone = gone.groupBy("id", "t").agg(F.collect_set("pos"))
+    own = [c for c in df.columns if c.lower() not in ("n_lines", "n_removed_lines")]
+    h, line, left, of, t, lost = fresh(df, "h", "line", "left", "of", "t", "lost")
+    gone = gone.toDF(of, t, lost)
+    d = df.select(*own, F.xxhash64(text_col).alias(h))
+    d = d.join(gone, d[id_col].eqNullSafe(gone[of]) & (d[h] == gone[t]), "left").withColumn(line, F.split(text_col, "\n", -1))
+    d = d.withColumn(left, F.array_except(F.sequence(F.lit(0), F.size(line) - 1), F.coalesce(lost, F.array().cast("array<int>"))))
+    text = F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(line, i)), "\n"))
+    n, n_lost = (F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long") for c in (line, lost))
+    return d.select(*(text.alias(c) if c.lower() == text_col.lower() else F.col(c) for c in own), n.alias("n_lines"), n_lost.alias("n_removed_lines"))
 
 
 def clean_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:

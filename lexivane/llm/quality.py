@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAPS, checkpoint, words_of
+from .common import WORD_GAPS, checkpoint, fresh, words_of
 
 #: A line may be in this many documents of one host before it counts as boilerplate there.
 HOST_LIMIT = 20
@@ -45,10 +45,15 @@ def _judged(df: DataFrame, id_col: str, text_col: str, host_col: str, limit: int
     """The rows of `judge`, t, and `gone`: which of the lines with a word are over the limit, null where none is."""
     d = checkpoint(document_counts(df, id_col, text_col, host_col).withColumn("row", F.monotonically_increasing_id()))
     once = d.select("id", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["k1"].alias("k1"), x["k2"].alias("k2"))))).alias("k"))
-    often = once.groupBy("k.k1", "k.k2").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") > limit)
-    often = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keys = ["k1", "k2"]
+    rows = once.groupBy("k.k1", "k.k2").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") > limit)
+    rows = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     each = d.select("row", "id", F.posexplode("lines").alias("pos", "x")).select("row", "id", "pos", "x.*").withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
-    lost = each.join(often, ["k1", "k2", "salt"]).where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("row").agg(F.sum("chars").alias("lost"), F.collect_list("pos").alias("gone"))
+    each = checkpoint(each.join(rows, [*keys, "salt"]))
+    # Lines that enough rows have are few; only of these are the distinct ids counted, each null id for itself.
+    ids = each.select(*keys, F.coalesce(F.col("id").cast("string"), F.concat(F.lit("row "), F.col("row"))).alias("doc")).distinct().groupBy(*keys).agg(F.count("*").alias("docs"))
+    often = ids.where(F.col("docs") > limit).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    lost = each.where(~F.col("id").eqNullSafe(F.col("first"))).join(often, [*keys, "salt"], "left_semi").groupBy("row").agg(F.sum("chars").alias("lost"), F.collect_list("pos").alias("gone"))
     d = d.drop("lines").join(lost, "row", "left")
     left = F.col("word_chars") - F.coalesce("lost", F.lit(0))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -61,19 +66,28 @@ def _judged(df: DataFrame, id_col: str, text_col: str, host_col: str, limit: int
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = HOST_LIMIT, min_left: float = MIN_LEFT) -> DataFrame:
     """Per row of `df`: id, base counts, base_failed, left_chars and kept.
 
-    A line that more than `limit` documents (rows) of its host hold counts as removed from all of them but the one
-    with the smallest id (`clean_good` takes it out), so one whole copy of a text that many repeat stays. A document that keeps less than
-    `min_left` of its word characters is depleted. kept is false where the base rules fail or it is depleted.
-    Null texts count as empty (base rules fail); null hosts make one host; a row with a null id never counts
-    as the first; repeated rows are judged alike; an empty table gives an empty result.
+    A line that more than `limit` documents (distinct ids) of its host hold counts as removed from all of them but the
+    one with the smallest id (`clean_good` takes it out), so one whole copy of a text that many repeat stays. A document
+    that keeps less than `min_left` of its word characters is depleted. kept is false where the base rules fail or it is
+    depleted. Null texts count as empty (base rules fail); null hosts make one host; a row with a null id is a document
+    of its own that never counts as the first; repeated rows are judged alike; an empty table gives an empty result;
+    other columns are left out, whatever their names. A very long text is one row, in memory of some 40 times its size.
     """
     return _judged(df, id_col, text_col, host_col, limit, min_left).drop("t", "gone")
 
 
+def _with_verdicts(df: DataFrame, verdicts: DataFrame, id_col: str, text_col: str, host_col: str, how: str) -> tuple[DataFrame, str]:
+    """`df` joined with rows (id, t, ...) of its own rows' verdicts, and the name of the last column of these."""
+    of, t, held, own = fresh(df, "of", "t", "held", "own")
+    d = df.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(host_col).cast("string")))
+    verdicts = verdicts.toDF(of, t, *[held][: len(verdicts.columns) - 2])
+    return d.join(verdicts, d[id_col].eqNullSafe(verdicts[of]) & (d[own] == verdicts[t]), how), held
+
+
 def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
-    """The rows of `df`, all columns as they are, that `judge` keeps. Rows with a null id go unless none of them is judged bad."""
-    bad = judge(df, id_col, text_col, host_col, **limits).where("not kept").select(F.col("id").alias("__bad_id")).distinct()
-    return df.join(bad, df[id_col].eqNullSafe(bad["__bad_id"]), "left_anti")
+    """The rows of `df`, all columns as they are, that `judge` keeps. Each row has its own verdict, also where ids are null or repeated."""
+    bad = _judged(df, id_col, text_col, host_col, **limits).where("not kept").select("id", "t").distinct()
+    return _with_verdicts(df, bad, id_col, text_col, host_col, "left_anti")[0].select(*df.columns)
 
 
 def clean_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
@@ -82,15 +96,15 @@ def clean_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     The document with the smallest id keeps its lines, as do lines without a word; the others keep their order.
     """
     judged = checkpoint(_judged(df, id_col, text_col, host_col, **limits).where("not kept or gone is not null").select("id", "t", "gone", "kept"))
-    bad = judged.where("not kept").select(F.col("id").alias("__bad_id")).distinct()
-    gone = judged.where("kept").groupBy(F.col("id").alias("__id"), F.col("t").alias("__t")).agg(F.first("gone").alias("__gone"))
-    d = df.join(bad, df[id_col].eqNullSafe(bad["__bad_id"]), "left_anti")
-    d = d.withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(host_col).cast("string")))
-    d = d.join(gone, d[id_col].eqNullSafe(gone["__id"]) & (d["__h"] == gone["__t"]), "left").withColumn("__l", F.split(text_col, "\n", -1))
-    d = d.withColumn("__wordy", F.filter(F.sequence(F.lit(0), F.size("__l") - 1), lambda i: F.translate(F.get("__l", i), WORD_GAPS, "") != ""))
-    left = F.array_except(F.sequence(F.lit(0), F.size("__l") - 1), F.transform("__gone", lambda k: F.get("__wordy", k)))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get("__l", i)), "\n"))
-    return d.select(*(text.alias(c) if c == text_col else F.col(c) for c in df.columns))
+    bad, gone = judged.where("not kept").select("id", "t").distinct(), judged.where("kept").groupBy("id", "t").agg(F.first("gone"))
+    d = _with_verdicts(df, bad, id_col, text_col, host_col, "left_anti")[0].select(*df.columns)
+    d, lost = _with_verdicts(d, gone, id_col, text_col, host_col, "left")
+    line, wordy = fresh(d, "line", "wordy")
+    d = d.withColumn(line, F.split(text_col, "\n", -1))
+    d = d.withColumn(wordy, F.filter(F.sequence(F.lit(0), F.size(line) - 1), lambda i: F.translate(F.get(line, i), WORD_GAPS, "") != ""))
+    left = F.array_except(F.sequence(F.lit(0), F.size(line) - 1), F.transform(lost, lambda k: F.get(wordy, k)))
+    text = F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(line, i)), "\n"))
+    return d.select(*(text.alias(c) if c.lower() == text_col.lower() else F.col(c) for c in df.columns))
 
 
 #: SQL over `documents` with the same result.

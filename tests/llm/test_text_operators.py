@@ -285,3 +285,122 @@ def test_fingerprint_of_results_is_stable(spark, sf):
     """Two runs of a query give the same rows."""
     a, b = (hashlib.sha256(repr(rows(queries.op7_substrings(spark, sf))).encode()).hexdigest() for _ in range(2))
     assert a == b
+
+
+CLASHES = ("h", "line", "left", "of", "t", "lost", "wordy", "own", "held", "found", "row", "some", "gone", "leaks", "licenses", "__h", "__l", "__left", "__gone", "__url", "host", "path", "bucket", "chunk", "fp", "node")
+
+
+@pytest.fixture(scope="module")
+def clashing(odd):
+    return odd.select("doc_id", "text", "lang", "source", *(F.lit(f"mine {c}").alias(c) for c in CLASHES))
+
+
+@pytest.mark.parametrize("step", ["keep_good", "clean_good", "clean_lines", "decontaminate", "keep_first", "scan", "filter_urls"])
+def test_columns_of_any_name_pass_through(spark, clashing, step):
+    from lexivane.llm import simhash
+
+    bench = spark.createDataFrame([(1, "nothing of the sort is held by any of these texts")], "item_id long, text string")
+    made = {"filter_urls": ("host", "path"), "scan": ("licenses",)}.get(step, ())
+    run = {
+        "keep_good": lambda d: quality.keep_good(d), "clean_good": lambda d: quality.clean_good(d, limit=0), "clean_lines": lambda d: lines.clean_lines(d, min_sites=1),
+        "decontaminate": lambda d: decontaminate.decontaminate(d, bench), "keep_first": simhash.keep_first, "scan": licenses.scan, "filter_urls": lambda d: urls.filter_urls(d, urls.RULES, "text"),
+    }[step]
+    got = run(clashing)
+    kept = [c for c in clashing.columns if c not in made]
+    assert set(kept) <= set(got.columns)
+    assert all(r[c] == f"mine {c}" for r in got.collect() for c in CLASHES if c not in made)
+
+
+def test_quality_judges_rows_with_null_and_repeated_ids_one_by_one(spark):
+    good = lambda k: "\n".join(" ".join(f"good{k}x{i}y{j}" for j in range(8)) for i in range(8))
+    df = spark.createDataFrame([(None, good(1), "h"), (None, "short", "h"), (5, good(2), "h"), (5, "short too", "h"), (6, good(3), "h")], "doc_id long, text string, source string")
+    for step in (quality.keep_good, quality.clean_good):
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in step(df).collect()) == [(0, good(1)), (5, good(2)), (6, good(3))]
+    # Thirty rows of one document hold its lines once for all; thirty documents hold them thirty times.
+    copies = spark.createDataFrame([(7, good(4), "h")] * 30, "doc_id long, text string, source string")
+    assert quality.judge(copies, limit=20).where("kept").count() == 30
+    assert quality.judge(copies.withColumn("doc_id", F.monotonically_increasing_id()), limit=20).where("kept").count() == 1
+
+
+def test_urls_by_joins_equal_the_trie(spark, sf, monkeypatch):
+    rng = random.Random(9)
+    label = lambda: rng.choice(["a", "b", "c", "com"])
+    made = [(rng.choice(["allow", "block"]), ".".join(label() for _ in range(rng.randint(1, 3))), "/".join(rng.choice(["", "x", "xy", "z"]) for _ in range(rng.randint(1, 3)))) for _ in range(60)]
+    made = [(a, h, p if p.startswith("/") or not p else "/" + p) for a, h, p in made] + list(urls.RULES)
+    odd_urls = [None, "", "no scheme", "http://", "http://COM", "http://A.com/x", "x://a.b.com/x/z?q", "x://a.b.com", "x://.com/", "x://b..com/xy"]
+    odd_urls += [f"x://{'.'.join(label() for _ in range(rng.randint(1, 4)))}/{'/'.join(rng.choice(['x', 'xy', 'xyz', 'z', '']) for _ in range(3))}" for _ in range(300)]
+    pages = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(odd_urls)], "page_id long, url string, row string")
+    by_trie = rows(urls.filter_urls(pages, made))
+    monkeypatch.setattr(urls, "TRIE_BYTES", 0)
+    assert rows(urls.filter_urls(pages, made)) == by_trie
+    assert rows(urls.filter_urls(pages, spark.createDataFrame(made, "a string, h string, p string"))) == by_trie
+    whole = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    assert rows(urls.filter_urls(whole, urls.RULES).drop("url")) == ask(urls.SQL, sf)
+
+
+def test_decontamination_of_whole_texts_and_several_indexes(spark, sf):
+    """All documents, long ones too, against brute force; and the same items split over many indexes."""
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.createDataFrame(items, "item_id long, text string")
+    long = docs.limit(1).select(F.lit(-5).cast("long").alias("doc_id"), F.concat(F.repeat(F.lit("some filler words "), 40_000), F.lit(items[3][1]), F.repeat(F.lit(" more of it"), 40_000)).alias("text"))
+    docs = docs.union(long)
+    texts = docs.collect()
+    want = {(r["doc_id"], i) for r in texts for i in whole_leaks(r["text"], items)}
+    assert (-5, items[3][0]) in want and len(want) > 3
+    for most in (20_000, 7):
+        found = decontaminate.find_leaks(docs, bench, most=most)
+        assert found.columns == ["doc_id", "text", "leaks"]
+        assert {(r["doc_id"], x["item_id"]) for r in found.collect() for x in r["leaks"]} == want
+
+
+def whole_leaks(text, items):
+    """Items of which a passage holds 0.8 of the five-word shingles, without the index."""
+    w = decontaminate.tokens(text)
+    width = max(decontaminate.PASSAGE, 2 * max(len(decontaminate.tokens(t)) for _, t in items))
+    wanted = {i: {tuple(x[k : k + 5]) for k in range(max(1, len(x) - 4))} for i, t in items if (x := decontaminate.tokens(t))}
+    found = set()
+    for lo in range(0, max(1, len(w) - width // 2), width // 2):
+        have = {tuple(w[k : k + 5]) for k in range(lo, min(lo + width, len(w)) - 4)}
+        found |= {i for i, x in wanted.items() if len(x & have) >= 0.8 * len(x)}
+    return found
+
+
+def test_bpe_query_and_other_patterns(spark, sf, tmp_path):
+    """The query's digests, and any other pattern, against tiktoken; two vocabularies of one file name."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    ids = {i: enc.encode_ordinary(t) for i, t in docs.items()}
+    want = {i: (len(x), digest(" ".join(map(str, x)).encode()), digest(docs[i].encode())) for i, x in ids.items()}
+    assert {r["doc_id"]: tuple(r)[1:] for r in queries.op2_bpe(spark, sf).collect()} == want
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(" \n\tab1.'sé漢😀") for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for pattern in (r"\S+|\s+", r"\w+\s?|\W", r"[a-z]+(?= )|[\s\S]", r" ?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s+(?!\S)|\s+"):
+        other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        got = {r["id"]: list(r["ids"]) for r in bpe.encode(df, path, pattern).collect()}
+        assert got == {i: other.encode_ordinary(t) for i, t in enumerate(texts)}
+    small = tmp_path / "byte_bpe_50k.tiktoken"
+    small.write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % r for t, r in ranks.items() if len(t) == 1))
+    assert [len(r["ids"]) for r in bpe.encode(df.where("doc_id < 3"), str(small)).orderBy("id").collect()] == [len(t.encode()) for t in texts[:3]]
+
+
+def test_language_of_long_texts_and_ties(spark, sf, monkeypatch):
+    """Texts cut into many slices cost the same bits; equal trees tie for the first language; counts are whole."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    trees = language_id.learn(docs)
+    texts = [r["text"].encode() for r in docs.limit(30).collect()] + [b"", "é".encode() * 3000, b"\0\0abc"]
+    whole = trees.code_lengths(texts)
+    monkeypatch.setattr(language_id, "SLICE", 1000)
+    assert trees.code_lengths(texts) == pytest.approx(whole, rel=1e-12)
+    assert trees.code_lengths(texts)[0] == pytest.approx(trees.code_lengths([texts[0]])[0], rel=1e-12)
+    same = spark.createDataFrame([(i, "the same words", x) for i in range(40) for x in ("b", "a")], "doc_id long, text string, lang string")
+    told = language_id.identify(same, language_id.learn(same)).collect()
+    assert {(r["lang_pred"], r["score"]) for r in told} == {("a", 0.5)}
+    train = docs.where(~language_id.held_out(F.col("doc_id")) & F.col("lang").isNotNull()).collect()
+    for lang, tree in zip(trees.languages, trees.trees):
+        seen = set().union(*({(b"\0\0\0" + t)[k : k + 4] for k in range(len(t))} for t in (r["text"].encode().lower() for r in train if r["lang"] == lang)))
+        assert len(tree.levels[3][0]) == len(seen)
