@@ -253,32 +253,97 @@ def test_wand_retrieves_all_above_threshold():
             assert {n for n, s in score.items() if s >= least + 1e-5} <= set(got) <= {n for n, s in score.items() if s >= least - 1e-5}
 
 
+def found_licenses(spark, texts, **options):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: {x["license"] for x in r["licenses"]} for r in licenses.scan(df, **options).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
 def test_licenses(spark, odd, none):
+    full = dict((n, t) for n, t in reversed(licenses.TEMPLATES) if len(t) > 200)
     texts = [
         ("Some prose.\nLicensed under CC BY-NC 4.0.\nMore prose.", {"CC-BY-NC-4.0"}),
         ("Licensed under CC BY 4.0.", {"CC-BY-4.0"}),
         ("Released under the MIT License. All rights reserved.", {"MIT", "all-rights-reserved"}),
         ("This work is licensed under the GNU General Public License, version 3.", {"GPL-3.0"}),
-        ("This work is licensed under the GNU General Public License, version 2.", set()),
+        ("This work is licensed under the GNU General Public License, version 2.", {"GPL-2.0"}),
+        ("This work is licensed under the GNU General Public License, version 4.", set()),
+        ("Licensed under the Apache License 2.0", {"Apache-2.0"}),
+        ("It is distributed under the GNU GPL v3, like the rest.", {"GPL-3.0"}),
+        ("# SPDX-License-Identifier: LGPL-2.1-or-later\nimport os", {"LGPL-2.1"}),
         ("We license nothing and reserve little.", set()),
-        ("prose " * 3000 + licenses.TEMPLATES[3][1] + " prose" * 3000, {"MIT"}),
-    ]
-    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
-    got = {r["doc_id"]: {x["license"] for x in r["licenses"]} for r in licenses.scan(df).collect()}
-    assert got == {i: want for i, (_, want) in enumerate(texts)}
+        ("We have not released this under the MIT License.", set()),
+        ("This is not licensed under CC BY 4.0.", set()),
+        ("It was never released under the MIT License, nor licensed under CC BY 4.0.", set()),
+        ("It is not ours. Released under the MIT License.", {"MIT"}),
+        ("prose " * 3000 + full["MIT"] + " prose" * 3000, {"MIT"}),
+        (full["BSD-3-Clause"], {"BSD-3-Clause"}),
+        (full["BSD-2-Clause"], {"BSD-2-Clause"}),
+        (licenses._MIT_WARRANTY, {"MIT"}),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", {"LGPL-2.1"}),
+    ]
+    assert found_licenses(spark, [t for t, _ in texts]) == [want for _, want in texts]
     assert licenses.scan(odd).where("size(licenses) > 0").count() == 0 and licenses.scan(none).count() == 0
 
 
 def test_licenses_whatever_surrounds_them(spark):
     around = "this quite ordinary sentence of prose goes on about other matters for a while and then says that it was"
-    texts = [(f"{around} {t} {around}.", n) for n, t in licenses.TEMPLATES]
+    texts, want = [], []
     for n, t in licenses.TEMPLATES:
         w = t.split()
-        cut = len(w) // 2
-        texts.append((f"// {' '.join(w[:cut])}\n// {' '.join(w[cut:])}\n" + "\n".join(f"int value_{i} = compute(other_{i * 7919 % 100}, {i});" for i in range(20)), n))
-    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
-    got = {r["doc_id"]: {x["license"] for x in r["licenses"]} for r in licenses.scan(df).collect()}
-    assert [n for i, (_, n) in enumerate(texts) if n not in got[i]] == []
+        lines_ = [" ".join(w[k : k + 9]) for k in range(0, len(w), 9)]
+        texts += [f"{around} {t} {around}.", "// " + "\n// ".join(lines_) + "\n" + "\n".join(f"int value_{i} = compute(other_{i * 7919 % 100}, {i});" for i in range(20))]
+        want += [n, n]
+    got = found_licenses(spark, texts)
+    assert [(n, t) for n, t, g in zip(want, texts, got) if n not in g] == []
+    assert sum(g != {n} for n, g in zip(want, got)) == 0
+
+
+def test_licenses_of_several_thousand_characters(spark):
+    rng = random.Random(8)
+    long = "This license covers " + " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(1000)) + " and ends."
+    w = long.split()
+    near = [x if i % 20 else "changed" for i, x in enumerate(w)]
+    far = [x if i % 5 else "changed" for i, x in enumerate(w)]
+    texts = [long, "start " * 500 + long + " end" * 500, " ".join(near), " ".join(far), " ".join(w[:500])]
+    assert len(long) > 5500 and found_licenses(spark, texts, templates=(("Long", long),)) == [{"Long"}, {"Long"}, {"Long"}, set(), set()]
+
+
+def brute_licenses(scanner, text):
+    """Every window of every template's length is compressed with that template and compared by its words: no anchors."""
+    placed = licenses.words_of(text)
+    words, found = [w for w, _, _ in placed], []
+    for k, template in enumerate(scanner.words):
+        n, wanted = len(template), set(template)
+        slack = int(licenses.SLACK * n) + 2
+        hits = [w in wanted for w in words]
+        for lo in range(max(1, len(words) - n + 1)):
+            if sum(hits[lo : lo + n + 2 * slack]) < 0.9 * n or not hits[lo]:
+                continue
+            window = words[lo : lo + n + 2 * slack]
+            saved = scanner.saved(k, window)
+            missing, added, first, last = licenses.differences(template, window)
+            if saved >= licenses.LEAST_REDUCTION * scanner.gain[k] and licenses.confirmed(template, missing, added) and not licenses.denied(text, placed, lo + first):
+                found.append((-saved, k, lo + first, lo + last, scanner.names[k]))
+    out, taken = set(), []
+    for _, _, a, b, name in sorted(found):
+        if not any(x <= a and b <= y and n != name for x, y, n in taken):
+            taken.append((a, b, name))
+            out.add(name)
+    return out
+
+
+def test_licenses_match_brute_force(spark, sf):
+    """All documents of the small table, and each of them with a notice put into its middle."""
+    scanner = licenses.Scanner()
+    docs = [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    rng = random.Random(6)
+    for t in docs[:60]:
+        w = t.split()
+        at = rng.randrange(len(w) + 1)
+        docs.append(" ".join([*w[:at][-200:], rng.choice(licenses.TEMPLATES)[1], *w[at:][:200]]))
+    got = found_licenses(spark, docs)
+    assert got == [brute_licenses(scanner, t) for t in docs] and sum(map(bool, got)) > 60
 
 
 def test_fingerprint_of_results_is_stable(spark, sf):
