@@ -14,10 +14,13 @@ VERSION = "0.1.0"
 BINS = 10
 
 
-def tokenised(df: DataFrame, order_col: str = "doc_id", text_col: str = "text", tokens=T.word_tokens) -> DataFrame:
-    """Rows (o, row, toks), checkpointed: all metrics of a corpus read its tokens, which are taken from the texts once."""
-    d = df.select(F.col(order_col).alias("o"), F.monotonically_increasing_id().alias("row"), tokens(text_col).alias("toks"))
-    return checkpoint(d)
+def tokenised(df: DataFrame, order_col: str = "doc_id", text_col: str = "text", tokens=T.word_tokens, part: str | None = None) -> DataFrame:
+    """Rows (part, o, row, toks), checkpointed: all metrics read the tokens, which are taken from the texts once.
+
+    `part` names a column that tells several corpora apart, which are then measured together.
+    """
+    of = F.lit(0) if part is None else F.col(part)
+    return checkpoint(df.select(of.alias("part"), F.col(order_col).alias("o"), F.monotonically_increasing_id().alias("row"), tokens(text_col).alias("toks")))
 
 
 def counts(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -37,29 +40,28 @@ def token_counts(d: DataFrame) -> DataFrame:
 
 
 def sequence_ngrams(toks: DataFrame, *ns: int) -> DataFrame:
-    """Rows (n, pos, g): the n-grams of all `tokenised` documents written one after another, in their order, for each n.
+    """Rows (part, n, pos, g): the n-grams of a part's `tokenised` documents written one after another, for each n.
 
     Only sizes are put in order. N-grams inside a document come from its own array; those that cross borders are put
     together from the first and last tokens of documents, so the token sequence is never sorted as a whole.
     """
-    at = running_totals(toks.select("o", "row", F.size("toks").alias("n")), [F.col("o"), F.col("row")], {"upto": F.col("n")})
-    d = toks.where("size(toks) > 0").join(at.select("row", (F.col("upto") - F.col("n")).alias("at")), "row").select("at", "toks")
+    at = running_totals(toks.select("part", "o", "row", F.size("toks").alias("n")), [F.col("o"), F.col("row")], {"upto": F.col("n")}, "part")
+    d = toks.where("size(toks) > 0").join(at.select("row", (F.col("upto") - F.col("n")).alias("at")), "row").select("part", "at", "toks")
     grams = F.concat(*(_numbered(T.ngrams("toks", n), n) for n in ns))
-    inside = d.select("at", F.explode(grams).alias("x")).select("x.n", (F.col("at") + F.col("x.i")).alias("pos"), "x.g")
+    inside = d.select("part", "at", F.explode(grams).alias("x")).select("part", "x.n", (F.col("at") + F.col("x.i")).alias("pos"), "x.g")
     most, out = max(ns), inside
     if most == 1:
         return out
-    size = F.size("toks")
     ends = F.filter(F.transform("toks", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: (x["i"] < most - 1) | (x["i"] > F.size("toks") - most))
-    edge = checkpoint(d.select("at", size.alias("size"), F.explode(ends).alias("x")).select("at", "size", "x.i", "x.w"))
+    edge = checkpoint(d.select("part", "at", F.size("toks").alias("size"), F.explode(ends).alias("x")).select("part", "at", "size", "x.i", "x.w"))
     for n in ns:
         if n == 1:
             continue
         near = edge.where((F.col("i") < n - 1) | (F.col("i") > F.col("size") - n))
-        placed = near.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"), "at", "i", "size", "w")
-        starts = placed.select((F.col("at") + F.col("i") - F.col("k")).alias("pos"), "k", "w", ((F.col("k") == 0) & (F.col("i") > F.col("size") - n)).alias("tail"))
-        cross = starts.groupBy("pos").agg(F.sort_array(F.collect_list(F.struct("k", "w"))).alias("t"), F.bool_or("tail").alias("tail"))
-        cross = cross.where(F.col("tail") & (F.size("t") == n)).select(F.lit(n).alias("n"), "pos", F.array_join(F.transform("t", lambda x: x["w"]), " ").alias("g"))
+        placed = near.select("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"), "at", "i", "size", "w")
+        starts = placed.select("part", (F.col("at") + F.col("i") - F.col("k")).alias("pos"), "k", "w", ((F.col("k") == 0) & (F.col("i") > F.col("size") - n)).alias("tail"))
+        cross = starts.groupBy("part", "pos").agg(F.sort_array(F.collect_list(F.struct("k", "w"))).alias("t"), F.bool_or("tail").alias("tail"))
+        cross = cross.where(F.col("tail") & (F.size("t") == n)).select("part", F.lit(n).alias("n"), "pos", F.array_join(F.transform("t", lambda x: x["w"]), " ").alias("g"))
         out = out.union(cross)
     return out
 
@@ -74,16 +76,17 @@ def corpus_ngrams(df: DataFrame, n: int, order_col: str = "doc_id", text_col: st
 
 
 def diversities(toks: DataFrame, *ns: int) -> DataFrame:
-    """Rows (n, total, distinct_ngrams, diversity) of `tokenised` documents, all n in one pass; 0 without any n-gram."""
-    d = sequence_ngrams(toks, *ns).groupBy("n", "g").agg(F.count("*").alias("c")).groupBy("n").agg(F.sum("c").alias("total"), F.count("*").alias("distinct_ngrams"))
-    every = toks.sparkSession.createDataFrame([(n,) for n in ns], "n int")
-    d = every.join(d, "n", "left").fillna(0, ["total", "distinct_ngrams"])
+    """Rows (part, n, total, distinct_ngrams, diversity) of `tokenised` documents, all in one pass; 0 without any n-gram."""
+    d = sequence_ngrams(toks, *ns).groupBy("part", "n", "g").agg(F.count("*").alias("c")).groupBy("part", "n").agg(F.sum("c").alias("total"), F.count("*").alias("distinct_ngrams"))
+    d = toks.select("part").distinct().select("part", F.explode(F.lit(list(ns))).alias("n")).join(d, ["part", "n"], "left").fillna(0, ["total", "distinct_ngrams"])
     return d.withColumn("diversity", F.coalesce(F.try_divide(F.col("distinct_ngrams"), F.col("total")), F.lit(0.0)))
 
 
 def ngram_diversity(df: DataFrame, n: int, order_col: str = "doc_id", text_col: str = "text", tokens=T.word_tokens) -> DataFrame:
     """One row: total, distinct and diversity of the corpus's n-grams; 0 without any."""
-    return diversities(tokenised(df, order_col, text_col, tokens), n).drop("n")
+    found = diversities(tokenised(df, order_col, text_col, tokens), n).drop("part", "n")
+    total = found.agg(*(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("total", "distinct_ngrams")), F.coalesce(F.max("diversity"), F.lit(0.0)).alias("diversity"))
+    return total  # one row, also of no document
 
 
 def repeated_ngrams(df: DataFrame, n: int = 5, top: int = 8, order_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,7 +127,7 @@ def snapshot(df: DataFrame, label: str = "corpus", order_col: str = "doc_id", te
     """
     scored = signals.score(df.select(order_col, text_col), text_col, id_col=order_col, keep=True)
     scored = checkpoint(scored.select(F.col(order_col).alias("o"), F.monotonically_increasing_id().alias("row"), signals.TOKENS, signals.variation().alias("variation"), "synthetic_likelihood", "is_synthetic"))
-    toks = scored.select("o", "row", F.col(signals.TOKENS).alias("toks"))
+    toks = scored.select(F.lit(0).alias("part"), "o", "row", F.col(signals.TOKENS).alias("toks"))
     means = scored.agg(F.avg("synthetic_likelihood").alias("score"), F.count_if("is_synthetic").alias("flagged"), F.coalesce(F.avg("variation"), F.lit(0.0)).alias("burstiness")).first()
     bins = {r["bin"]: r["n"] for r in histogram(scored).collect()}
     c = token_counts(toks).first()
@@ -138,8 +141,8 @@ def snapshot(df: DataFrame, label: str = "corpus", order_col: str = "doc_id", te
         "vocab": c["vocab"],
         "vocab_per_10k_tokens": round(c["vocab_per_10k_tokens"], 1),
         "type_token_ratio": round(c["type_token_ratio"], 4),
-        "bigram_diversity": round(diversity[2], 4),
-        "trigram_diversity": round(diversity[3], 4),
+        "bigram_diversity": round(diversity.get(2, 0.0), 4),
+        "trigram_diversity": round(diversity.get(3, 0.0), 4),
         "mean_burstiness": round(means["burstiness"], 3),
         "near_duplicate_rate": round(near_duplicate_rate(df, order_col, text_col).first()[0], 4),
         "mean_synthetic_score": round(means["score"] or 0, 1),

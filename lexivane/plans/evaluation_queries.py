@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signals as S
 from ..functions import text as T
-from ..operators import classify, evaluation as E, lm, sampling, stats
+from ..operators import caches, classify, evaluation as E, lm, neural, sampling, stats
 from .catalog import query, table
 from .text_queries import ENTROPY, SCORED, SIGNALS, score_sql
 
@@ -138,6 +138,46 @@ def perplexity_auc(spark, sf_dir):
     return _round(E.roc_auc(bits.withColumn("s", F.round("bits", 6)), "s", "quality"), "auc")
 
 
+# Scores of a language model
+
+
+MOST_WORDS = 50_000
+_RANKED = f"""{JUDGED}, uw as (select w, count(*) as c from (select unnest(toks) as w from t where lang = 'en') group by w order by c desc, w limit {MOST_WORDS}),
+ur as (select w, c, count(*) over (order by c desc range between unbounded preceding and current row) as r, sum(c) over () as n, count(*) over () as v from uw), un as (select sum(c) as n, count(*) as v from uw),
+tk as (select doc_id, unnest(toks[1:192]) as w from t), rf as (select doc_id, avg(ln((coalesce(c, 0) + 1) / (un.n + un.v))) as mean_logp, avg(case when coalesce(r, un.v + 1) <= 10 then 1.0 else 0.0 end) as frac_topk from tk left join ur using (w), un group by doc_id)"""
+
+
+def _ranks(spark, sf_dir):
+    """Token ranks of the labelled documents under the word frequencies of the English ones."""
+    d = table(spark, sf_dir, "documents")
+    words = d.where("lang = 'en'").select(F.explode(T.word_tokens("text")).alias("w")).groupBy("w").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "w").limit(MOST_WORDS)
+    score = neural.rank_scorer(neural.unigram_ranks([tuple(r) for r in words.collect()]))
+    return d.join(table(spark, sf_dir, "labels"), "doc_id").withColumn("x", score(F.col("text")))
+
+
+@query(f"with {_RANKED} select doc_id, round(mean_logp, 6) as mean_logp, round(frac_topk, 6) as frac_topk from rf join j using (doc_id)")
+def rank_features(spark, sf_dir):
+    d = caches.usable(_ranks(spark, sf_dir).select("doc_id", "x.mean_logp", "x.frac_topk"), "mean_logp", "frac_topk")
+    return d.select("doc_id", F.round("mean_logp", 6).alias("mean_logp"), F.round("frac_topk", 6).alias("frac_topk"))
+
+
+@query(f"with {_RANKED}, f as (select quality, unnest([struct_pack(feature := 'mean_logp', s := round(mean_logp, 6)), struct_pack(feature := 'frac_topk', s := round(frac_topk, 6)), struct_pack(feature := 'probe', s := synthetic_likelihood)], recursive := true) from rf join j using (doc_id)), a as ({auc_sql('f', 's', 'quality', 'feature')}) select feature, n_pos, n_neg, round(greatest(auc, 1 - auc), 6) as auc from a")
+def rank_feature_table(spark, sf_dir):
+    """Each feature's directed AUC, over the documents that the cache of features has whole."""
+    cache = caches.with_key(_ranks(spark, sf_dir)).groupBy("h").agg(F.first("x").alias("x")).select("h", "x.*")
+    d = caches.usable(caches.lookup(caches.with_key(_scored(spark, sf_dir)), cache), "mean_logp", "frac_topk")
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), v.alias("s")) for k, v in (("mean_logp", F.round("mean_logp", 6)), ("frac_topk", F.round("frac_topk", 6)), ("probe", F.col("synthetic_likelihood"))))))
+    return _round(_round(E.directed_auc(d.select("quality", each.alias("f")).select("quality", "f.*"), "s", "quality", "feature"), "auc"), "auc")
+
+
+@query(f"with {SCORED}, o as (select * from t order by doc_id limit 60) select round(coalesce(avg(exp(least(20.0, length(text) / 400.0))), 'nan'::double), 4) as ref_perplexity from o where len(toks) >= 2")
+def reference_perplexity(spark, sf_dir):
+    """Mean perplexity of the first documents under a pluggable scorer, here one of lengths; texts of under two words have no loss."""
+    loss = neural.scorer(lambda: lambda texts: [len(t) / 400 if len(neural._WORD.findall(t)) >= 2 else float("nan") for t in texts])
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neural.mean_perplexity(d, loss, 60, "doc_id").select(F.round("ref_perplexity", 4).alias("ref_perplexity"))
+
+
 # Classifiers
 
 

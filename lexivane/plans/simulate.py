@@ -1,216 +1,52 @@
-"""Stand-in corpora, controlled detector experiments, and recursive collapse of an n-gram model."""
+"""Controlled experiments with the probe on stand-in corpora."""
 
 from __future__ import annotations
 
-import random
-import re
-from collections import Counter, defaultdict
-from itertools import accumulate
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import signals, text as T
-from ..operators import corpus, evaluation, sampling
+from ..functions import signals
+from ..operators import evaluation, sampling
 from ..operators.sampling import SEED
-
-#: Word classes of our own for human-like and collapsed text.
-NOUNS = "river lantern gravel orchard kettle harbor thicket ledger anvil meadow copper violin ferry quarry saddle beacon".split()
-VERBS = "drifts gathers mends scatters folds carries shelters tumbles weighs lifts borrows sharpens".split()
-ADJECTIVES = "crooked amber hollow brisk salted uneven quiet rusted narrow wild patient cold".split()
-CONNECTORS = "because although while unless before whereas until".split()
-FUNCTION_WORDS = "the a of in on by with under and to from at".split()
-DULL_NOUNS, DULL_VERBS, DULL_ADJECTIVES = "platform solution process system approach".split(), "improves offers helps creates drives".split(), "modern effective useful strong simple".split()
-OPENERS = [p for p in T.FILLER_PHRASES if p in ("it is important to note", "in conclusion", "furthermore", "moreover", "additionally", "overall", "it is worth noting", "in summary")]
-ITEM = "doc_id long, text string, label string"
-
-
-def human_text(rng: random.Random) -> str:
-    """Four to nine sentences of mixed length and vocabulary, now and then a doubled letter."""
-    out = []
-    for _ in range(rng.randint(4, 9)):
-        low, high = rng.choices(((3, 7), (8, 18), (19, 30)), (35, 40, 25))[0]
-        kinds = rng.choices((NOUNS, VERBS, ADJECTIVES, CONNECTORS, FUNCTION_WORDS), (30, 20, 18, 12, 20), k=rng.randint(low, high))
-        s = " ".join(rng.choice(kind) for kind in kinds)
-        if len(s) > 5 and rng.random() < 0.08:
-            at = rng.randrange(len(s))
-            s = s[: at + 1] + s[at:]
-        out.append(s[0].upper() + s[1:])
-    return ". ".join(out) + "."
-
-
-def collapsed_text(rng: random.Random, generation: int = 1) -> str:
-    """Four to seven templated sentences; later generations have fewer words and repeat more."""
-    few = max(2, 5 - generation)
-    again = min(0.85, 0.35 + 0.15 * generation)
-    nouns, verbs, adjectives = DULL_NOUNS[:few], DULL_VERBS[:few], DULL_ADJECTIVES[:few]
-    out, core = [], ""
-    for _ in range(rng.randint(4, 7)):
-        if not core or rng.random() >= again:
-            core = f"the {rng.choice(adjectives)} {rng.choice(nouns)} {rng.choice(verbs)} the {rng.choice(adjectives)} {rng.choice(nouns)}"
-        out.append(f"{rng.choice(OPENERS)} {core}")
-    return ". ".join(out) + "."
-
-
-def make_datasets(spark: SparkSession, specs: list[tuple[float, int, float, int]], seed: int = SEED) -> DataFrame:
-    """Rows (doc_id, text, label, part) for specs (part, n, contamination, generation), all made in one pass.
-
-    Of each part, round(n * contamination) texts are collapsed and the others human-like; each row has a seed of
-    its own, so the result does not depend on the partitions.
-    """
-    upto = np.cumsum([n for _, n, _, _ in specs])
-
-    def make(batches):
-        for b in batches:
-            rows = []
-            for i in b["id"]:
-                k = int(np.searchsorted(upto, i, side="right"))
-                part, n, contamination, generation = specs[k]
-                at = i - (upto[k] - n)
-                rng = random.Random(f"{seed}:{part}:{generation}:{at}")
-                synthetic = bool(at < round(n * contamination))
-                rows.append((i, collapsed_text(rng, generation) if synthetic else human_text(rng), "synthetic" if synthetic else "human", float(part)))
-            yield pd.DataFrame(rows, columns=["doc_id", "text", "label", "part"])
-
-    return spark.range(int(upto[-1]) if specs else 0).mapInPandas(make, f"{ITEM}, part double")
+from .standins import Spec, generation_specs, make_dataset, make_datasets
 
 
-def make_dataset(spark: SparkSession, n: int, contamination: float, generation: int = 1, seed: int = SEED) -> DataFrame:
-    """Rows (doc_id, text, label) of one part."""
-    return make_datasets(spark, [(0.0, n, contamination, generation)], seed).drop("part")
-
-
-def simulate_generations(spark: SparkSession, generations: int = 4, n: int = 60, seed: int = SEED) -> DataFrame:
-    """Rows (doc_id, text, label, generation), each generation more contaminated and more collapsed."""
-    parts = make_datasets(spark, [(float(g), n, min(1.0, 0.25 * g), g) for g in range(1, generations + 1)], seed)
-    return parts.withColumn("generation", F.col("part").cast("int")).drop("part")
+def judged(df: DataFrame) -> DataFrame:
+    return signals.score(df).withColumn("actual", F.col("label") == "synthetic")
 
 
-def _judged(df: DataFrame) -> DataFrame:
-    return signals.score(df).withColumn("actual", F.col("label") == "synthetic")
+def sweep_specs(n: int = 40, levels: int = 11) -> list[Spec]:
+    return [(k / (levels - 1), n, k / (levels - 1), 2) for k in range(levels)]
 
 
 def contamination_sweep(spark: SparkSession, n: int = 40, levels: int = 11, seed: int = SEED) -> DataFrame:
     """Rows (level, tp, fp, fn, tn, rates, estimated) for contamination 0 to 1."""
-    out = make_datasets(spark, [(k / (levels - 1), n, k / (levels - 1), 2) for k in range(levels)], seed).withColumnRenamed("part", "level")
-    d = _judged(out)
-    rates = evaluation.confusion(d, F.col("is_synthetic"), F.col("actual"), "level")
-    return rates.join(signals.verdict(d, "level").select("level", F.col("estimated_contamination").alias("estimated")), "level")
+    d = judged(make_datasets(spark, sweep_specs(n, levels), seed).withColumnRenamed("part", "level"))
+    counts = d.groupBy("level").agg(*(F.count_if(c).alias(k) for k, c in (("tp", F.expr("is_synthetic and actual")), ("fp", F.expr("is_synthetic and not actual")), ("fn", F.expr("not is_synthetic and actual")), ("tn", F.expr("not is_synthetic and not actual")))))
+    estimated = F.round((F.col("tp") + F.col("fp")) / (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")), 4)
+    return counts.select("*", *(v.alias(k) for k, v in evaluation.rates(*(F.col(x) for x in ("tp", "fp", "fn", "tn"))).items()), estimated.alias("estimated"))
 
 
 def generation_degradation(spark: SparkSession, generations: int = 4, n: int = 60, seed: int = SEED) -> DataFrame:
     """Rows (generation, accuracy, mean_separation); a generation without human texts counts their mean as 0."""
-    d = _judged(simulate_generations(spark, generations, n, seed))
+    d = judged(make_datasets(spark, generation_specs(generations, n), seed))
     mean = lambda c: F.coalesce(F.avg(F.when(c, F.col("synthetic_likelihood"))), F.lit(0.0))
-    return d.groupBy("generation").agg(F.avg((F.col("is_synthetic") == F.col("actual")).cast("int")).alias("accuracy"), (mean(F.col("actual")) - mean(~F.col("actual"))).alias("mean_separation"))
+    return d.groupBy(F.col("part").cast("int").alias("generation")).agg(F.avg((F.col("is_synthetic") == F.col("actual")).cast("int")).alias("accuracy"), (mean(F.col("actual")) - mean(~F.col("actual"))).alias("mean_separation"))
 
 
-def recycling(spark: SparkSession, known: int = 20, injected: int = 10, seed: int = SEED) -> DataFrame:
-    """One row (injected, caught, catch_rate): known outputs fed back, caught by their overlap with the known ones."""
+def recycling(spark: SparkSession, known: int = 20, injected: int = 10, fresh: int = 10, seed: int = SEED) -> DataFrame:
+    """One row (injected, caught, catch_rate, false_alarms): known outputs fed back among fresh human-like texts.
+
+    Fed back are `injected` of the known outputs, in seeded order; an overlap with any known output of a half catches a text.
+    """
     outputs = make_dataset(spark, known, 1.0, 1, seed)
-    w = outputs.orderBy(sampling.seeded(F.col("doc_id"), seed)).limit(injected)
-    d = signals.with_signals(w, references=outputs.select("text"))
-    caught = F.count_if(F.round("duplicate_similarity", 3) >= 0.5)
-    return d.agg(F.count("*").alias("injected"), caught.alias("caught"), F.coalesce(F.try_divide(caught, F.count("*")), F.lit(0.0)).alias("catch_rate"))
+    back = outputs.orderBy(sampling.seeded(F.col("doc_id"), seed)).limit(injected).select("doc_id", "text", F.lit(True).alias("fed"))
+    new = make_dataset(spark, fresh, 0.0, 2, seed).select((F.col("doc_id") + known).alias("doc_id"), "text", F.lit(False).alias("fed"))
+    d = signals.with_signals(back.unionByName(new), references=outputs.select("text")).withColumn("caught", F.round("duplicate_similarity", 3) >= 0.5)
+    fed, caught = F.count_if("fed"), F.count_if(F.col("fed") & F.col("caught"))
+    return d.agg(fed.alias("injected"), caught.alias("caught"), F.coalesce(F.try_divide(caught, fed), F.lit(0.0)).alias("catch_rate"), F.count_if(~F.col("fed") & F.col("caught")).alias("false_alarms"))
 
 
 def false_positives(spark: SparkSession, n: int = 100, seed: int = SEED) -> DataFrame:
-    d = _judged(make_dataset(spark, n, 0.0, 1, seed))
+    d = judged(make_dataset(spark, n, 0.0, 1, seed))
     return d.agg(F.count("*").alias("total"), F.count_if("is_synthetic").alias("flagged"), F.avg(F.col("is_synthetic").cast("int")).alias("rate"))
-
-
-class TrigramSampler:
-    """Trigram model with bigram and unigram backoff: cumulative counts per context, drawn from by binary search."""
-
-    def __init__(self, unigrams, bigrams, trigrams, starts) -> None:
-        self.tables: list[dict] = [defaultdict(Counter), defaultdict(Counter), defaultdict(Counter)]
-        for rows in (unigrams, bigrams, trigrams):
-            for gram, c in rows:
-                *context, w = gram.split(" ")
-                self.tables[len(context)][tuple(context)][w] += c
-        self.tables = [{k: self._steps(v) for k, v in t.items()} for t in self.tables]
-        self.starts = self._steps(Counter({(a, b): c for a, b, c in starts}))
-
-    @staticmethod
-    def _steps(counts: Counter) -> tuple[list, np.ndarray]:
-        items = sorted(counts.items())
-        return [w for w, _ in items], np.fromiter(accumulate(c for _, c in items), dtype=np.float64, count=len(items))
-
-    @staticmethod
-    def _draw(steps: tuple[list, np.ndarray], rng: random.Random):
-        words, upto = steps
-        return words[min(int(np.searchsorted(upto, rng.random() * upto[-1], side="left")), len(words) - 1)]
-
-    def text(self, rng: random.Random, length: int) -> str:
-        if not self.starts[0]:
-            return ""
-        out = list(self._draw(self.starts, rng))
-        while len(out) < length:
-            steps = self.tables[2].get(tuple(out[-2:])) or self.tables[1].get((out[-1],)) or self.tables[0][()]
-            out.append(self._draw(steps, rng))
-        return re.sub(r"\s+([.!?])", r"\1", " ".join(out))
-
-
-#: Most rows of each count table that a sampler is built from; rarer ones are left out.
-MOST_COUNTS = 500_000
-
-
-def fit_sampler(df: DataFrame, text_col: str = "text") -> TrigramSampler:
-    """A sampler from the counts of a corpus of bounded size, as each generation is."""
-    from ..operators import lm
-
-    tables = [[(r["g"], r["c"]) for r in lm.gram_counts(df, n, text_col).orderBy(F.desc("c"), "g").limit(MOST_COUNTS).collect()] for n in (1, 2, 3)]
-    starts = [tuple(r) for r in lm.start_pairs(df, text_col).orderBy(F.desc("c"), "w1", "w2").limit(MOST_COUNTS).collect()]
-    return TrigramSampler(*tables, starts)
-
-
-def sample_corpus(spark: SparkSession, model: TrigramSampler, n: int, length: int, seed: int, generation: int) -> DataFrame:
-    """Rows (doc_id, text), each drawn with a seed of its own."""
-    shared = spark.sparkContext.broadcast(model)
-
-    def make(batches):
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["id"], "text": [shared.value.text(random.Random(f"{seed}:{generation}:{i}"), length) for i in b["id"]]})
-
-    return spark.range(n).mapInPandas(make, "doc_id long, text string")
-
-
-def measure(df: DataFrame, generation: int, order_col: str = "doc_id", text_col: str = "text") -> tuple:
-    """(generation, vocab, ttr, trigram_diversity, mean_synth_score, est_contamination) of a corpus, on tokens of letters only."""
-    words = df.select(F.explode(T.alpha_tokens(text_col)).alias("w")).agg(F.count("*").alias("n"), F.countDistinct("w").alias("v")).first()
-    tri = corpus.ngram_diversity(df, 3, order_col, text_col, T.alpha_tokens).first()["diversity"]
-    s = signals.score(df.select(order_col, text_col), text_col).agg(F.avg("synthetic_likelihood"), F.avg(F.col("is_synthetic").cast("int"))).first()
-    return generation, words["v"], words["v"] / words["n"] if words["n"] else 0.0, tri, s[0] or 0.0, s[1] or 0.0
-
-
-MEASURES = "generation int, vocab long, ttr double, trigram_diversity double, mean_synth_score double, est_contamination double"
-
-
-def recursive_collapse(df: DataFrame, generations: int = 6, n_docs: int = 150, length: int = 80, seed: int = SEED, whole_start: bool = False) -> DataFrame:
-    """Rows of MEASURES: a corpus, then generation after generation learned from the one before.
-
-    Starts from `n_docs` documents in seeded order; `whole_start` measures all of `df` as generation 0 instead.
-    Every generation is checkpointed, as it depends on the one before.
-    """
-    from ..functions.shared import checkpoint
-
-    spark = df.sparkSession
-    start = df.select("doc_id", "text")
-    now = start.orderBy(sampling.seeded(F.col("doc_id"), seed)).limit(n_docs)
-    rows = [measure(start if whole_start else now, 0)]
-    for g in range(1, generations + 1):
-        now = checkpoint(sample_corpus(spark, fit_sampler(now), n_docs, length, seed, g))
-        rows.append(measure(now, g))
-    return spark.createDataFrame(rows, MEASURES)
-
-
-def endpoint_changes(trajectory: DataFrame, *by: str) -> DataFrame:
-    """Rows (by, vocab_drop_pct, trigram_diversity_change, score_change) from the first to the last generation."""
-    first, last = (lambda c: F.min_by(c, "generation")), (lambda c: F.max_by(c, "generation"))
-    return trajectory.groupBy(*by).agg(
-        F.coalesce(100 * F.try_divide(first("vocab") - last("vocab"), first("vocab")), F.lit(0.0)).alias("vocab_drop_pct"),
-        (last("trigram_diversity") - first("trigram_diversity")).alias("trigram_diversity_change"),
-        (last("mean_synth_score") - first("mean_synth_score")).alias("score_change"),
-    )

@@ -1,29 +1,52 @@
-"""Registered queries that simulate: generated stand-ins, controlled experiments and recursive collapse (no SQL: seeded sampling)."""
+"""Registered queries that simulate: generated stand-ins, controlled experiments and recursive collapse."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import simulate
+from . import collapse, simulate
 from .catalog import query, table
+from .standins import datasets_sql, generation_specs, make_datasets
+from .text_queries import SCORED, SIGNALS, NEAREST
 
+_MIXED = [(0.0, 25, 0.5, 1), (1.0, 25, 0.3, 2), (2.0, 10, 1.0, 4), (3.0, 10, 0.0, 3)]
 
-@query()
+
+@query(f"select doc_id::bigint as doc_id, text, label, part from ({datasets_sql(_MIXED)})")
+def standin_texts(spark, sf_dir):
+    return make_datasets(spark, _MIXED)
+
+
+def _made(specs) -> str:
+    """`documents` as stand-in texts, with their label as language and part as source."""
+    return f"documents as (select doc_id, text, label as lang, part as source, length(text) as n_chars from ({datasets_sql(specs)}))"
+
+
+_COUNTS = "count(*) filter (where f and a) as tp, count(*) filter (where f and not a) as fp, count(*) filter (where not f and a) as fn, count(*) filter (where not f and not a) as tn"
+_JUDGED = "j as (select *, synthetic_likelihood >= 50 as f, lang = 'synthetic' as a from scored)"
+
+
+@query(f"""with {_made(simulate.sweep_specs())}, {SCORED}, {_JUDGED}, c as (select source as level, {_COUNTS} from j group by source), r as (select *, case when tp + fp > 0 then tp / (tp + fp) else 0.0 end as precision, case when tp + fn > 0 then tp / (tp + fn) else 0.0 end as recall from c)
+select level, tp::bigint as tp, fp::bigint as fp, fn::bigint as fn, tn::bigint as tn, round((tp + tn) / (tp + fp + fn + tn), 6) as accuracy, round(precision, 6) as precision, round(recall, 6) as recall, round(case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0.0 end, 6) as f1, round((tp + fp) / (tp + fp + fn + tn), 4) as estimated from r""")
 def contamination_sweep(spark, sf_dir):
-    return simulate.contamination_sweep(spark)
+    d = simulate.contamination_sweep(spark)
+    return d.withColumns({c: F.round(c, 6) for c in ("accuracy", "precision", "recall", "f1")})
 
 
-@query()
+@query(f"""with {_made(generation_specs())}, {SCORED}, {_JUDGED} select source::int as generation, round(avg((f = a)::int), 6) as accuracy, round(coalesce(avg(synthetic_likelihood) filter (where a), 0) - coalesce(avg(synthetic_likelihood) filter (where not a), 0), 4) as mean_separation from j group by source""")
 def generation_degradation(spark, sf_dir):
-    return simulate.generation_degradation(spark)
+    return simulate.generation_degradation(spark).select("generation", F.round("accuracy", 6).alias("accuracy"), F.round("mean_separation", 4).alias("mean_separation"))
 
 
-@query()
+@query(f"""with o as ({datasets_sql([(0.0, 20, 1.0, 1)])}), benchmark as (select doc_id as item_id, text from o),
+documents as (select * from (select doc_id, text, 'fed' as lang, '' as source from o order by md5('1234:' || doc_id) limit 10) union all select doc_id + 20, text, 'new', '' from ({datasets_sql([(0.0, 10, 0.0, 2)])})), {SIGNALS}, {NEAREST},
+r as (select lang, coalesce(round(similarity, 3) >= 0.5, false) as caught from sig left join near using (doc_id))
+select count(*) filter (where lang = 'fed')::bigint as injected, count(*) filter (where lang = 'fed' and caught)::bigint as caught, count(*) filter (where lang = 'fed' and caught) / count(*) filter (where lang = 'fed') as catch_rate, count(*) filter (where lang = 'new' and caught)::bigint as false_alarms from r""")
 def recycling(spark, sf_dir):
     return simulate.recycling(spark)
 
 
-@query()
+@query(f"with {_made([(0.0, 100, 0.0, 1)])}, {SCORED} select count(*)::bigint as total, count(*) filter (where synthetic_likelihood >= 50)::bigint as flagged, count(*) filter (where synthetic_likelihood >= 50) / count(*) as rate from scored")
 def false_positives(spark, sf_dir):
     return simulate.false_positives(spark)
 
@@ -32,15 +55,14 @@ def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+# Each generation is drawn from a model of the one before: no SQL; tests hold model, draws and measures against plain Python.
+
+
 @query()
 def collapse_trajectory(spark, sf_dir):
-    return simulate.recursive_collapse(_docs(spark, sf_dir), generations=3)
+    return collapse.recursive_collapse(_docs(spark, sf_dir))
 
 
 @query()
 def collapse_scaling(spark, sf_dir):
-    out = None
-    for n in (50, 150):
-        part = simulate.recursive_collapse(_docs(spark, sf_dir), 2, n, whole_start=True).withColumn("n_docs", F.lit(n))
-        out = part if out is None else out.union(part)
-    return simulate.endpoint_changes(out, "n_docs")
+    return collapse.scaling(_docs(spark, sf_dir))

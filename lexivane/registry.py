@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import catalog, corpus_queries, evaluation_queries, simulation_queries, text_queries  # noqa: F401
+from .plans import catalog, corpus_queries, evaluation_queries, simulation_queries, source_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -75,6 +75,20 @@ def collect_generations(df: DataFrame, text_col: str = "generation", order_col:
     return clean_answers(kept, text_col).orderBy(order_col).limit(target)
 
 
+def read_generations(spark: SparkSession, path: str, generator: str, where: Column | None = None) -> DataFrame:
+    """The rows of one generator from a table partitioned by `generator`; the other partitions are not read.
+
+    `where` is a further condition, which reaches the Parquet scan.
+    """
+    d = spark.read.parquet(path).where(F.col("generator") == generator)
+    return d if where is None else d.where(where)
+
+
+def page(df: DataFrame, order_col: str, offset: int, length: int) -> DataFrame:
+    """The rows `offset` to `offset + length` in an order."""
+    return df.orderBy(order_col).offset(offset).limit(length)
+
+
 def read_cache(spark: SparkSession, path: str, *features: str) -> DataFrame:
     """Rows (h, features) of a tab-separated cache; malformed rows are skipped and the last row of a key holds."""
     parts = F.split("value", "\t", -1)

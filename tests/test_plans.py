@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from lexivane.functions import signals
 from lexivane.operators import classify, neural
-from lexivane.plans import monitor, simulate
+from lexivane.plans import collapse, monitor, simulate, standins
 from lexivane.sources import readers, sinks
 from lexivane.streaming import health
 
@@ -89,14 +89,73 @@ def test_monitor_command_line(spark, tmp_path):
 def test_experiments_have_the_expected_shape(spark):
     sweep = {round(r["level"], 1): r for r in simulate.contamination_sweep(spark).collect()}
     assert min(r["accuracy"] for r in sweep.values()) > 0.85 and sweep[0.0]["estimated"] < 0.1 < 0.9 < sweep[1.0]["estimated"]
-    assert simulate.recycling(spark).first()["catch_rate"] == 1.0
+    fed = simulate.recycling(spark).first()
+    assert fed["injected"] == 10 and fed["catch_rate"] == 1.0 and fed["false_alarms"] == 0
     assert simulate.false_positives(spark).first()["rate"] < 0.05
 
 
-def test_collapse_loses_vocabulary(spark, sf):
+def test_standins_are_shuffled_and_round_half_to_even(spark):
+    rows = standins.make_datasets(spark, [(0.0, 25, 0.5, 1), (1.0, 10, 0.25, 2)]).orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in rows] == list(range(35))
+    first, second = [[r["label"] for r in rows if r["part"] == p] for p in (0.0, 1.0)]
+    assert first.count("synthetic") == 12 and second.count("synthetic") == 2 and first != sorted(first) and first != sorted(first, reverse=True)
+    assert all(r["text"].endswith(".") and 4 <= r["text"].count(". ") + 1 <= (7 if r["label"] == "synthetic" else 9) for r in rows)
+
+
+def plain_text(corpus_texts, u, length):
+    """A text of the trigram model in plain Python."""
+    tables, starts = [{}, {}, {}], Counter()
+    for t in corpus_texts:
+        w = re.findall(r"[a-z']+|[.!?]", t.lower())
+        if len(w) >= 2:
+            starts[w[0], w[1]] += 1
+        for n in (1, 2, 3):
+            for k in range(len(w) - n + 1):
+                tables[n - 1].setdefault(tuple(w[k : k + n - 1]), Counter())[w[k + n - 1]] += 1
+
+    def pick(counts, x):
+        upto, total = 0, sum(counts.values())
+        for w, c in sorted(counts.items()):
+            upto += c
+            if upto >= x * total:
+                return w
+
+    out = list(pick(starts, u[0]))
+    while len(out) < length:
+        counts = tables[2].get(tuple(out[-2:])) or tables[1].get((out[-1],)) or tables[0][()]
+        out.append(pick(counts, u[len(out) - 1]))
+    return re.sub(r"\s+([.!?])", r"\1", " ".join(out))
+
+
+def test_sampler_and_joins_draw_what_plain_python_draws(spark, sf):
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").where("n_chars between 100 and 2000").limit(12).collect()]
+    texts += ["dead end", "one", "", "dead end."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts, length = collapse.Counts.fit(df), 14
+    u = {r["doc_id"]: r["u"] for r in collapse.draws(spark, 30, length, 5, 1).collect()}
+    want = {i: plain_text(texts, x, length) for i, x in u.items()}
+    assert {r["doc_id"]: r["text"] for r in collapse.sample_corpus(spark, counts, 30, length, 5, 1).collect()} == want
+    few = {i: plain_text(texts, x, 5) for i, x in u.items() if i < 9}
+    joined = collapse.joined_corpus(collapse.draws(spark, 9, length, 5, 1), counts, 5)
+    assert {r["doc_id"]: r["text"] for r in joined.collect()} == few
+    nothing = collapse.Counts.fit(df.where("doc_id < 0"))
+    assert {r["text"] for r in collapse.sample_corpus(spark, nothing, 3, 4, 1, 1).collect()} == {""} == {r["text"] for r in collapse.joined_corpus(collapse.draws(spark, 3, 4, 1, 1), nothing, 4).collect()}
+
+
+def test_collapse_loses_vocabulary_and_is_measured_as_by_hand(spark, sf, tmp_path, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("n_chars < 3000").select("doc_id", "text")
-    t = simulate.recursive_collapse(docs, 2, 40, 40).orderBy("generation").collect()
+    made = collapse.generations(docs, 2, 40, 40)
+    t = collapse.measure(made).orderBy("generation").collect()
     assert t[0]["vocab"] > t[1]["vocab"] > t[2]["vocab"] and t[1]["trigram_diversity"] <= 1
+    for r in t:
+        texts = [x["text"] for x in made.where(F.col("generation") == r["generation"]).orderBy("doc_id").collect()]
+        words = [w for x in texts for w in re.findall(r"[a-z']+|[.!?]", x.lower()) if re.fullmatch("[a-z]+", w)]
+        tri = list(zip(words, words[1:], words[2:]))
+        assert (r["vocab"], r["ttr"], r["trigram_diversity"]) == (len(set(words)), pytest.approx(len(set(words)) / len(words)), pytest.approx(len(set(tri)) / len(tri)))
+    state = str(tmp_path / "state")
+    rows = collapse.scaling(docs, (20,), 1, (1, 2), 20, state).collect()
+    monkeypatch.setattr(collapse, "recursive_collapse", lambda *a: pytest.fail("made anew"))
+    assert collapse.scaling(docs, (20,), 1, (1, 2), 20, state).collect() == rows and len(rows) == 2
 
 
 def test_logistic_regression_on_the_driver_and_on_executors(spark, monkeypatch):
