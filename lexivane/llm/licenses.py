@@ -116,8 +116,6 @@ TEMPLATES = (
 )
 #: Every template holds one of these, perhaps across a line end; a text without any is not looked at further.
 ANCHOR = r"licen[sc]e|all\W+rights\W+reserved|all\W+copyright|permission\W+(?:is|to)|redistribution\W+and\W+use|prior\W+written\W+permission|free\W+software|unencumbered|without\W+(?:any\W+)?(?:express|warranty)|under\W+(?:cc\W|a\W+creative\W+commons|the\W+gnu\W)"
-#: Least size reduction of a window, as a share of what the template's own text gains, to be compared word by word.
-LEAST_REDUCTION = 0.5
 #: Least share of a template's words that a window has in order, and most words between them, as a share of it.
 LEAST_WORDS, SLACK = 0.9, 0.25
 #: Words before a notice, in its sentence, that may deny it.
@@ -169,9 +167,10 @@ class Scanner:
     def scan(self, text: str) -> list[tuple]:
         """(license, template, reduction, missing, added) of the licenses that a text holds, most bytes saved first.
 
-        Windows are ranked by the bytes that the template saves, as a share of what it saves on itself; that does not
-        depend on what surrounds a notice. The winners are confirmed by their exact differences in wording. Of two
-        licenses one of whose notices lies within the other's, the one that saves more holds.
+        Windows are ranked by the bytes that the template saves and then confirmed by their exact differences in wording.
+        Of two licenses one of whose notices lies within the other's, the one that saves more holds. No saving is asked
+        for as such: how well a short notice is compressed hangs on the words around it. `reduction` is a share of what
+        the template saves on itself.
         """
         placed = words_of(text)
         words = [w for w, _, _ in placed]
@@ -179,8 +178,6 @@ class Scanner:
         best: dict[str, tuple] = {}
         taken: list[tuple[int, int, str]] = []
         for saved, k, lo, hi in ranked:
-            if saved < LEAST_REDUCTION * self.gain[k]:
-                continue
             missing, added, first, last = differences(self.words[k], words[lo:hi])
             if not confirmed(self.words[k], missing, added) or denied(text, placed, lo + first):
                 continue

@@ -276,6 +276,7 @@ def test_licenses(spark, odd, none):
         ("This is not licensed under CC BY 4.0.", set()),
         ("It was never released under the MIT License, nor licensed under CC BY 4.0.", set()),
         ("It is not ours. Released under the MIT License.", {"MIT"}),
+        ("In, of the inanin. Thonst aonthrein thedtiou anon.\nReleased under the MIT License.", {"MIT"}),
         ("prose " * 3000 + full["MIT"] + " prose" * 3000, {"MIT"}),
         (full["BSD-3-Clause"], {"BSD-3-Clause"}),
         (full["BSD-2-Clause"], {"BSD-2-Clause"}),
@@ -323,7 +324,7 @@ def brute_licenses(scanner, text):
             window = words[lo : lo + n + 2 * slack]
             saved = scanner.saved(k, window)
             missing, added, first, last = licenses.differences(template, window)
-            if saved >= licenses.LEAST_REDUCTION * scanner.gain[k] and licenses.confirmed(template, missing, added) and not licenses.denied(text, placed, lo + first):
+            if licenses.confirmed(template, missing, added) and not licenses.denied(text, placed, lo + first):
                 found.append((-saved, k, lo + first, lo + last, scanner.names[k]))
     out, taken = set(), []
     for _, _, a, b, name in sorted(found):
