@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import fresh
+
 
 def with_key(df: DataFrame, text_col: str = "text") -> DataFrame:
     """`df` plus `h`, the md5 of the text (null counts as empty)."""
@@ -35,6 +37,7 @@ def distinct_union(parts: list[DataFrame], order_col: str, text_col: str = "text
 
 
 def first_by_prefix(df: DataFrame, text_col: str, order_col: str, length: int = 80) -> DataFrame:
-    """Rows whose first `length` characters no earlier row has."""
-    w = Window.partitionBy(F.substring(text_col, 1, length)).orderBy(order_col)
-    return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    """Rows whose first `length` characters no earlier row has. Aggregated before the shuffle, so equal openings don't gather."""
+    opening, row = fresh(df, "opening", "row")
+    first = df.select(F.substring(text_col, 1, length).alias(opening), F.struct(*df.columns).alias(row), order_col)
+    return first.groupBy(opening).agg(F.min_by(row, order_col).alias(row)).select(f"{row}.*")

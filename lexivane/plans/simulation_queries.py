@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import collapse, simulate
+from ..functions import signals
+from . import collapse, demo, simulate
 from .catalog import query, table
 from .standins import datasets_sql, generation_specs, make_datasets
-from .text_queries import SCORED, SIGNALS, NEAREST
+from .text_queries import NEAREST, SCORED, SIGNALS, score_sql
 
 _MIXED = [(0.0, 25, 0.5, 1), (1.0, 25, 0.3, 2), (2.0, 10, 1.0, 4), (3.0, 10, 0.0, 3)]
 
@@ -51,6 +52,23 @@ def false_positives(spark, sf_dir):
     return simulate.false_positives(spark)
 
 
+_NAMES = " ".join(f"when {spec[0]!r} then '{name}'" for name, spec in demo.SCENARIOS)
+_FED = demo.SCENARIOS[3][0]
+
+
+@query(f"""with o as ({datasets_sql([demo.KNOWN])}), benchmark as (select doc_id as item_id, text from o),
+documents as (select doc_id, text, case part {_NAMES} end as lang, '' as source from ({datasets_sql([spec for _, spec in demo.SCENARIOS])}) union all select * from (select doc_id + 1000, text, '{_FED}', '' from o order by md5('1234:' || doc_id) limit {demo.FED})), {SIGNALS}, {NEAREST},
+r as (select * replace (case when lang = '{_FED}' then coalesce(similarity, 0.0) else 0.0 end as duplicate_similarity) from sig left join near using (doc_id)), s as (select lang as scenario, {score_sql()} as x from r)
+select scenario, count(*)::bigint as total, count(*) filter (where x >= 50)::bigint as predicted_synthetic, round(count(*) filter (where x >= 50) / count(*), 4) as estimated_contamination from s group by scenario""".replace("), s as (select lang", "), sx as (select lang").replace("from s group by scenario", "from sx group by scenario"))
+def demo_scenarios(spark, sf_dir):
+    return signals.verdict(demo.scenarios(spark), "scenario")
+
+
+@query("select unnest(['functions.signals', 'operators.corpus', 'operators.classify', 'plans.monitor', 'plans.standins', 'sources.readers', 'streaming.health', 'score']) as component, true as ok")
+def health_check(spark, sf_dir):
+    return demo.check(spark)
+
+
 def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 

@@ -250,6 +250,80 @@ def test_features_refuse_to_overwrite(spark):
     assert (kept["toks"], kept["lens"]) == ("mine", "x")
 
 
+def test_demo_and_its_check(spark, capsys):
+    from lexivane.plans import demo
+
+    assert demo.main([], spark) == 0 and demo.main(["--check"], spark) == 0
+    out = capsys.readouterr().out
+    assert all(name in out for name, _ in demo.SCENARIOS) and "operators.corpus" in out
+    share = {r["scenario"][0]: r["estimated_contamination"] for r in signals.verdict(demo.scenarios(spark), "scenario").collect()}
+    assert share["1"] <= 0.1 and share["5"] == 1.0 and share["2"] < share["3"] and share["4"] >= 0.35
+
+
+def test_lines_answers_and_state(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    sinks.write_lines(spark.createDataFrame([(1, "a\n b"), (2, None)], "doc_id long, text string"), path)
+    assert [r["text"] for r in readers.read_lines(spark, path).collect()] == ["a b"]
+    (tmp_path / "qa.jsonl").write_text("\n".join(json.dumps({"human_answers": [f"h{k} " * 300, "too short"], "chatgpt_answers": None if k % 2 else [f"m{k} " * 70]}) for k in range(6)))
+    got = readers.read_answers(spark, str(tmp_path / "qa.jsonl")).collect()
+    assert sorted(r["label"] for r in got) == [0, 0, 0, 1, 1, 1] and {len(r["text"].split()) for r in got if not r["label"]} == {250}
+    state = str(tmp_path / "state")
+    assert sinks.read_state(spark, state, "a int").count() == 0
+    sinks.append_state(spark.createDataFrame([(1,)], "a int"), state, step=1)
+    sinks.append_state(spark.createDataFrame([(2,)], "a int"), state, step=2)
+    assert sorted(tuple(r) for r in sinks.read_state(spark, state, "a int, step int").collect()) == [(1, 1), (2, 2)]
+
+
+def test_generations_are_pruned_and_paged(spark, tmp_path):
+    path = str(tmp_path / "g")
+    d = spark.range(40).select(F.col("id").alias("row_id"), F.when(F.col("id") < 30, "m1").otherwise("m2").alias("generator"), F.repeat(F.lit("word "), 70).alias("generation"))
+    sinks.write_generations(d, path)
+    sinks.write_generations(d.where("generator = 'm1'"), path)
+    one = readers.read_generations(spark, path, "m2", F.col("row_id") > 32)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(generator" in plan and "GreaterThan(row_id,32)" in plan
+    assert [r["row_id"] for r in readers.page(one, "row_id", 2, 3).collect()] == [35, 36, 37]
+    assert readers.read_generations(spark, path, "m1").count() == 30
+    assert [r["row_id"] for r in readers.collect_generations(d).collect()] == [0]
+
+
+def test_unusable_features_and_prefixes(spark):
+    from lexivane.operators import caches
+
+    d = spark.createDataFrame([(1, 1.0), (2, float("nan")), (3, None)], "doc_id long, f double")
+    assert [r["doc_id"] for r in caches.usable(d, "f").collect()] == [1]
+    same = spark.createDataFrame([(3, "x" * 90 + "a"), (1, "x" * 90 + "b"), (2, "y"), (4, None), (5, None)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in caches.first_by_prefix(same, "text", "doc_id").collect()) == [1, 2, 4]
+
+
+def test_rank_scorer(spark):
+    score = neural.rank_scorer(neural.unigram_ranks([("a", 3), ("b", 1), ("c", 1)]))
+    d = spark.createDataFrame([(1, "A a b"), (2, ""), (3, "zzz")], "doc_id long, text string").select("doc_id", score(F.col("text")).alias("x"))
+    got = {r["doc_id"]: tuple(r["x"]) for r in d.collect()}
+    assert got[1] == (pytest.approx((2 * math.log(4 / 8) + math.log(2 / 8)) / 3), 1.0) and got[3] == (pytest.approx(math.log(1 / 8)), 1.0)
+    assert all(map(math.isnan, got[2]))
+
+
+def test_late_rows_are_dropped_and_batches_are_scored(spark, tmp_path):
+    """A row over an hour behind the watermark does not count; one within it does. Each batch is scored once."""
+    src = tmp_path / "in"
+    src.mkdir()
+    stream = health.windowed_health(spark.readStream.schema("ts timestamp, text string").option("maxFilesPerTrigger", 1).parquet(str(src)), every="1 hour")
+    for k, (at, text) in enumerate([("10:10", "first"), ("12:30", "second"), ("11:40", "late but in time"), ("10:20", "much too late"), ("15:00", "third")]):
+        spark.sql(f"select timestamp'2024-01-01 {at}:00' as ts, '{text}' as text").coalesce(1).write.mode("append").parquet(str(src))
+        part = max(src.glob("*.parquet"), key=os.path.getmtime)
+        os.utime(part, (1_700_000_000 + k, 1_700_000_000 + k))
+    q = stream.writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    got = {str(r["start"])[11:13]: r["n_docs"] for r in spark.table("late").collect()}
+    assert got == {"10": 1, "11": 1, "12": 1}
+    seen = []
+    act = lambda df, k: seen.extend((k, r["text"], r["synthetic_likelihood"] >= 0) for r in df.collect())
+    for _ in range(2):
+        health.on_batch(spark.readStream.schema("ts timestamp, text string").parquet(str(src)), act, str(tmp_path / "ck2")).awaitTermination(180)
+    assert sorted(t for _, t, ok in seen if ok) == sorted(["first", "second", "much too late", "late but in time", "third"])
+
+
 def test_streaming_health(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.sql("select timestamp'2024-01-01 10:00:00' as ts, 'one two. three' as text union all select timestamp'2024-01-01 11:00:00', 'one' union all select timestamp'2024-01-02 10:00:00', ''").write.parquet(src)
