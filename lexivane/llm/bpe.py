@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 import re
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +84,7 @@ class Vocabulary:
         # cut there first; what a chunk splits into does not depend on its neighbours. Of no other pattern is that known.
         cut = pattern == CUT_PATTERN
         self.chunks = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall if cut else self._matches
-        self.pieces = self._matches if cut else lambda chunk: [chunk]
+        self.pieces = self.fine.findall if cut else lambda chunk: [chunk]
         self.known: dict[str, tuple[int, ...]] = {}
         self.held = 0
 
@@ -170,25 +172,26 @@ class Vocabulary:
         """Ids of every whole text; None gives none."""
         cut = [self.chunks(t) if t else [] for t in texts]
         known = self.known
-        new = {c for chunk in cut for c in chunk if c not in known}
+        seen = set(chain.from_iterable(cut))
+        new = seen.difference(known)
         size = sum(map(len, new))
         if self.held + size > REMEMBERED and known:
             known.clear()
-            new = {c for chunk in cut for c in chunk}
-            self.held, size = 0, sum(map(len, new))
+            new, self.held, size = seen, 0, sum(map(len, seen))
         self.held += size
-        self._learn(list(new))
-        return [[i for c in chunk for i in known[c]] for chunk in cut]
+        gc.disable()  # nothing here refers to itself, and each collection would go through all that is known
+        try:
+            self._learn(list(new))
+        finally:
+            gc.enable()
+        return [list(chain.from_iterable(map(known.__getitem__, chunk))) for chunk in cut]
 
     def _learn(self, chunks: list[str]) -> None:
-        split = [self.pieces(c) for c in chunks]
-        place: dict[str, int] = {}
-        for s in split:
-            for p in s:
-                place.setdefault(p, len(place))
-        ids = self.encode_pieces([p.encode() for p in place])
+        split = list(map(self.pieces, chunks))
+        pieces = list(set(chain.from_iterable(split)))
+        ids = dict(zip(pieces, self.encode_pieces(list(map(str.encode, pieces)))))
         for c, s in zip(chunks, split):
-            self.known[c] = ids[place[s[0]]] if len(s) == 1 else tuple(i for p in s for i in ids[place[p]])
+            self.known[c] = ids[s[0]] if len(s) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, s)))
 
     def decode(self, ids: list[int] | None) -> bytes:
         """Bytes of a list of ids, whether or not they form whole characters."""

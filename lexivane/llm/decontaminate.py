@@ -75,16 +75,20 @@ class ItemIndex:
         for t, p in enumerate(self.postings):
             for n, x in p:
                 self.bounds[t][n // block] = max(self.bounds[t].get(n // block, 0.0), x)
-        self.blocks = [np.array(list(b), dtype=np.int64) for b in self.bounds]
-        self.maxima = [np.array(list(b.values()), dtype=np.float64) for b in self.bounds]
+        # The same term after term, to sum the maxima of many terms at once.
+        self.sizes = np.array([len(b) for b in self.bounds], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.blocks = np.array([n for b in self.bounds for n in b], dtype=np.int64)
+        self.maxima = np.array([x for b in self.bounds for x in b.values()], dtype=np.float64)
         self.longest = max((sum(c.values()) for c in held), default=0)
 
     def _block_bound(self, terms: np.ndarray) -> float:
         """Largest sum over a block of the terms' maxima there."""
-        if not len(terms):
+        n = self.sizes[terms]
+        if not n.sum():
             return 0.0
-        at = np.concatenate([self.blocks[t] for t in terms])
-        return float(np.bincount(at, np.concatenate([self.maxima[t] for t in terms])).max())
+        at = np.arange(n.sum()) + np.repeat(self.starts[terms] - np.cumsum(n) + n, n)
+        return float(np.bincount(self.blocks[at], self.maxima[at]).max())
 
     def search(self, terms: list[int], least: float) -> Iterator[tuple[int, float]]:
         """All (item, score) with at least `least`, by block-max WAND over the distinct terms of a passage."""
