@@ -24,19 +24,22 @@ SIGNALS = tuple(WEIGHTS)
 
 
 #: Helper columns of `with_features`; a caller's columns of these names are refused rather than overwritten.
-TOKENS, LENGTHS, TRIGRAMS = "_tokens", "_lengths", "_trigrams"
+TOKENS, LENGTHS, TRIGRAMS, HITS = "_tokens", "_lengths", "_trigrams", "_hits"
 
 
 def with_features(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """`df` plus what several signals share, each computed once a row: tokens, sentence lengths, and hashes of trigrams.
+    """`df` plus what several signals share, each computed once a row: tokens, sentence lengths, trigram hashes, phrase hits.
+
+    Each is a column before the next one reads it: inside a condition, what is read twice would be computed twice.
 
     The trigrams of a text are told apart by 64-bit hashes, and sorted only where some are equal; otherwise the
     array is null, and there are two less trigrams than tokens.
     """
-    if taken := {TOKENS, LENGTHS, TRIGRAMS} & set(df.columns):
+    if taken := {"_low", "_marked", TOKENS, LENGTHS, TRIGRAMS, HITS} & set(df.columns):
         raise ValueError(f"columns with reserved names: {sorted(taken)}")
-    df = df.withColumn("_marked", T.marked_tokens(text_col)).withColumn(LENGTHS, T.run_lengths("_marked"))
-    df = df.withColumn(TOKENS, F.array_remove(F.array_remove(F.array_remove("_marked", "."), "!"), "?")).drop("_marked")
+    df = df.withColumn("_low", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    df = df.withColumns({"_marked": T.marked_in("_low"), HITS: T.hits_in("_low")}).drop("_low").withColumn(LENGTHS, T.run_lengths("_marked"))
+    df = df.withColumn(TOKENS, F.filter("_marked", lambda w: ~w.isin(".", "!", "?"))).drop("_marked")
     hashed = F.expr(f"if(size({TOKENS}) < 3, array(), transform(sequence(0, size({TOKENS}) - 3), i -> xxhash64({TOKENS}[i], {TOKENS}[i + 1], {TOKENS}[i + 2])))")
     df = df.withColumn(TRIGRAMS, hashed)
     return df.withColumn(TRIGRAMS, F.when(F.size(F.array_distinct(TRIGRAMS)) < F.size(TRIGRAMS), F.sort_array(TRIGRAMS)))
@@ -65,7 +68,7 @@ def with_signals(df: DataFrame, text_col: str = "text", references: DataFrame |
     d = d.select(
         *columns,
         F.when(n <= 0, 0.0).when(all_differ, 0.0).otherwise((n - single) / n).alias("repetition"),
-        F.when(tokens > 0, T.clamp(T.filler_hits(text_col) / F.greatest(F.lit(1.0), tokens / 50.0))).otherwise(0.0).alias("filler_density"),
+        F.when(tokens > 0, T.clamp(F.col(HITS) / F.greatest(F.lit(1.0), tokens / 50.0))).otherwise(0.0).alias("filler_density"),
         F.when(tokens > 0, F.size(F.array_distinct(TOKENS)) / tokens).otherwise(0.0).alias("lexical_diversity"),
         F.when(n <= 0, 0.0).when(all_differ, 1.0).otherwise(new / n).alias("ngram_diversity"),
         T.clamp(F.coalesce(variation(), F.lit(0.0))).alias("burstiness"),

@@ -52,7 +52,12 @@ def word_tokens(text: Column | str) -> Column:
 
 def marked_tokens(text: Column | str) -> Column:
     """Word tokens and single sentence marks, in order."""
-    return F.regexp_extract_all(F.lower(_text(text)), F.lit(f"({WORD_OR_MARK})"), F.lit(1))
+    return marked_in(F.lower(_text(text)))
+
+
+def marked_in(low: Column | str) -> Column:
+    """`marked_tokens` of a text that is lower-cased already."""
+    return F.regexp_extract_all(low, F.lit(f"({WORD_OR_MARK})"), F.lit(1))
 
 
 def alpha_tokens(text: Column | str) -> Column:
@@ -128,7 +133,12 @@ def shingles(tokens: Column | str, k: int = 5, empty: bool = True) -> Column:
 
 def filler_hits(text: Column | str) -> Column:
     """Non-overlapping occurrences of each phrase in the lower-cased text, summed over phrases."""
-    low = F.lower(_text(text))
+    return once(F.lower(_text(text)), hits_in)
+
+
+def hits_in(low: Column | str) -> Column:
+    """`filler_hits` of a text that is lower-cased already."""
+    low = F.col(low) if isinstance(low, str) else low
     hits = F.lit(0)
     for p in FILLER_PHRASES:
         hits = hits + ((F.length(low) - F.length(F.replace(low, F.lit(p), F.lit("")))) / len(p)).cast("int")

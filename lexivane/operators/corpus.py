@@ -39,45 +39,65 @@ def token_counts(d: DataFrame) -> DataFrame:
     )
 
 
-def sequence_ngrams(toks: DataFrame, *ns: int) -> DataFrame:
-    """Rows (part, n, pos, g): the n-grams of a part's `tokenised` documents written one after another, for each n.
+def _starts(toks: DataFrame) -> DataFrame:
+    """Rows (row, at): how many tokens of its part stand before a document. Only sizes are put in order."""
+    sizes = toks.select("part", "o", "row", F.size("toks").alias("n"))
+    return running_totals(sizes, [F.col("o"), F.col("row")], {"upto": F.col("n")}, "part").select("row", (F.col("upto") - F.col("n")).alias("at"))
 
-    Only sizes are put in order. N-grams inside a document come from its own array; those that cross borders are put
-    together from the first and last tokens of documents, so the token sequence is never sorted as a whole.
+
+def _across(toks: DataFrame, at: DataFrame, *ns: int) -> DataFrame:
+    """Rows (part, n, pos, t): the words of the n-grams that cross borders of documents.
+
+    They are put together from the first and last tokens of documents, so the token sequence is never sorted as a whole.
     """
-    at = running_totals(toks.select("part", "o", "row", F.size("toks").alias("n")), [F.col("o"), F.col("row")], {"upto": F.col("n")}, "part")
-    d = toks.where("size(toks) > 0").join(at.select("row", (F.col("upto") - F.col("n")).alias("at")), "row").select("part", "at", "toks")
-    grams = F.concat(*(_numbered(T.ngrams("toks", n), n) for n in ns))
-    inside = d.select("part", "at", F.explode(grams).alias("x")).select("part", "x.n", (F.col("at") + F.col("x.i")).alias("pos"), "x.g")
-    most, out = max(ns), inside
-    if most == 1:
-        return out
+    most, size = max(ns), F.size("toks")
     ends = F.filter(F.transform("toks", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: (x["i"] < most - 1) | (x["i"] > F.size("toks") - most))
-    edge = checkpoint(d.select("part", "at", F.size("toks").alias("size"), F.explode(ends).alias("x")).select("part", "at", "size", "x.i", "x.w"))
+    edge = toks.where("size(toks) > 0").select("part", "row", size.alias("size"), F.explode(ends).alias("x")).select("part", "row", "size", "x.i", "x.w")
+    edge = checkpoint(edge.join(at, "row"))
+    out = None
     for n in ns:
-        if n == 1:
-            continue
         near = edge.where((F.col("i") < n - 1) | (F.col("i") > F.col("size") - n))
         placed = near.select("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"), "at", "i", "size", "w")
         starts = placed.select("part", (F.col("at") + F.col("i") - F.col("k")).alias("pos"), "k", "w", ((F.col("k") == 0) & (F.col("i") > F.col("size") - n)).alias("tail"))
         cross = starts.groupBy("part", "pos").agg(F.sort_array(F.collect_list(F.struct("k", "w"))).alias("t"), F.bool_or("tail").alias("tail"))
-        cross = cross.where(F.col("tail") & (F.size("t") == n)).select("part", F.lit(n).alias("n"), "pos", F.array_join(F.transform("t", lambda x: x["w"]), " ").alias("g"))
-        out = out.union(cross)
+        cross = cross.where(F.col("tail") & (F.size("t") == n)).select("part", F.lit(n).alias("n"), "pos", F.transform("t", lambda x: x["w"]).alias("t"))
+        out = cross if out is None else out.union(cross)
     return out
 
 
-def _numbered(grams, n: int):
-    return F.transform(grams, lambda g, i: F.struct(F.lit(n).alias("n"), i.alias("i"), g.alias("g")))
+def _keys(n: int, toks: str, at: str) -> str:
+    """SQL of two hashes of the n tokens from a place on: 128 bits that stand for an n-gram."""
+    words = ", ".join(f"{toks}[{at} + {k}]" for k in range(n))
+    return f"struct(xxhash64({words}) as k1, xxhash64(1, {words}) as k2)"
+
+
+def _inside(n: int) -> str:
+    """SQL of the keys of all n-grams inside a document, in order."""
+    return f"if(size(toks) < {n}, cast(array() as array<struct<k1:bigint,k2:bigint>>), transform(sequence(0, size(toks) - {n}), i -> {_keys(n, 'toks', 'i')}))"
 
 
 def corpus_ngrams(df: DataFrame, n: int, order_col: str = "doc_id", text_col: str = "text", tokens=T.word_tokens) -> DataFrame:
     """Rows (pos, g): the n-grams of all documents' tokens written one after another, in the order of an id."""
-    return sequence_ngrams(tokenised(df, order_col, text_col, tokens), n).select("pos", "g")
+    toks = tokenised(df, order_col, text_col, tokens)
+    at = _starts(toks)
+    inside = toks.join(at, "row").select("at", F.posexplode(T.ngrams("toks", n)).alias("i", "g")).select((F.col("at") + F.col("i")).alias("pos"), "g")
+    return inside if n == 1 else inside.union(_across(toks, at, n).select("pos", F.array_join("t", " ")))
 
 
 def diversities(toks: DataFrame, *ns: int) -> DataFrame:
-    """Rows (part, n, total, distinct_ngrams, diversity) of `tokenised` documents, all in one pass; 0 without any n-gram."""
-    d = sequence_ngrams(toks, *ns).groupBy("part", "n", "g").agg(F.count("*").alias("c")).groupBy("part", "n").agg(F.sum("c").alias("total"), F.count("*").alias("distinct_ngrams"))
+    """Rows (part, n, total, distinct_ngrams, diversity) of `tokenised` documents; 0 without any n-gram.
+
+    N-grams are told apart by 128 bits of hashes, which are counted instead of strings.
+    """
+    grams = None
+    for n in ns:
+        own = toks.select("part", F.lit(n).alias("n"), F.explode(F.expr(_inside(n))).alias("k")).select("part", "n", "k.*")
+        grams = own if grams is None else grams.union(own)
+    if cross := [n for n in ns if n > 1]:
+        borders = _across(toks, _starts(toks), *cross)
+        key = F.expr("case n " + " ".join(f"when {n} then {_keys(n, 't', '0')}" for n in cross) + " end")
+        grams = grams.union(borders.select("part", "n", key.alias("k")).select("part", "n", "k.*"))
+    d = grams.groupBy("part", "n", "k1", "k2").agg(F.count("*").alias("c")).groupBy("part", "n").agg(F.sum("c").alias("total"), F.count("*").alias("distinct_ngrams"))
     d = toks.select("part").distinct().select("part", F.explode(F.lit(list(ns))).alias("n")).join(d, ["part", "n"], "left").fillna(0, ["total", "distinct_ngrams"])
     return d.withColumn("diversity", F.coalesce(F.try_divide(F.col("distinct_ngrams"), F.col("total")), F.lit(0.0)))
 
@@ -98,10 +118,20 @@ def repeated_ngrams(df: DataFrame, n: int = 5, top: int = 8, order_col: str = "d
 
 
 def most_repeated(toks: DataFrame, n: int = 5, top: int = 8) -> DataFrame:
-    grams = sequence_ngrams(toks, n)
-    best = grams.groupBy("g").agg(F.count("*").alias("c"), F.min("pos").alias("first")).orderBy(F.desc("c"), "first").limit(top)
+    """`repeated_ngrams` of `tokenised` documents. Keys are counted; words are looked up for the few that are reported."""
+    at = checkpoint(_starts(toks))
+    grams = toks.join(at, "row").select("at", F.posexplode(F.expr(_inside(n))).alias("i", "k")).select((F.col("at") + F.col("i")).alias("pos"), "k.*")
+    cross = checkpoint(_across(toks, at, n)) if n > 1 else None
+    if cross is not None:
+        grams = grams.union(cross.select("pos", F.expr(_keys(n, "t", "0")).alias("k")).select("pos", "k.*"))
+    best = grams.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.min("pos").alias("pos")).orderBy(F.desc("c"), "pos").limit(top)
+    best = checkpoint(best.select("pos", "c"))
+    own = toks.join(at, "row").join(F.broadcast(best), F.expr(f"pos >= at and pos <= at + size(toks) - {n}"))  # `top` rows
+    found = own.select("pos", "c", F.array_join(F.expr(f"slice(toks, cast(pos - at as int) + 1, {n})"), " ").alias("g"))
+    if cross is not None:
+        found = found.union(cross.join(F.broadcast(best), "pos").select("pos", "c", F.array_join("t", " ")))
     total = toks.agg(F.sum(F.size("toks")).alias("n_tokens"))
-    ranked = best.agg(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("m"), "first", "g", "c"))).alias("t")).select(F.posexplode("t").alias("i", "x"))
+    ranked = found.agg(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("m"), "pos", "g", "c"))).alias("t")).select(F.posexplode("t").alias("i", "x"))
     ranked = ranked.select((F.col("i") + 1).cast("long").alias("rank"), "x.g", "x.c")
     return ranked.join(F.broadcast(total), F.col("c") >= F.greatest(F.lit(3), F.floor(F.col("n_tokens") / 20000))).select("rank", "g", "c")  # one row
 
