@@ -85,8 +85,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """Rows (node, root) for every node of the undirected edges; root is the least node reachable.
 
     Alternates large-star and small-star steps over (node, smaller node) pairs. Each step moves as many
-    rows as there are edges, aggregates before it shuffles, and is checkpointed, so neither hubs nor long
-    chains gather in one place. Ends when a step changes nothing.
+    rows as there are edges, aggregates before it shuffles, and is checkpointed, so long chains take few steps.
+    The edges of a hub meet its one row of the aggregate in a join, whose large partitions Spark splits
+    (spark.sql.adaptive.skewJoin); callers tie large groups to their smallest node, so that a hub's edges are few
+    to others. Ends when a step changes nothing.
     """
     now = checkpoint(_ordered(edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))))
     state = _state(now)

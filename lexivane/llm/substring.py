@@ -203,6 +203,9 @@ def _chunks(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "chunk long, ids array<long>, counts binary, size long, packed binary")
 
 
+PACKED = ("chunk", "ids", "counts", "packed")
+
+
 class _Chunk:
     """A chunk opened again: its words, and the super-k-mers of its texts in the order of their bins."""
 
@@ -265,21 +268,25 @@ def _by_bin(df: DataFrame, work: Callable[[list[tuple]], Iterable[tuple]], schem
     return df.repartition("bin").sortWithinPartitions("bin").mapInArrow(run, ddl)
 
 
-def _shared(rows: list[tuple]) -> Iterable[tuple]:
-    """(chunk, bin, shared, hot): bits over a chunk's buckets in the bin, set where another chunk has it, and where it has many strings."""
-    entries = [np.frombuffer(e, dtype="<u8") for _, _, e in rows]
-    flat = np.concatenate(entries)
-    bucket, n = flat >> np.uint64(8), (flat & np.uint64(255)).astype(np.int64)
-    order = np.argsort(bucket)
-    first = np.flatnonzero(np.concatenate(([True], bucket[order[1:]] != bucket[order[:-1]])))
-    size = np.diff(np.append(first, len(order)))
-    shared, hot = np.zeros(len(flat), dtype=bool), np.zeros(len(flat), dtype=bool)
-    shared[order] = np.repeat(size > 1, size)
-    hot[order] = np.repeat((size > 1) & (np.add.reduceat(n[order], first) > HOT_STRINGS), size)
-    lo = 0
-    for (b, chunk, _), e in zip(rows, entries):
-        yield chunk, b, np.packbits(shared[lo : lo + len(e)]).tobytes(), np.packbits(hot[lo : lo + len(e)]).tobytes()
-        lo += len(e)
+def _shared(most: int) -> Callable[[list[tuple]], Iterable[tuple]]:
+    """(chunk, bin, shared, hot): bits over a chunk's buckets in the bin, set where another chunk has it, and where over `most` strings are in it."""
+
+    def work(rows: list[tuple]) -> Iterable[tuple]:
+        entries = [np.frombuffer(e, dtype="<u8") for _, _, e in rows]
+        flat = np.concatenate(entries)
+        bucket, n = flat >> np.uint64(8), (flat & np.uint64(255)).astype(np.int64)
+        order = np.argsort(bucket)
+        first = np.flatnonzero(np.concatenate(([True], bucket[order[1:]] != bucket[order[:-1]])))
+        size = np.diff(np.append(first, len(order)))
+        shared, hot = np.zeros(len(flat), dtype=bool), np.zeros(len(flat), dtype=bool)
+        shared[order] = np.repeat(size > 1, size)
+        hot[order] = np.repeat((size > 1) & (np.add.reduceat(n[order], first) > most), size)
+        lo = 0
+        for (b, chunk, _), e in zip(rows, entries):
+            yield chunk, b, np.packbits(shared[lo : lo + len(e)]).tobytes(), np.packbits(hot[lo : lo + len(e)]).tobytes()
+            lo += len(e)
+
+    return work
 
 
 _STRINGS = "bin long, chunk long, docs binary, at binary, size binary, packed binary"
@@ -368,9 +375,9 @@ def repeated_ranges(chunks: DataFrame, window: int = WINDOW, m: int = MINIMISER)
     """
     total = chunks.agg(F.sum("size")).first()[0] or 0
     bins = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BIN_BYTES))
-    told = _by_bin(_buckets(chunks, bins, window, m), _shared, pa.schema([("chunk", pa.int64()), ("bin", pa.int64()), ("shared", pa.binary()), ("hot", pa.binary())]), "chunk long, bin long, shared binary, hot binary")
+    told = _by_bin(_buckets(chunks, bins, window, m), _shared(HOT_STRINGS), pa.schema([("chunk", pa.int64()), ("bin", pa.int64()), ("shared", pa.binary()), ("hot", pa.binary())]), "chunk long, bin long, shared binary, hot binary")
     told = told.groupBy("chunk").agg(F.collect_list(F.struct("bin", "shared", "hot")).alias("told"))
-    strings = _strings(chunks.join(told, "chunk"), bins, window, m)
+    strings = _strings(chunks.select(*PACKED).join(told, "chunk"), bins, window, m)
     found = _by_bin(strings, _count(window), pa.schema([("chunk", pa.int64()), ("ranges", pa.binary())]), "chunk long, ranges binary")
     return found.groupBy("chunk").agg(F.collect_list("ranges").alias("ranges"))
 
@@ -391,7 +398,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not 0 < m <= window:
         raise ValueError("a minimiser is a part of a window")
     chunks = checkpoint(_chunks(df.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"))))
-    both = chunks.join(repeated_ranges(chunks, window, m), "chunk", "left").select("ids", "counts", "packed", "ranges")
+    # Both joins shuffle the same columns of the same rows, so the second reads the first one's shuffle again.
+    chunks = chunks.where(F.col("chunk").isNotNull())
+    both = chunks.select(*PACKED).join(repeated_ranges(chunks, window, m), "chunk", "left").select(*PACKED[1:], "ranges")
 
     def work(rows: list[tuple]) -> Iterable[tuple]:
         for ids, counts, packed, ranges in rows:

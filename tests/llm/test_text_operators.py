@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -193,6 +194,38 @@ def test_substring_repetitive_texts(spark):
     assert rows(got) == ask(substring.SQL, documents=df)
 
 
+def test_substring_small_chunks_and_hot_buckets(spark, sf, monkeypatch):
+    """Many chunks and bins, and every shared bucket dealt out window by window, change nothing."""
+    rng = random.Random(12)
+    page = " ".join(rng.choice("abcdefg") * rng.randint(1, 3) for _ in range(60))
+    texts = [" ".join(rng.choice(["x", "y", "zz"]) for _ in range(rng.randint(0, 40))) + (f" {page}" if k % 3 else "") + f" end{k}" for k in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    digest = lambda d: rows(d.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256")))
+    want = ask(substring.SQL, documents=df)
+    for chunk, bins, hot in ((700, 900, 0), (1, 1 << 20, 1), (1 << 20, 300, 5)):
+        for name, value in (("CHUNK_BYTES", chunk), ("BIN_BYTES", bins), ("HOT_STRINGS", hot)):
+            monkeypatch.setattr(substring, name, value)
+        assert digest(substring.remove_repeats(df)) == want
+        assert digest(substring.remove_repeats(spark.read.parquet(f"{sf}/documents.parquet").limit(80))) == ask(substring.SQL, documents=spark.read.parquet(f"{sf}/documents.parquet").limit(80))
+
+
+def test_a_page_of_thousands_of_copies_stays_bounded(spark, monkeypatch):
+    """Copies are counted in their chunks: what travels has a string for each chunk at most, and so has each bin."""
+    monkeypatch.setattr(substring, "CHUNK_BYTES", 20_000)
+    page = " ".join(f"word{i * 7919 % 1009}" for i in range(120))
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(page).alias("text")).repartition(4)
+    found = substring.remove_repeats(df).groupBy("n_removed").count().collect()
+    assert {r["n_removed"]: r["count"] for r in found} == {0: 1, 120: 4999}
+    chunks = substring._chunks(df.select("doc_id", F.col("text").cast("binary"))).cache()
+    entries = substring._buckets(chunks, 8, 13, 5).withColumn("n", F.length("entries") / 8)
+    n_chunks, n_buckets = chunks.count(), entries.groupBy("chunk").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
+    assert n_chunks > 100 and n_buckets < 60
+    told = substring._by_bin(entries.drop("n"), substring._shared(substring.HOT_STRINGS), pa.schema([("chunk", pa.int64()), ("bin", pa.int64()), ("shared", pa.binary()), ("hot", pa.binary())]), "chunk long, bin long, shared binary, hot binary")
+    told = told.groupBy("chunk").agg(F.collect_list(F.struct("bin", "shared", "hot")).alias("told"))
+    travel = substring._strings(chunks.join(told, "chunk"), 8, 13, 5).where("bin >= 0").groupBy("bin").agg(F.sum(F.length("docs") / 8).alias("n"))
+    assert travel.agg(F.sum("n")).first()[0] <= n_chunks * n_buckets and travel.agg(F.max("n")).first()[0] <= n_chunks * n_buckets / 2
+
+
 def brute_leaks(text, items):
     """Items that a passage holds by overlap alone, without the index."""
     w = decontaminate.tokens(text)
