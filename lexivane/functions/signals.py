@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .shared import fresh
 
 #: Weights in the order they are summed, and the signals that are high for human text.
 WEIGHTS = {
@@ -40,8 +41,7 @@ def with_features(df: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.withColumn("_low", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
     df = df.withColumns({"_marked": T.marked_in("_low"), HITS: T.hits_in("_low")}).drop("_low").withColumn(LENGTHS, T.run_lengths("_marked"))
     df = df.withColumn(TOKENS, F.filter("_marked", lambda w: ~w.isin(".", "!", "?"))).drop("_marked")
-    hashed = F.expr(f"if(size({TOKENS}) < 3, array(), transform(sequence(0, size({TOKENS}) - 3), i -> xxhash64({TOKENS}[i], {TOKENS}[i + 1], {TOKENS}[i + 2])))")
-    df = df.withColumn(TRIGRAMS, hashed)
+    df = df.withColumn(TRIGRAMS, T.ngram_hashes(TOKENS, 3))
     return df.withColumn(TRIGRAMS, F.when(F.size(F.array_distinct(TRIGRAMS)) < F.size(TRIGRAMS), F.sort_array(TRIGRAMS)))
 
 
@@ -78,8 +78,10 @@ def with_signals(df: DataFrame, text_col: str = "text", references: DataFrame |
         return d
     from ..operators.similarity import nearest_reference
 
-    near = nearest_reference(df.select(id_col, text_col), references, id_col, text_col).withColumnRenamed("similarity", "__s")
-    return d.drop("duplicate_similarity").join(near, id_col, "left").withColumn("duplicate_similarity", F.coalesce("__s", F.lit(0.0))).drop("__s")
+    of, near = fresh(d, "of", "near")
+    found = nearest_reference(df.select(id_col, text_col), references, id_col, text_col).toDF(of, near)
+    d = d.join(found, d[id_col] == found[of], "left")
+    return d.select(*(F.coalesce(near, F.lit(0.0)).alias(c) if c == "duplicate_similarity" else F.col(c) for c in d.columns if c not in (of, near)))
 
 
 def combine(drop: Iterable[str] = ()) -> Column:

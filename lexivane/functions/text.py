@@ -120,6 +120,12 @@ def ngrams(tokens: Column | str, n: int) -> Column:
     return once(tokens, lambda t: _ngrams(t, n))
 
 
+def ngram_hashes(tokens: str, n: int) -> Column:
+    """64-bit hashes of the n-grams of a column of tokens, in order: enough to tell those of one text apart."""
+    words = ", ".join(f"{tokens}[i + {k}]" for k in range(n))
+    return F.expr(f"if(size({tokens}) < {n}, cast(array() as array<bigint>), transform(sequence(0, size({tokens}) - {n}), i -> xxhash64({words})))")
+
+
 def shingles(tokens: Column | str, k: int = 5, empty: bool = True) -> Column:
     """Distinct k-word shingles; 1 to k-1 tokens make one. Without tokens: one empty shingle, or none if not `empty`."""
 

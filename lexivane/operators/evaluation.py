@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import fresh
 from ..functions.signals import SIGNALS, combine
 from .prefix import running_totals
 
@@ -18,10 +19,11 @@ def score_counts(df: DataFrame, score: str, label: str, *by: str) -> DataFrame:
 
 def average_ranks(df: DataFrame, score: str) -> DataFrame:
     """`df` plus `avg_rank`: 1-based ranks by score, ties share their mean."""
-    n = df.groupBy(F.col(score).alias("__s")).agg(F.count("*").alias("__n"))
-    upto = running_totals(n, [F.col("__s")], {"__upto": F.col("__n")})
-    ranks = upto.select("__s", (F.col("__upto") - (F.col("__n") - 1) / 2.0).alias("avg_rank"))
-    return df.join(ranks, df[score].eqNullSafe(ranks["__s"])).drop("__s")
+    value, n, upto, rank = fresh(df, "value", "n", "upto", "avg_rank")
+    sizes = df.groupBy(F.col(score).alias(value)).agg(F.count("*").alias(n))
+    ranks = running_totals(sizes, [F.col(value)], {upto: F.col(n)}).select(value, (F.col(upto) - (F.col(n) - 1) / 2.0).alias(rank))
+    kept = [c for c in df.columns if c.lower() != "avg_rank"]
+    return df.join(ranks, df[score].eqNullSafe(ranks[value])).select(*kept, F.col(rank).alias("avg_rank"))
 
 
 def roc_auc(df: DataFrame, score: str, label: str, *by: str) -> DataFrame:

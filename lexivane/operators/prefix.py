@@ -19,14 +19,15 @@ def running_totals(df: DataFrame, order: list[Column], totals: dict[str, Column]
     bucket, *held = fresh(df, "bucket_", *(f"value_{k}" for k in totals))
     keys = fresh(df, *(f"order_{k}" for k in range(len(order))))
     sums_of = fresh(df, *(f"sum_{k}" for k in totals))
+    of, *of_by = fresh(df, "of_bucket", *(f"of_{c}" for c in by))
     d = df.withColumns(dict(zip(keys, order)) | dict(zip(held, totals.values())))
     d = checkpoint(d.repartitionByRange(*by, *keys).withColumn(bucket, F.spark_partition_id()))
     sums = d.groupBy(bucket, *by).agg(*(F.sum(v).alias(s) for v, s in zip(held, sums_of)))
     before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col(bucket).alias("_b"), *(F.col(c).alias(f"_by_{c}") for c in by), *(F.coalesce(F.sum(s).over(before), F.lit(0)).alias(s) for s in sums_of))
-    same = d[bucket] == sums["_b"]
-    for c in by:
-        same = same & d[c].eqNullSafe(sums[f"_by_{c}"])
+    sums = sums.select(F.col(bucket).alias(of), *(F.col(c).alias(x) for c, x in zip(by, of_by)), *(F.coalesce(F.sum(s).over(before), F.lit(0)).alias(s) for s in sums_of))
+    same = d[bucket] == sums[of]
+    for c, x in zip(by, of_by):
+        same = same & d[c].eqNullSafe(sums[x])
     inside = Window.partitionBy(bucket, *by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     return d.join(sums, same).select(*df.columns, *((F.col(s) + F.sum(v).over(inside)).alias(k) for k, v, s in zip(totals, held, sums_of)))
 

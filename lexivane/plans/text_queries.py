@@ -84,7 +84,8 @@ def sentence_lengths(spark, sf_dir):
 
 @query(f"with {TOKS} select doc_id, len(b)::bigint as n_bigrams, len(list_distinct(b))::bigint as bigram_kinds, len(g)::bigint as n_trigrams, len(list_distinct(g))::bigint as trigram_kinds from (select doc_id, {grams_sql('toks', 2)} as b, {grams_sql('toks', 3)} as g from t)")
 def ngram_counts(spark, sf_dir):
-    d = _docs(spark, sf_dir).select("doc_id", T.word_tokens("text").alias("t")).select("doc_id", T.ngrams("t", 2).alias("b"), T.ngrams("t", 3).alias("g"))
+    d = _docs(spark, sf_dir).select("doc_id", T.word_tokens("text").alias("t"))
+    d = d.select("doc_id", *(T.ngram_hashes("t", n).alias(c) for n, c in ((2, "b"), (3, "g"))))
     size = lambda c: F.size(c).cast("long")
     return d.select("doc_id", size("b").alias("n_bigrams"), size(F.array_distinct("b")).alias("bigram_kinds"), size("g").alias("n_trigrams"), size(F.array_distinct("g")).alias("trigram_kinds"))
 
