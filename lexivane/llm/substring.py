@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ CHUNK_BYTES = 1 << 20
 BIN_BYTES = 2 << 20
 #: Strings of one bucket beyond which its windows are dealt out one by one, by their own hash.
 HOT_STRINGS = 5_000
+#: Bytes of strings that a bin holds before what has come is counted.
+HELD_BYTES = 16 << 20
 #: Bytes that are hashed at once.
 _BLOCK = 1 << 19
 _GAP = np.zeros(256, dtype=bool)
@@ -247,31 +250,24 @@ def _buckets(chunks: DataFrame, bins: int, window: int, m: int) -> DataFrame:
     return map_rows(chunks.select("chunk", "ids", "counts", "packed"), lambda: work, schema, "bin long, chunk long, entries binary", chunk_bytes=1, size_of=3)
 
 
-def _by_bin(df: DataFrame, work: Callable[[list[tuple]], Iterable[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
-    """`work` over the rows of each bin (the first column) together, from bins that come in runs."""
+def _by_bin(df: DataFrame, work: Callable[[Iterator[tuple]], Iterable[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
+    """`work` over all rows of a task, whose bins (the first column) come whole and in runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found():
-            now, held = None, []
-            for batch in batches:
-                for row in zip(*(c.to_pylist() for c in batch.columns)):
-                    if row[0] != now and held:
-                        yield from work(held)
-                        held = []
-                    now = row[0]
-                    held.append(row)
-            if held:
-                yield from work(held)
-
-        yield from to_batches(found(), schema, 100)
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        yield from to_batches(work(rows), schema, 100)
 
     return df.repartition("bin").sortWithinPartitions("bin").mapInArrow(run, ddl)
 
 
-def _shared(most: int) -> Callable[[list[tuple]], Iterable[tuple]]:
+def _shared(most: int) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
     """(chunk, bin, shared, hot): bits over a chunk's buckets in the bin, set where another chunk has it, and where over `most` strings are in it."""
 
-    def work(rows: list[tuple]) -> Iterable[tuple]:
+    def work(all_rows: Iterator[tuple]) -> Iterator[tuple]:
+        for _, rows in groupby(all_rows, key=lambda r: r[0]):
+            yield from one(list(rows))
+
+    def one(rows: list[tuple]) -> Iterator[tuple]:
         entries = [np.frombuffer(e, dtype="<u8") for _, _, e in rows]
         flat = np.concatenate(entries)
         bucket, n = flat >> np.uint64(8), (flat & np.uint64(255)).astype(np.int64)
@@ -345,24 +341,70 @@ def _counted(first: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
 
 
-def _count(window: int) -> Callable[[list[tuple]], Iterable[tuple]]:
-    """(chunk, ranges) of the words to remove, from a bin's strings. Rows that are ranges already go through."""
+def _parts(sorted_keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(key, start, end) of the runs of equal keys."""
+    cut = np.flatnonzero(np.diff(sorted_keys)) + 1
+    for a, b in zip(np.concatenate(([0], cut)).tolist(), np.append(cut, len(sorted_keys)).tolist()):
+        if b > a:
+            yield int(sorted_keys[a]), a, b
 
-    def work(rows: list[tuple]) -> Iterable[tuple]:
-        if rows[0][0] < 0:
-            yield from ((chunk, at) for _, chunk, _, at, _, _ in rows)
-            return
-        words = Words(np.frombuffer(b" ".join([zstandard.decompress(p) for *_, p in rows]), dtype=np.uint8))
+
+class _Bin:
+    """A bin's strings, counted whenever HELD_BYTES more have come, so that only distinct windows are kept."""
+
+    def __init__(self, window: int) -> None:
+        self.window, self.rows, self.held, self.most = window, [], 0, HELD_BYTES
+
+    def add(self, row: tuple) -> Iterator[tuple]:
+        """Takes a row of _STRINGS; yields (chunk, ranges) of what goes by then."""
+        self.rows.append((*row[:5], zstandard.decompress(row[5])))
+        self.held += len(self.rows[-1][5])
+        if self.held > self.most:
+            yield from self.count(keep=True)
+            self.most = max(HELD_BYTES, 2 * self.held)
+
+    def count(self, keep: bool = False) -> Iterator[tuple]:
+        """(chunk, ranges) of the words that windows cover which a smaller document holds, too. With `keep`, the others stay."""
+        rows, window = self.rows, self.window
+        words = Words(np.frombuffer(b" ".join([r[5] for r in rows]), dtype=np.uint8))
         docs, at, size = (np.concatenate([np.frombuffer(r[k], dtype=t) for r in rows]) for k, t in ((2, "<i8"), (3, "<i4"), (4, "<i4")))
         row = np.repeat(np.arange(len(rows)), [len(r[4]) // 4 for r in rows])
         first = np.cumsum(size, dtype=np.int64) - size
         windows = size - window + 1
         here, string = _counted(first, first + windows), np.repeat(np.arange(len(size)), windows)
         gone = held_before(words, here, docs[string], window)
-        here, string = here[gone], string[gone]
         there = at[string] + here - first[string]
-        for r in np.unique(row[string]):
-            yield rows[r][1], _ranges(there[row[string] == r], window)
+        which = row[string]
+        lost = there[gone]
+        for r, lo, hi in _parts(which[gone]):  # in the order of the rows already
+            yield rows[r][1], _ranges(lost[lo:hi], window)
+        self.rows, self.held = [], 0
+        if keep:
+            here, string, there, which = here[~gone], string[~gone], there[~gone], which[~gone]
+            for r, a, b in _parts(which):
+                lo, hi = _runs(string[a:b], here[a:b])
+                begin, n = here[a:b][lo], hi - lo + window - 1
+                flat = b" ".join([words.bytes(x, x + k) for x, k in zip(begin.tolist(), n.tolist())])
+                self.rows.append((*rows[r][:2], docs[string[a:b][lo]].tobytes(), there[a:b][lo].astype("<i4").tobytes(), n.astype("<i4").tobytes(), flat))
+                self.held += len(flat)
+
+
+def _count(window: int) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
+    """(chunk, ranges) of the words to remove, from rows of _STRINGS whose bins come in runs. Rows that are ranges already go through."""
+
+    def work(rows: Iterator[tuple]) -> Iterator[tuple]:
+        now, held = None, _Bin(window)
+        for row in rows:
+            if row[0] < 0:
+                yield row[1], row[3]
+                continue
+            if row[0] != now and held.rows:
+                yield from held.count()
+                held = _Bin(window)
+            now = row[0]
+            yield from held.add(row)
+        if held.rows:
+            yield from held.count()
 
     return work
 
@@ -392,8 +434,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     memory of about 20 times its size.
 
     A bucket holds the windows around one sequence of `m` words. Windows that recur in a chunk of texts are
-    counted there and travel once, and a bucket of more than HOT_STRINGS strings is dealt out window by window, so
-    neither a common sequence nor a passage of many documents gathers in one place more than a row of each chunk.
+    counted there and travel once, a bucket of more than HOT_STRINGS strings is dealt out window by window, and a
+    bin counts what has come before it takes more, so neither a common sequence nor a passage of many documents
+    gathers in one place: a task holds distinct windows, and eight bytes for each chunk that shares a bucket.
     """
     if not 0 < m <= window:
         raise ValueError("a minimiser is a part of a window")

@@ -202,8 +202,8 @@ def test_substring_small_chunks_and_hot_buckets(spark, sf, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     digest = lambda d: rows(d.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256")))
     want = ask(substring.SQL, documents=df)
-    for chunk, bins, hot in ((700, 900, 0), (1, 1 << 20, 1), (1 << 20, 300, 5)):
-        for name, value in (("CHUNK_BYTES", chunk), ("BIN_BYTES", bins), ("HOT_STRINGS", hot)):
+    for chunk, bins, hot, held in ((700, 900, 0, 400), (1, 1 << 20, 1, 2000), (1 << 20, 300, 5, 1 << 20), (1, 1 << 20, 0, 1)):
+        for name, value in (("CHUNK_BYTES", chunk), ("BIN_BYTES", bins), ("HOT_STRINGS", hot), ("HELD_BYTES", held)):
             monkeypatch.setattr(substring, name, value)
         assert digest(substring.remove_repeats(df)) == want
         assert digest(substring.remove_repeats(spark.read.parquet(f"{sf}/documents.parquet").limit(80))) == ask(substring.SQL, documents=spark.read.parquet(f"{sf}/documents.parquet").limit(80))
