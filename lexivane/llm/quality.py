@@ -76,18 +76,19 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_co
     return _judged(df, id_col, text_col, host_col, limit, min_left).drop("t", "gone")
 
 
-def _with_verdicts(df: DataFrame, verdicts: DataFrame, id_col: str, text_col: str, host_col: str, how: str) -> tuple[DataFrame, str]:
-    """`df` joined with rows (id, t, ...) of its own rows' verdicts, and the name of the last column of these."""
-    of, t, held, own = fresh(df, "of", "t", "held", "own")
+def _kept(df: DataFrame, verdicts: DataFrame, id_col: str, text_col: str, host_col: str) -> tuple[DataFrame, str]:
+    """The rows of `df` but for those whose verdict (id, t, gone, kept) is not kept, with `gone` in a new column, and its name."""
+    of, t, gone, kept, own = fresh(df, "of", "t", "gone", "kept", "own")
+    verdicts = verdicts.groupBy("id", "t").agg(F.first("gone"), F.first("kept")).toDF(of, t, gone, kept)  # equal rows are judged alike
     d = df.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(host_col).cast("string")))
-    verdicts = verdicts.toDF(of, t, *[held][: len(verdicts.columns) - 2])
-    return d.join(verdicts, d[id_col].eqNullSafe(verdicts[of]) & (d[own] == verdicts[t]), how), held
+    d = d.join(verdicts, d[id_col].eqNullSafe(verdicts[of]) & (d[own] == verdicts[t]), "left").where(F.coalesce(kept, F.lit(True)))
+    return d.select(*df.columns, gone), gone
 
 
 def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
     """The rows of `df`, all columns as they are, that `judge` keeps. Each row has its own verdict, also where ids are null or repeated."""
-    bad = _judged(df, id_col, text_col, host_col, **limits).where("not kept").select("id", "t").distinct()
-    return _with_verdicts(df, bad, id_col, text_col, host_col, "left_anti")[0].select(*df.columns)
+    bad = _judged(df, id_col, text_col, host_col, **limits).where("not kept").select("id", "t", "gone", "kept")
+    return _kept(df, bad, id_col, text_col, host_col)[0].select(*df.columns)
 
 
 def clean_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
@@ -96,9 +97,7 @@ def clean_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     The document with the smallest id keeps its lines, as do lines without a word; the others keep their order.
     """
     judged = checkpoint(_judged(df, id_col, text_col, host_col, **limits).where("not kept or gone is not null").select("id", "t", "gone", "kept"))
-    bad, gone = judged.where("not kept").select("id", "t").distinct(), judged.where("kept").groupBy("id", "t").agg(F.first("gone"))
-    d = _with_verdicts(df, bad, id_col, text_col, host_col, "left_anti")[0].select(*df.columns)
-    d, lost = _with_verdicts(d, gone, id_col, text_col, host_col, "left")
+    d, lost = _kept(df, judged, id_col, text_col, host_col)
     line, wordy = fresh(d, "line", "wordy")
     d = d.withColumn(line, F.split(text_col, "\n", -1))
     d = d.withColumn(wordy, F.filter(F.sequence(F.lit(0), F.size(line) - 1), lambda i: F.translate(F.get(line, i), WORD_GAPS, "") != ""))
