@@ -1,3 +1,5 @@
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +117,26 @@ def test_statistics(spark):
     assert r["ci_high"] - r["mean"] == pytest.approx(2.262 * r["std"] / 10**0.5)
 
 
+@pytest.mark.parametrize("values", [[0.3], [0.1, -0.2, 0.05], [0.0, 0.0], [0.4, 0.1, 0.1, -0.6, 0.2, 0.2, 0.1]])
+def test_sign_flips_by_hand(spark, values):
+    d = spark.createDataFrame(list(enumerate(values)), "i long, d double")
+    far = [abs(sum(s * v for s, v in zip(signs, values)) / len(values)) >= abs(sum(values) / len(values)) - 1e-12 for signs in itertools.product((1, -1), repeat=len(values))]
+    r = stats.sign_flip_test(d, "d", "i").first()
+    assert r["p"] == pytest.approx(sum(far) / len(far)) and r["wins"] == sum(v > 0 for v in values)
+
+
+def test_sign_flips_of_many_differences(spark):
+    d = spark.createDataFrame([(i, 1.0) for i in range(40)], "i long, d double")
+    assert stats.sign_flip_test(d, "d", "i").first()["p"] == 2 / 2**40
+
+
+def test_t_quantiles_reach_few_and_many_values(spark):
+    for n, t in ((2, 1.96), (5, 2.776), (16, 2.131), (17, 1.96)):
+        d = spark.createDataFrame([(float(i),) for i in range(n)], "x double")
+        r = stats.mean_interval(d, "x").first()
+        assert r["ci_high"] - r["mean"] == pytest.approx(t * r["std"] / n**0.5)
+
+
 def test_split_is_exact_and_balanced(spark):
     d = spark.createDataFrame([(i, int(i < 13)) for i in range(50)], "i long, y int")
     got = sampling.split(d, "y", F.col("i")).groupBy("y").agg(F.count_if("is_train").alias("n"))
