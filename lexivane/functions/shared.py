@@ -18,10 +18,24 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Spark's setting that deletes the shuffle files of an execution at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder, cut its lineage and return the written rows."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write `df` to the shared folder, cut its lineage and return the written rows.
+
+    What was shuffled for it is deleted once it is written, rather than whenever the driver collects its memory; should
+    `df` itself be run again, Spark shuffles anew.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:

@@ -71,6 +71,16 @@ def answer_dump(spark, sf_dir):
     return readers.read_answers(spark, path)
 
 
+@query(f"with {DOCS}, l as (select case when lang = 'en' then 0 else 1 end as label, unnest(string_split(text, chr(10))) as text from d) select label, text, count(*)::bigint as n from l where {_STRIPPED} <> '' group by all")
+def answer_files(spark, sf_dir):
+    """Two files of lines, whose blanks at either end are kept."""
+    paths = []
+    for where in ("lang = 'en'", "lang <> 'en'"):
+        paths.append(_folder(spark))
+        table(spark, sf_dir, "documents").where(where).select(F.coalesce("text", F.lit("")).alias("value")).write.text(paths[-1])
+    return readers.load_answers(spark, *paths).groupBy("label", "text").agg(F.count("*").alias("n"))
+
+
 @query(f"""with {DOCS}, w as (select doc_id, text as raw, list_filter(string_split({SQUASHED}, ' '), lambda x: x <> '') as w from d), k as (select *, row_number() over (partition by substr(raw, 1, 80) order by doc_id) as r from w where len(w) >= 60)
 select doc_id, array_to_string(w[1:250], ' ') as text from k where r = 1 order by doc_id limit 400""")
 def collected_generations(spark, sf_dir):
@@ -106,7 +116,7 @@ def appended_cache(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@query("select metric, value from (values ('trigram_diversity', 0.5), ('bigram_diversity', 0.25), ('type_token_ratio', 0.0)) v(metric, value)")
+@query("select metric, value::double as value from (values ('trigram_diversity', 0.5), ('bigram_diversity', 0.25), ('type_token_ratio', 0.0)) v(metric, value)")
 def baseline_scan(spark, sf_dir):
     """A stored snapshot read back as the metrics that the monitor watches."""
     path = _folder(spark)

@@ -19,10 +19,16 @@ def _ordered(df: DataFrame) -> DataFrame:
     return dense_index(d, "__o").select(F.col("pos").cast("long").alias("doc_ord"), "text")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One document for each non-blank stripped line."""
-    lines = spark.read.text(path, lineSep="\n").select(T.strip(F.col("value")).alias("text"))
-    return _ordered(lines.where("text <> ''"))
+def read_lines(spark: SparkSession, path: str, strip: bool = True) -> DataFrame:
+    """One document for each non-blank line, stripped unless told otherwise."""
+    lines = spark.read.text(path, lineSep="\n").withColumn("bare", T.strip(F.col("value"))).where("bare <> ''")
+    return _ordered(lines.select(F.col("bare" if strip else "value").alias("text")))
+
+
+def load_answers(spark: SparkSession, human: str, machine: str) -> DataFrame:
+    """Rows (label, doc_ord, text) of two prepared files of lines, which are kept as they are: 0 human, 1 machine."""
+    parts = [read_lines(spark, path, strip=False).select(F.lit(y).alias("label"), "doc_ord", "text") for y, path in enumerate((human, machine))]
+    return parts[0].unionByName(parts[1])
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
