@@ -14,6 +14,8 @@ from ..functions.shared import checkpoint, delete_folder, fresh, shared_folder
 WORD_GAPS = " \t\n\v\f\r"
 #: Rows, and bytes, handed to Python at once; long texts make large rows, so batches stay short.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: Edges of a part of a step of connected components, and least parts.
+PART_EDGES, LEAST_PARTS = 100_000, 16
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -93,7 +95,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     now = checkpoint(_ordered(edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))))
     state = _state(now)
     while True:
-        now = checkpoint(_small_star(_large_star(now)))
+        # A step over few edges takes few tasks, whatever the session's number of shuffle partitions.
+        n = max(LEAST_PARTS, state[0] // PART_EDGES)
+        now = checkpoint(_small_star(_large_star(now.coalesce(n), n), n).coalesce(n))
         after = _state(now)
         if after == state:
             break
@@ -107,17 +111,17 @@ def _ordered(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
     moved = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.where("u <> v").distinct()
+    return moved.where("u <> v").coalesce(n).distinct().coalesce(n)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-    return _ordered(moved.union(least.select("u", F.col("m").alias("v"))))
+    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(n)
+    return _ordered(moved.union(least.select("u", F.col("m").alias("v")).coalesce(n)))
 
 
 def _state(edges: DataFrame) -> tuple:
