@@ -103,7 +103,7 @@ def cache_scan(spark, sf_dir):
     late = d.where("doc_id % 5 = 0").select("doc_id", F.lit(1), F.concat_ws("\t", "h", (F.col("n_chars") + 0.5).cast("string")))
     bad = d.where("doc_id % 7 = 0").select("doc_id", F.lit(2), F.concat_ws("\t", "h", F.lit("none")))
     short = d.where("doc_id % 9 = 0").select("doc_id", F.lit(2), F.col("h"))
-    rows.union(late).union(bad).union(short).coalesce(1).sortWithinPartitions("pass", "doc_id").select("value").write.text(path)
+    rows.union(late).union(bad).union(short).repartitionByRange("pass", "doc_id").sortWithinPartitions("pass", "doc_id").select("value").write.text(path)
     return readers.read_cache(spark, path, "f")
 
 

@@ -13,6 +13,11 @@ TEXT_FIELDS = ("text", "content", "body", "output", "response")
 MIN_WORDS, MAX_WORDS = 60, 250
 
 
+def _place():
+    """Where a row of a file source stands: by file, part of the file, and line. Spark's numbers alone put large files first."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line"))
+
+
 def _ordered(df: DataFrame) -> DataFrame:
     """`text` with a dense `doc_ord` in the order of the files and their lines."""
     d = df.withColumn("__o", F.monotonically_increasing_id())
@@ -96,9 +101,12 @@ def page(df: DataFrame, order_col: str, offset: int, length: int) -> DataFrame:
 
 
 def read_cache(spark: SparkSession, path: str, *features: str) -> DataFrame:
-    """Rows (h, features) of a tab-separated cache; malformed rows are skipped and the last row of a key holds."""
+    """Rows (h, features) of a tab-separated cache; malformed rows are skipped and the last row of a key holds.
+
+    A cache may be a folder, whose files follow one another by name.
+    """
     parts = F.split("value", "\t", -1)
-    d = spark.read.text(path, lineSep="\n").withColumn("__n", F.monotonically_increasing_id()).where(F.size(parts) == 1 + len(features))
+    d = spark.read.text(path, lineSep="\n").select("value", _place().alias("__n")).where(F.size(parts) == 1 + len(features))
     values = {f: F.try_element_at(parts, F.lit(k + 2)).try_cast("double") for k, f in enumerate(features)}
     d = d.select(F.element_at(parts, 1).alias("h"), "__n", *(v.alias(f) for f, v in values.items())).dropna(subset=list(features))
     return d.groupBy("h").agg(*(F.max_by(f, "__n").alias(f) for f in features))
