@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.shared import checkpoint
+from .corpus import _keys
 
 OPEN, CLOSE = "<s>", "</s>"
 K = 0.5
+#: A word that makes up one in so many first words is broadcast with its counts; there are no more such words than that.
+COMMON = 500_000
 #: Parts of a frequent first word, as of the opening mark that every text has.
 SALTS = 16
 
@@ -34,6 +38,13 @@ def bigram_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     return transitions(df, text_col=text_col).groupBy("a", "b").agg(F.count("*").alias("c"))
 
 
+def part_entropy(df: DataFrame, part, id_col: str = "doc_id", text_col: str = "text", k: float = K) -> DataFrame:
+    """Rows (id, bits) of every text under the model of those that meet the condition `part`, in one pass over the pairs."""
+    fits = F.coalesce(part, F.lit(False)).cast("long")
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), fits.alias("fits"), F.lit(1).alias("asks"))
+    return mean_bits(texts, 1, k).select(F.col("id").alias(id_col), F.col("b0").alias("bits"))
+
+
 @dataclass
 class BigramModel:
     """Add-k bigram model: counts of words and of pairs. Padding marks count as words of the vocabulary."""
@@ -48,13 +59,48 @@ class BigramModel:
 
     def cross_entropy(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Rows (id, bits): mean bits of a transition; pairs and words that were not seen count 0."""
-        pairs = transitions(df, id_col, text_col=text_col).groupBy(id_col, "a", "b").agg(F.count("*").alias("n"))
-        size = self.unigrams.agg(F.greatest(F.count("*"), F.lit(1)).alias("v"))
-        words = self.unigrams.select(F.col("w").alias("a"), F.col("c").alias("ca"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        d = pairs.join(self.bigrams.withColumnRenamed("c", "cab"), ["a", "b"], "left").withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
-        d = d.join(words, ["a", "salt"], "left").join(F.broadcast(size))  # one row
-        bits = -F.log2((F.coalesce("cab", F.lit(0)) + self.k) / (F.coalesce("ca", F.lit(0)) + self.k * F.col("v")))
-        return d.groupBy(id_col).agg((F.sum(bits * F.col("n")) / F.sum("n")).alias("bits"))
+        texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).alias("fits"), F.lit(1).alias("asks"))
+        return mean_bits(texts, 1, self.k, self).select(F.col("id").alias(id_col), F.col("b0").alias("bits"))
+
+
+def mean_bits(texts: DataFrame, models: int, k: float = K, known: BigramModel | None = None) -> DataFrame:
+    """Rows (id, b0, b1, ...): mean bits of a transition of each text under add-k bigram models.
+
+    texts: rows (id, text, fits, asks), whose masks say by bit j that a text is counted for model j, and that its bits are
+    asked for; rows of an id ask alike. Bits not asked for are null. `known` adds counts to model 0.
+
+    The bits are logarithms of pair counts less those of word counts. Pairs travel once, as 80 bits of hashes, to where they
+    are counted and looked up at the same time, and come back as sums of a text and task. Common words are looked up on the
+    way, and only the other words travel.
+    """
+    every = range(models)
+    bit = lambda c, j: F.shiftright(F.col(c).cast("long"), j).bitwiseAND(F.lit(1).cast("long"))
+    t = texts.select("id", F.col("fits").cast("long").alias("fits"), F.col("asks").cast("long").alias("asks"), padded("text").alias("t")).where("fits <> 0 or asks <> 0")
+    firsts = F.explode(F.slice("t", F.lit(1), F.size("t") - 1)).alias("w")
+
+    seen = t.select(firsts, "fits", (F.col("asks") != 0).cast("long").alias("asked"), F.lit(1).cast("long").alias("n"))
+    pairs = t.select("id", "fits", "asks", F.explode(F.expr(f"transform(sequence(0, size(t) - 2), i -> {_keys(2, 't', 'i')})")).alias("k")).select("id", "fits", "asks", F.lit(1).cast("long").alias("n"), "k.k1", "k.k2")
+    if known is not None:
+        seen = seen.union(known.unigrams.where(F.col("w") != CLOSE).select("w", F.lit(1), F.lit(0), "c"))
+        of = known.bigrams.select(F.array("a", "b").alias("t"), "c").select("c", F.expr(_keys(2, "t", "0")).alias("k"))
+        pairs = pairs.union(of.select(F.lit(None), F.lit(1), F.lit(0), "c", "k.k1", "k.k2"))
+
+    words = checkpoint(seen.groupBy("w").agg(F.sum("asked").alias("asked"), *(F.sum(bit("fits", j) * F.col("n")).alias(f"u{j}") for j in every)))
+    total, *sizes = words.agg(F.coalesce(F.sum("asked"), F.lit(0)), *(F.count_if(F.col(f"u{j}") > 0) for j in every)).first()
+    # The closing mark is a word too, but never one that something follows.
+    less = lambda j: -F.log2(F.col(f"u{j}") + k * max(1, sizes[j] + (sizes[j] > 0)))
+    common = words.where(F.col("asked") * COMMON >= max(1, total)).select("w", *(less(j).alias(f"d{j}") for j in every))
+    own = t.where("asks <> 0").select("id", "asks", firsts).join(F.broadcast(common), "w", "left")  # COMMON rows at most
+    # What common words of a text come to goes under a name that no word has.
+    name = F.when(F.col("d0").isNull(), F.col("w")).otherwise(F.concat(F.lit(" "), F.pmod(F.xxhash64("id"), F.lit(1000))))
+    own = own.withColumn("w", name).groupBy("id", "asks", "w").agg(F.count("*").alias("n"), *(F.sum(f"d{j}").alias(f"d{j}") for j in every))
+    own = own.join(words.drop("asked"), "w", "left").select("id", "asks", F.lit(0).alias("n"), *(F.coalesce(F.col(f"d{j}"), F.col("n") * less(j)).alias(f"s{j}") for j in every))
+
+    key = Window.partitionBy("k1", "k2")
+    found = pairs.select("id", "asks", *(F.sum(bit("fits", j) * F.col("n")).over(key).alias(f"c{j}") for j in every)).where("asks <> 0")
+    found = found.select("id", "asks", F.lit(1).alias("n"), *(F.log2(F.col(f"c{j}") + k).alias(f"s{j}") for j in every))
+    sums = found.union(own).groupBy("id").agg(F.sum("n").alias("n"), *(F.sum(F.when(bit("asks", j) == 1, F.col(f"s{j}"))).alias(f"s{j}") for j in every))
+    return sums.select("id", *((-F.col(f"s{j}") / F.col("n")).alias(f"b{j}") for j in every))
 
 
 def gram_counts(df: DataFrame, n: int, text_col: str = "text") -> DataFrame:
