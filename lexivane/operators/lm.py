@@ -15,6 +15,8 @@ OPEN, CLOSE = "<s>", "</s>"
 K = 0.5
 #: A word that makes up one in so many first words is broadcast with its counts; there are no more such words than that.
 COMMON = 500_000
+#: Parts to which n-grams are dealt, and the length up to which words count as short.
+PARTS, SHORT = 16_384, 3
 #: Models that one pass can count, as bits of a long.
 MODELS = 60
 #: Parts of a frequent first word, as of the opening mark that every text has.
@@ -106,8 +108,27 @@ def mean_bits(texts: DataFrame, models: int, k: float = K, known: BigramModel |
 
 
 def gram_counts(df: DataFrame, n: int, text_col: str = "text") -> DataFrame:
-    """Rows (g, c) of the n-grams inside documents, sentence marks being tokens."""
-    return df.select(F.explode(T.ngrams(T.marked_tokens(text_col), n)).alias("g")).groupBy("g").agg(F.count("*").alias("c"))
+    """Rows (g, c) of the n-grams inside documents, sentence marks being tokens.
+
+    Neighbours travel together: an n-gram goes to where its longest word does (the one with the largest hash, if several
+    are as long), so a stretch that has the same longest word is sent as one piece, and cut into n-grams there. N-grams of
+    short words alone, which are the frequent ones, are dealt out by themselves. Nothing is counted before, so no task
+    holds n-grams that hardly repeat in it.
+    """
+    d = df.select(T.marked_tokens(text_col).alias("t"))
+    if n < 3:  # pairs repeat so much that tasks had better count them first
+        return d.select(F.explode(T.ngrams("t", n)).alias("g")).groupBy("g").agg(F.count("*").alias("c"))
+    words = [f"t[i + {j}]" for j in range(n)]
+    # The length stands above 48 bits of a hash.
+    d = d.where(F.size("t") >= n).withColumn("o", F.expr("transform(t, w -> least(length(w), 30000) * 281474976710656 + shiftrightunsigned(xxhash64(w), 16))"))
+    most = f"greatest({', '.join(w.replace('t[', 'o[') for w in words)})"
+    d = d.withColumn("m", F.expr(f"transform(sequence(0, size(o) - {n}), i -> if({most} < {SHORT + 1} * 281474976710656, xxhash64({', '.join(words)}), {most}))")).drop("o")
+    d = d.withColumn("at", F.expr("filter(sequence(0, size(m) - 1), i -> i = 0 or m[i] <> m[i - 1])"))
+    piece = f"struct(cast(pmod(m[a], {PARTS}) as int) as p, array_join(slice(t, a + 1, b - a + {n - 1}), ' ') as s)"
+    d = d.select(F.explode(F.expr(f"zip_with(at, concat(slice(at, 2, size(at)), array(size(m))), (a, b) -> {piece})")).alias("x")).select("x.p", "x.s")
+    d = d.repartition("p").select("p", F.split("s", " ", -1).alias("t"))
+    d = d.select("p", F.explode(F.expr(f"transform(sequence(0, size(t) - {n}), i -> concat_ws(' ', {', '.join(words)}))")).alias("g"))
+    return d.groupBy("p", "g").agg(F.count("*").alias("c")).select("g", "c")
 
 
 def start_pairs(df: DataFrame, text_col: str = "text") -> DataFrame:
